@@ -89,6 +89,8 @@ def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, c in zip(b["u"].tolist(), b["v"].tolist(), strict=True):
             sets.join(a, c)
     nodes = list(sets.up)
+    if not nodes:
+        return
     yield pd.DataFrame({"node": nodes, "component": [sets.root(n) for n in nodes]})
 
 

@@ -208,7 +208,8 @@ class Field:
 
 
 def parse(lines: DataFrame, raw: str, fields: list[Field], quote: str = '"', delimiter: str = ",") -> DataFrame:
-    """``lines`` with the parse of column ``raw`` added as one struct column ``parsed``:
+    """``lines`` with the parse of column ``raw`` added as one struct column ``parsed`` (underscores are
+    appended while the name is taken):
 
     ``quote_edits``, ``fields`` (found; width + 1 stands for more), ``edits`` (text), ``text`` (the texts of
     the fields, null unless the form is kept), ``value`` (the typed fields) and ``reason`` (null: valid).

@@ -171,6 +171,8 @@ def best_cut(tree: Rooted, popu: np.ndarray, hosp: np.ndarray, extra: np.ndarray
     rest = whole - sub
     inner_s = sub[:, 6]
     inner_t = whole[6] - sub[:, 4] - sub[:, 5] + inner_s
+    # what the differences leave by rounding is no flow
+    inner_t[np.abs(inner_t) <= 1e-12 * np.abs(stacked[:, 4:7]).sum()] = 0.0
 
     def index(inner: np.ndarray, flow: np.ndarray) -> np.ndarray:
         return np.divide(inner, flow, out=np.zeros_like(inner), where=flow > 0)

@@ -102,26 +102,36 @@ def plan(df: DataFrame, key: str, tasks: int | None = None, bundles: int = BUNDL
     return pack({h["key"]: h["n"] for r in found for h in r["heavy"]}, light, tasks, sum(r["rows"] for r in found))
 
 
-def fragment(df: DataFrame, key: str, where: Plan) -> DataFrame:
-    """``df`` without null keys, each row in its task; ``_task`` says which."""
+def fragment(df: DataFrame, key: str, where: Plan, task: str = "_task") -> DataFrame:
+    """``df`` without null keys, each row in its task; column ``task`` says which."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.where(F.col(key).isNotNull()).withColumn("_task", where.task(F.col(key), row)).repartitionById(where.tasks, F.col("_task"))
+    return df.where(F.col(key).isNotNull()).withColumn(task, where.task(F.col(key), row)).repartitionById(where.tasks, F.col(task))
 
 
-def replicate(df: DataFrame, key: str, where: Plan) -> DataFrame:
+def replicate(df: DataFrame, key: str, where: Plan, task: str = "_task") -> DataFrame:
     """``df`` without null keys, each row in every task that holds a shard of its key."""
-    return df.where(F.col(key).isNotNull()).withColumn("_task", F.explode(where.replicas(F.col(key)))).repartitionById(where.tasks, F.col("_task"))
+    return df.where(F.col(key).isNotNull()).withColumn(task, F.explode(where.replicas(F.col(key)))).repartitionById(where.tasks, F.col(task))
 
 
 def balanced_join(df: DataFrame, other: DataFrame, key: str, how: str = "inner", where: Plan | None = None) -> DataFrame:
     """Equi-join of a skewed table with a matching table, whose rows are replicated to the shards only.
 
     ``how`` is inner, left, left_semi or left_anti. Null keys match nothing (they are left out of all four).
+    A column of ``other`` whose name ``df`` has too comes out as ``<name>_right``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
     where = where or plan(df, key)
-    return fragment(df, key, where).join(replicate(other, key, where), ["_task", key], how).drop("_task")
+    task = "_task"
+    while task in df.columns or task in other.columns:
+        task += "_"
+    for c in other.columns:
+        if c != key and c in df.columns:
+            new = f"{c}_right"
+            while new in df.columns or new in other.columns:
+                new += "_"
+            other = other.withColumnRenamed(c, new)
+    return fragment(df, key, where, task).join(replicate(other, key, where, task), [task, key], how).drop(task)
 
 
 def key_totals(df: DataFrame, key: str, value: str, distinct: str, where: Plan | None = None) -> DataFrame:
@@ -130,19 +140,20 @@ def key_totals(df: DataFrame, key: str, value: str, distinct: str, where: Plan |
     Null keys are left out. Null and NaN values add nothing to the total (null if a key has no number),
     nulls are no distinct values, repeated rows count each time. An empty table gives no rows. Columns beyond the three named are not read.
     """
-    df = df.select(key, value, distinct)
+    df = df.select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"), F.col(distinct).alias("_d"))
+    out, key = key, "_key"
     where = where or plan(df, key)
-    number = F.when(~F.isnan(F.col(value)), F.col(value))
+    number = F.when(~F.isnan("_v"), F.col("_v"))
     local = (
         fragment(df, key, where)
-        .groupBy("_task", F.col(key).alias("_key"), F.col(distinct).alias("_d"))
+        .groupBy("_task", "_key", "_d")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(number).alias("s"))
     )
     # values of split keys stay apart until all shards of the key have met
     apart = F.when(where.is_split(F.col("_key")), F.col("_d"))
     shard = local.groupBy("_task", "_key", apart.alias("_apart")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("_d").alias("d"))
     met = shard.groupBy("_key", "_apart").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.when(F.col("_apart").isNull(), F.sum("d")).otherwise(F.lit(1)).alias("d"))
-    return met.groupBy(F.col("_key").alias(key)).agg(F.sum("n").alias("n_rows"), F.sum("s").alias("total"), F.sum("d").alias("n_distinct"))
+    return met.groupBy(F.col("_key").alias(out)).agg(F.sum("n").alias("n_rows"), F.sum("s").alias("total"), F.sum("d").alias("n_distinct"))
 
 
 def dominant(totals: DataFrame, rows: int, share: float) -> DataFrame:

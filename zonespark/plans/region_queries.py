@@ -9,6 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -443,7 +445,20 @@ def subtree_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def first_cuts(spark: SparkSession, folder: str) -> DataFrame:
     """All candidate cuts of the whole grid with their gains."""
-    return _first_cuts(spark, folder, F2).select("u", "v", r6("gain").alias("gain"))
+    return _first_cuts(spark, folder, F2).select("u", "v", (r6("gain") + 0.0).alias("gain"))
+
+
+def _hung(tree: DataFrame, first: str) -> DataFrame:
+    """``node, parent`` of a tree ``u, v`` hung from a zone; a task holds one tree."""
+
+    def hang(frame: pd.DataFrame) -> pd.DataFrame:
+        names, ends = np.unique(frame[["u", "v"]].to_numpy().ravel(), return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        made = partition.hang(len(names), ends[:, 0], ends[:, 1], int(np.searchsorted(names, first)))
+        below = made.parent >= 0
+        return pd.DataFrame({"node": names[below], "parent": names[made.parent[below]]})
+
+    return materialize(tree.groupBy(F.lit(0).alias("all")).applyInPandas(hang, "node string, parent string"), "hung")
 
 
 def _first_cuts(spark: SparkSession, folder: str, grid: Grid) -> DataFrame:
@@ -451,28 +466,14 @@ def _first_cuts(spark: SparkSession, folder: str, grid: Grid) -> DataFrame:
     w = world(spark, folder, grid)
     pairs = materialize(_pairs(w), "pairs")
     tree = materialize(forest.spanning_forest(partition.costed_edges(w.adj, w.zones, _places(w))).select("u", "v"), "tree")
-    both = tree.unionByName(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    # hang the tree from the first zone of each piece, level by level
-    first = w.zones.agg(F.min_by("zone_id", "row_ord")).first()[0]
-    level = w.zones.where(F.col("zone_id") == first).select(F.col("zone_id").alias("node"), F.lit(None).cast("string").alias("parent"))
-    hung = [materialize(level, "level")]
-    closure = [hung[0].select("node", F.col("node").alias("above"))]
-    while True:
-        last = hung[-1]
-        step = materialize(both.join(last, both["u"] == last["node"]).where(F.col("parent").isNull() | (F.col("v") != F.col("parent"))).select(F.col("v").alias("node"), F.col("u").alias("parent")), "level")
-        if step.isEmpty():
-            break
-        hung.append(step)
-        over = step.join(closure[-1].withColumnRenamed("node", "parent"), "parent").select("node", "above").unionByName(step.select("node", F.col("node").alias("above")))
-        closure.append(materialize(over, "closure"))
-    edges = hung[0]
-    for h in hung[1:]:
-        edges = edges.unionByName(h)
-    edges = edges.where("parent is not null")
-    under = closure[0]
-    for c in closure[1:]:
-        under = under.unionByName(c)
-    under = materialize(under, "under")
+    edges = _hung(tree, w.zones.agg(F.min_by("zone_id", "row_ord")).first()[0])
+    # the ancestors of each node: those within twice as many steps, until there are none further up
+    jump = edges.select("node", F.col("parent").alias("above"))
+    under = w.zones.select(F.col("zone_id").alias("node"), F.col("zone_id").alias("above"))
+    while not jump.isEmpty():
+        further = under.join(jump.withColumnRenamed("above", "up"), under["above"] == jump["node"]).select(under["node"], F.col("up").alias("above"))
+        under = materialize(under.unionByName(further), "under")
+        jump = materialize(jump.join(jump.select(F.col("node").alias("above"), F.col("above").alias("up")), "above").select("node", F.col("up").alias("above")), "jump")
     m = metrics.total_flow(pairs)
     stats = w.zones.join(metrics.node_flows(pairs), "zone_id", "left").na.fill(0.0, ["out", "inn", "deg"])
     sums = under.join(stats, under["node"] == stats["zone_id"]).groupBy("above").agg(F.count(F.lit(1)).alias("n"), F.sum("POPU").alias("popu"), F.sum("hosp").alias("hosp"), F.sum("out").alias("out"), F.sum("inn").alias("inn"), F.sum("deg").alias("deg"))
@@ -682,7 +683,7 @@ SQL = {
     "components": COMPONENTS_SQL,
     "mst_edges": _with(_sql_world(F2), _SQL_COSTS, *_SQL_MST, recursive=True) + "select u, v, round(w, 6) as w from mst",
     "subtree_stats": _with(_sql_world(F1), _SQL_COSTS, *_SQL_MST, *_SQL_SIDES, recursive=True) + "select u, v, n, round(popu, 6) as popu, round(hosp, 6) as hosp from mst join sums using (k)",
-    "first_cuts": _with(_sql_world(F2), _SQL_COSTS, *_SQL_MST, *_SQL_SIDES, recursive=True) + "select u, v, round(gain, 6) as gain from mst join gains using (k)",
+    "first_cuts": _with(_sql_world(F2), _SQL_COSTS, *_SQL_MST, *_SQL_SIDES, recursive=True) + "select u, v, round(gain, 6) + 0.0::double as gain from mst join gains using (k)",
     "best_cut_level1": _with(_sql_world(F1), _SQL_COSTS, *_SQL_MST, *_SQL_SIDES, _SQL_FIRST, recursive=True) + "select 'lower' as part, n, round(popu, 6) as popu from top union all select 'upper', n_t, round(popu_t, 6) from top",
     "rook_edges": _sql_touching("rook"),
     "queen_edges": _sql_touching("queen"),

@@ -31,9 +31,12 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """One row per feature of files with one feature a line: its properties as columns and ``geometry`` as rings.
     Of a multipolygon the rings of all parts follow each other."""
-    rows = spark.read.json(path)
-    properties = [c.name for c in rows.schema["properties"].dataType.fields]
-    coordinates = F.to_json(F.col("geometry.coordinates"))
+    found = spark.read.json(path).schema["properties"].dataType
+    properties = [c.name for c in found.fields]
+    # coordinates of differing depth are kept as the text they are
+    shape = StructType.fromDDL("geometry struct<type: string, coordinates: string>").add("properties", found)
+    rows = spark.read.schema(shape).json(path)
+    coordinates = F.col("geometry.coordinates")
     polygon = F.from_json(coordinates, "array<array<array<double>>>")
     multi = F.flatten(F.from_json(coordinates, "array<array<array<array<double>>>>"))
     rings = F.when(F.col("geometry.type") == "MultiPolygon", multi).when(F.col("geometry.type") == "Polygon", polygon)
