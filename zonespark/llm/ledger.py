@@ -108,6 +108,6 @@ def members(rows: DataFrame, counts: DataFrame) -> DataFrame:
     hot_from = max(2, total * HOT_SHARE)
     hot = F.broadcast(repeated.where(F.col("n") >= hot_from))
     cold = repeated.where(F.col("n") < hot_from)
-    keyed = rows.where("key is not null")
+    keyed = rows.select("key", "row_id").where("key is not null")
     found = [keyed.join(side, "key").where("row_id <> first_id").select(F.col("first_id").alias("row_a"), F.col("row_id").alias("row_b")) for side in (hot, cold)]
     return found[0].unionByName(found[1])

@@ -76,6 +76,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     ``docs`` has ``doc_id, source, n_tokens``; ``targets`` has ``source, target_share, max_repeats``.
     """
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "source", "n_tokens")
     if targets.count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     listed = [tuple(r) for r in targets.where("source is not null").select("source", "target_share", "max_repeats").collect()]
