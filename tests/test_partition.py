@@ -96,6 +96,48 @@ def test_like_plain_sets(seed):
     assert as_sets(run(popu, hosp, tree, flows, lim)) == naive(popu, hosp, tree, flows, lim)
 
 
+def test_ancestors_by_both_ways(spark):
+    r = random.Random(7)
+    n = 80
+    up = np.array([-1] + [r.randrange(max(0, i - 6), i) for i in range(1, n)])
+    tree = partition.hang(n, np.arange(1, n), up[1:], 0)
+    trees = spark.createDataFrame([(i, int(tree.parent[i]), int(tree.depth[i]), int(tree.head[i])) for i in range(n)], "ord long, parent long, depth int, head long")
+    pairs = [(r.randrange(n), r.randrange(n), 1.0) for _ in range(300)]
+    at = [(o, d, f, o, d, *(int(x[i]) for x in (tree.depth, tree.head) for i in (o, d))) for o, d, f in pairs]
+    df = spark.createDataFrame(at, "o long, d long, f double, x long, y long, dx int, dy int, hx long, hy long")
+
+    def meet(a, b):
+        above = set()
+        while a >= 0:
+            above.add(a)
+            a = up[a]
+        while b not in above:
+            b = up[b]
+        return int(b)
+
+    want = sorted((o, d, meet(o, d)) for o, d, _ in pairs)
+    for most in (1000, 0):
+        assert sorted((x["o"], x["d"], x["meet"]) for x in partition.common_ancestors(df, trees, most).collect()) == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_many_pieces_by_both_solvers(spark, seed):
+    r = random.Random(seed + 100)
+    n = 40
+    popu = [r.uniform(1, 9) for _ in range(n)]
+    tree = [(r.randrange(i), i) for i in range(1, n) if r.random() > 0.4]
+    flows = [(o, d, r.uniform(0.1, 9)) for o in range(n) for d in range(n) if r.random() < 0.1]
+    lim = limits(r.choice([3, 8]), r.choice([12, 30]))
+    local = run(popu, [0] * n, tree, flows, lim)
+    assert as_sets(local) == naive(popu, [0] * n, tree, flows, lim)
+    out, deg = ([float(sum(x[2] for x in flows if x[end] == i)) for i in range(n)] for end in (0, 1))
+    nodes = spark.createDataFrame([(i, str(i), popu[i], 0.0, out[i], out[i] + deg[i]) for i in range(n)], "ord long, zone_id string, popu double, hosp double, out double, deg double")
+    problem = partition.Problem(nodes, spark.createDataFrame(tree, "u long, v long"), spark.createDataFrame(flows, "o long, d long, f double"), sum(f for *_, f in flows), lim, (), n, len(flows))
+    for way in (True, False):
+        got = {int(x["zone_id"]): x["cluster"] for x in partition.solve(problem, way).collect()}
+        assert [got[i] for i in range(n)] == local.tolist()
+
+
 def test_two_zones():
     flows = [(0, 0, 10.0), (1, 1, 10.0), (0, 1, 1.0)]
     assert run([10, 10], [0, 0], [(0, 1)], flows, limits(5, 15, li=0.3)).tolist() in ([0, 1], [1, 0])

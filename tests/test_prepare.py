@@ -90,21 +90,24 @@ def test_repeated_adjacency_doubles_the_glue(spark):
     assert made == {("1", "2"): 1.5, ("2", "1"): 1.5, ("2", "3"): 0.5, ("3", "2"): 0.5}
 
 
+@pytest.mark.parametrize("one_task", [0, 1000])
 @pytest.mark.parametrize(("flows", "median"), [([1.0, 1.0, 1.0, 1.0], 2.0), ([4.0, 1.0, 1.0, 2.0], 1.0)])
-def test_weighted_median(spark, flows, median):
+def test_weighted_median(spark, flows, median, one_task):
     df = spark.createDataFrame(list(zip([1.0, 2.0, 2.0, 3.0], flows, strict=True)), "dist double, flow double")
-    assert ordering.weighted_quantile(df, "dist", "flow") == median
+    assert ordering.weighted_quantile(df, "dist", "flow", one_task=one_task) == median
+    assert ordering.weighted_quantile(df.where("false"), "dist", "flow", one_task=one_task) is None
 
 
-def test_percentile_and_numbers_like_numpy(spark):
+@pytest.mark.parametrize("one_task", [-1, 1000])
+def test_percentile_and_numbers_like_numpy(spark, one_task):
     values = np.random.default_rng(1).normal(size=501).round(2).tolist()
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     for p in (0, 12.5, 50, 75, 99, 100):
-        assert ordering.percentile(df, "v", p) == pytest.approx(np.percentile(values, p), abs=1e-12)
-    numbered = ordering.number_rows(df.where("v is not null"), ["v"], "n").orderBy("n").collect()
+        assert ordering.percentile(df, "v", p, one_task) == pytest.approx(np.percentile(values, p), abs=1e-12)
+    numbered = ordering.number_rows(df.where("v is not null"), ["v"], "n", one_task).orderBy("n").collect()
     assert [r["n"] for r in numbered] == list(range(501)) and [r["v"] for r in numbered] == sorted(values)
     empty = df.where("false")
-    assert ordering.percentile(empty, "v", 50) is None and ordering.number_rows(empty, ["v"], "n").count() == 0
+    assert ordering.percentile(empty, "v", 50, one_task) is None and ordering.number_rows(empty, ["v"], "n", one_task).count() == 0
 
 
 def test_constraints(spark):

@@ -84,12 +84,11 @@ def self_loops(zones: DataFrame, glue: float) -> DataFrame:
     return zones.select(F.col("zone_id").alias("src"), F.col("zone_id").alias("dst"), F.lit(float(glue)).alias("w"))
 
 
-def normalized(edges: DataFrame) -> DataFrame:
-    """Each weight over the root of its ends' degrees (sums of incoming weights); 0 where a degree is not above 0."""
+def normalized(edges: DataFrame, nodes: int | None = None) -> DataFrame:
+    """Each weight over the root of its ends' degrees (sums of incoming weights); 0 where a degree is not above 0. ``nodes`` is their number, counted if not given."""
     degree = edges.groupBy(F.col("dst").alias("node")).agg(F.sum("w").alias("deg"))
     inverse = degree.select("node", F.when(F.col("deg") > 0, 1 / F.sqrt("deg")).otherwise(0.0).alias("r"))
-    inverse = materialize(inverse, "degrees")
-    rows = inverse.count()
+    rows = inverse.count() if nodes is None else nodes
     src, dst = (small(inverse.select(F.col("node").alias(end), F.col("r").alias(f"r_{end}")), rows) for end in ("src", "dst"))
     return edges.join(src, "src").join(dst, "dst").select("src", "dst", (F.col("w") * F.col("r_src") * F.col("r_dst")).alias("w"))
 
@@ -98,6 +97,7 @@ def build_graph(weighted: DataFrame, adj: DataFrame, zones: DataFrame, glue: flo
     """The propagation operator: symmetric edges and loops, normalized ``times`` times. Twice is what a
     convolution that normalizes by itself makes of weights that are already normalized."""
     edges = materialize(symmetric_edges(weighted, known_neighbours(adj, zones), glue).unionByName(self_loops(zones, glue)), "edges")
+    nodes = zones.count()
     for _ in range(times):
-        edges = normalized(edges)
+        edges = normalized(edges, nodes)
     return edges

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..plans.runtime import materialize
 
+#: Up to so many rows (counted first) one task sorts them, which saves jobs and changes no result.
+ONE_TASK_ROWS = 1_000_000
+
 
 def in_ranges(df: DataFrame, *by: str) -> DataFrame:
     """``df`` written in range partitions of ``by``; ``_part`` numbers them in order."""
@@ -29,8 +32,10 @@ def _offsets(parts: DataFrame, amount: Column) -> list[tuple[int, float, float]]
     return out
 
 
-def number_rows(df: DataFrame, by: list[str], name: str) -> DataFrame:
+def number_rows(df: DataFrame, by: list[str], name: str, one_task: int = ONE_TASK_ROWS) -> DataFrame:
     """``df`` with ``name``, the place of each row in the order ``by`` from 0; ties in any order."""
+    if df.count() <= one_task:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*by)) - 1).cast("bigint"))
     parts = in_ranges(df, *by)
     offsets = _offsets(parts, F.count(F.lit(1)))
     if not offsets:
@@ -40,9 +45,14 @@ def number_rows(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return parts.withColumn(name, (start + place).cast("bigint")).drop("_part")
 
 
-def weighted_quantile(df: DataFrame, value: str, weight: str, q: float = 0.5) -> float | None:
+def weighted_quantile(df: DataFrame, value: str, weight: str, q: float = 0.5, one_task: int = ONE_TASK_ROWS) -> float | None:
     """The least value at which the running weight reaches ``q`` of the total; None for no rows."""
     sums = df.groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
+    if df.count() <= one_task:
+        running = F.sum("w").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        whole = F.sum("w").over(Window.partitionBy())
+        reached = sums.select("v", running.alias("c"), whole.alias("t"))
+        return reached.agg(F.coalesce(F.min(F.when(F.col("c") >= F.lit(q) * F.col("t"), F.col("v"))), F.max("v"))).first()[0]
     parts = in_ranges(sums, "v")
     offsets = _offsets(parts, F.sum("w"))
     if not offsets:
@@ -55,8 +65,10 @@ def weighted_quantile(df: DataFrame, value: str, weight: str, q: float = 0.5) ->
     return found if found is not None else inside.agg(F.max("v")).first()[0]
 
 
-def percentile(df: DataFrame, value: str, percent: float) -> float | None:
+def percentile(df: DataFrame, value: str, percent: float, one_task: int = ONE_TASK_ROWS) -> float | None:
     """Exact percentile with linear interpolation between the two nearest values; None for no rows."""
+    if df.count() <= one_task:
+        return df.agg(F.percentile(value, F.lit(percent / 100))).first()[0]
     parts = in_ranges(df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")), "v")
     offsets = _offsets(parts, F.count(F.lit(1)))
     if not offsets:

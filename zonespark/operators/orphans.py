@@ -108,10 +108,12 @@ def cascade(nodes: dict[str, Node], edges: list[Reference], max_rounds: int = 10
     so that the iteration ends on cyclic graphs too. Edges whose parent no other edge leads to need no round.
     """
     nothing = F.lit(None).cast("date")
-    pairs = list(dict.fromkeys((e.child, e.parent) for e in edges))
+    # edges of the same tables and dates are looked up together
+    together: dict[tuple[str, str, str], list[Reference]] = {}
+    for e in edges:
+        together.setdefault((e.child, e.parent, str(e.dated)), []).append(e)
     direct = []
-    for child, parent in pairs:
-        own = [e for e in edges if (e.child, e.parent) == (child, parent)]
+    for (child, parent, _), own in together.items():
         node = nodes[parent]
         life = lives(node.rows, node.key, nothing if node.begins is None else node.begins, nothing if node.ends is None else node.ends)
         dated = nothing if own[0].dated is None else own[0].dated

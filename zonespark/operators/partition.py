@@ -12,7 +12,7 @@ pass over the flows and one over the zones.
 
 Two ways lead to the same clusters:
 
-* ``solve_level`` handles all open clusters of a level at once as Spark jobs. Flows stay distributed;
+* ``solve_level`` handles all open clusters at once, in rounds of Spark jobs. Flows stay distributed;
   a task holds the zones of one cluster, never its flows.
 * ``solve_local`` runs the same functions on a whole problem in one task, for problems checked to
   have at most ``LOCAL_ZONES`` zones and ``LOCAL_FLOWS`` pairs with flow.
@@ -30,7 +30,7 @@ its first zone in row order. Clusters are numbered in the order in which they be
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from ..plans.config import PartitionConfig, hospital_column
 from ..plans.runtime import materialize
-from .flow_graph import small
-from .forest import spanning_forest
+from .flow_graph import BROADCAST_ZONES, small
+from .forest import components, spanning_forest
 from .metrics import known_flows, node_flows, total_flow
 from .ordering import number_rows
 from .prepare import ORDER, as_double, keep_first
@@ -196,57 +196,92 @@ def best_cut(tree: Rooted, popu: np.ndarray, hosp: np.ndarray, extra: np.ndarray
     return Cut(v, float(gain[v]))
 
 
-def largest_piece(labels: np.ndarray) -> np.ndarray:
-    """Which nodes belong to the largest piece, the first of equal ones."""
-    names, counts = np.unique(labels, return_counts=True)
-    return labels == names[np.argmax(counts)]
-
-
 def solve_local(popu: np.ndarray, hosp: np.ndarray, extra: np.ndarray, out: np.ndarray, deg: np.ndarray, edges: tuple[np.ndarray, np.ndarray], flows: tuple[np.ndarray, np.ndarray, np.ndarray], m: float, limits: Limits) -> np.ndarray:
     """Cluster number of each zone; arrays are in row order, ``edges`` and ``flows`` hold positions."""
     n = len(popu)
     label = np.full(n, -1, np.int64)
     made = 0
     where = np.empty(n, np.int64)
-    waiting = deque([(np.arange(n), 0, edges, flows)]) if n else deque()
 
-    def finish(nodes: np.ndarray) -> None:
+    def finish(parts: list[Piece]) -> None:
         nonlocal made
-        label[nodes] = made
+        for part in parts:
+            label[part.nodes] = made
         made += 1
 
+    def piece(nodes: np.ndarray, root: int, edges: tuple, flows: tuple) -> Piece:
+        return Piece(nodes, root, edges, flows, float(popu[nodes].sum()), extra[nodes].sum(axis=0))
+
+    waiting = deque([in_pieces(n, edges, flows, piece)] if n else [])
     while waiting:
-        nodes, root, (eu, ev), (fo, fd, fw) = waiting.popleft()
-        p, x = float(popu[nodes].sum()), extra[nodes].sum(axis=0)
-        if limits.done(p, x) or len(nodes) == 1:
-            finish(nodes)
+        parts = waiting.popleft()
+        p, x = totals(parts)
+        if limits.done(p, x) or sum(len(part.nodes) for part in parts) == 1:
+            finish(parts)
             continue
-        where[nodes] = np.arange(len(nodes))
-        u, v = where[eu], where[ev]
-        labels = pieces(len(nodes), u, v)
-        start = None
-        if (labels != 0).any():
-            side = largest_piece(labels)
+        if len(parts) > 1:
+            sides = [parts[:1], parts[1:]]
         else:
-            tree = hang(len(nodes), u, v, int(where[root]))
-            o, d = where[fo], where[fd]
+            nodes, (eu, ev), (fo, fd, fw) = parts[0].nodes, parts[0].edges, parts[0].flows
             k = len(nodes)
+            where[nodes] = np.arange(k)
+            u, v, o, d = where[eu], where[ev], where[fo], where[fd]
+            tree = hang(k, u, v, int(where[parts[0].root]))
             sums = [np.bincount(at, fw, k) for at in (o, d, ancestors(o, d, tree.parent, tree.depth, tree.head))]
             cut = best_cut(tree, popu[nodes], hosp[nodes], extra[nodes], out[nodes], deg[nodes], *sums, m, limits)
             if cut is None or not (cut.gain > 0 or limits.over(p, x)):
-                finish(nodes)
+                finish(parts)
                 continue
-            side, start = tree.inside(cut.node), int(nodes[cut.node])
-        for here in (side, ~side):
-            part = nodes[here]
-            if not limits.again(float(popu[part].sum()), extra[part].sum(axis=0)):
-                finish(part)
-                continue
-            keep_e, keep_f = here[u] & here[v], here[where[fo]] & here[where[fd]]
-            waiting.append((part, start if start is not None and here is side else int(part[0]), (eu[keep_e], ev[keep_e]), (fo[keep_f], fd[keep_f], fw[keep_f])))
+            below = tree.inside(cut.node)
+            sides = []
+            for here, root in ((below, int(nodes[cut.node])), (~below, int(nodes[~below][0]))):
+                keep_e, keep_f = here[u] & here[v], here[o] & here[d]
+                sides.append([piece(nodes[here], root, (eu[keep_e], ev[keep_e]), (fo[keep_f], fd[keep_f], fw[keep_f]))])
+        for side in sides:
+            if limits.again(*totals(side)):
+                waiting.append(side)
+            else:
+                finish(side)
     return label
 
 
+@dataclass(frozen=True)
+class Piece:
+    """A connected part with what lies within it; a cluster is a list of pieces, the largest first."""
+
+    nodes: np.ndarray
+    root: int
+    edges: tuple[np.ndarray, np.ndarray]
+    flows: tuple[np.ndarray, np.ndarray, np.ndarray]
+    popu: float
+    extra: np.ndarray
+
+
+def totals(parts: list[Piece]) -> tuple[float, np.ndarray]:
+    """Population and extra attributes of a cluster."""
+    if len(parts) == 1:
+        return parts[0].popu, parts[0].extra
+    return float(np.sum([p.popu for p in parts])), np.sum([p.extra for p in parts], axis=0)
+
+
+def in_pieces(n: int, edges: tuple[np.ndarray, np.ndarray], flows: tuple[np.ndarray, np.ndarray, np.ndarray], piece: Callable[..., Piece]) -> list[Piece]:
+    """All zones in their connected pieces, of equal ones the first first."""
+    labels = pieces(n, *edges)
+    within = labels[flows[0]] == labels[flows[1]]
+    kinds = ((np.arange(n), labels), (np.arange(len(edges[0])), labels[edges[0]]), (np.flatnonzero(within), labels[flows[0][within]]))
+    names = np.unique(labels)
+    sliced = []
+    for items, of in kinds:
+        by = np.argsort(of, kind="stable")
+        bounds = np.searchsorted(of[by], names, "left"), np.searchsorted(of[by], names, "right")
+        sliced.append((items[by], *bounds))
+    found = []
+    for i in range(len(names)):
+        nodes, own_e, own_f = (items[low[i] : high[i]] for items, low, high in sliced)
+        found.append(piece(nodes, int(nodes[0]), tuple(c[own_e] for c in edges), tuple(c[own_f] for c in flows)))
+    return sorted(found, key=lambda p: (-len(p.nodes), p.root))
+
+
 # --- the problem as tables
 
 
@@ -342,62 +377,108 @@ def solve(problem: Problem, local: bool | None = None) -> DataFrame:
     return rows.unionByName(tree).unionByName(moves).groupBy(F.lit(0).alias("all")).applyInPandas(run, "zone_id string, cluster long")
 
 
+#: Stands after all pieces in the order of a level.
+_REST = 1 << 60
+
+
+def peel(stats: list[dict], limits: Limits, extra_names: list[str]) -> tuple[list[tuple], list[tuple]]:
+    """What becomes of a problem in several pieces, given the sums of each, the largest first: the largest is taken
+    off level by level. Gives (pieces from, to, level, place) of those to be cut and (from, to, key) of what is final."""
+    cut, final = [], []
+    if not stats:
+        return cut, final
+    popu = np.array([s["popu"] for s in stats], float)
+    extra = np.array([[s[e] for e in extra_names] for s in stats], float).reshape(len(stats), len(extra_names))
+    n = len(stats)
+    for level in range(n):
+        p, x = float(popu[level:].sum()), extra[level:].sum(axis=0)
+        if limits.done(p, x):
+            final.append((level, n, (level, _REST, (), 0)))
+            break
+        if level == n - 1:
+            cut.append((level, n, level, level))
+            break
+        if limits.again(float(popu[level]), extra[level]):
+            cut.append((level, level + 1, level + 1, level))
+        else:
+            final.append((level, level + 1, (level, _REST, (), 0)))
+        if not limits.again(float(popu[level + 1 :].sum()), extra[level + 1 :].sum(axis=0)):
+            final.append((level + 1, n, (level, _REST, (), 1)))
+            break
+    return cut, final
+
+
 def solve_level(problem: Problem) -> DataFrame:
-    """The same by one round of Spark jobs per level."""
+    """The same by rounds of Spark jobs, each of which looks at all open clusters.
+
+    The order in which clusters become final in the worklist is kept as a key: the level in which it is
+    looked at, the piece it comes from, and the sides of the cuts that led to it."""
     spark = problem.nodes.sparkSession
     limits, m, extras = problem.limits, problem.m, len(problem.extras)
     extra_names = [f"e{i}" for i in range(extras)]
-    totals = [F.sum(c).alias(c) for c in ("popu", *extra_names)]
-    # place: where a final cluster stands in the order of finishing: level, position in the level, side
-    state = problem.nodes.select("ord", F.lit(0).cast("long").alias("cluster"))
-    state = materialize(state, "state")
-    whole = problem.nodes.agg(F.count(F.lit(1)).alias("n"), *totals).first()
-    if not whole["n"]:
+    sums = [F.sum(c).alias(c) for c in ("popu", *extra_names)]
+    pieces_ = materialize(components(problem.edges, problem.nodes.select(F.col("ord").alias("node"))), "pieces")
+    # one row for each piece of the neighbourhood graph
+    of_piece = problem.nodes.join(pieces_, problem.nodes["ord"] == pieces_["node"]).groupBy("component").agg(F.count(F.lit(1)).alias("n"), *sums)
+    stats = sorted((r.asDict() for r in of_piece.collect()), key=lambda r: (-r["n"], r["component"]))
+    if not stats:
         return spark.createDataFrame([], "zone_id string, cluster long")
-    final: list[tuple[int, tuple[int, int, int]]] = []
-    waiting = [(0, 0, whole.asDict())]  # cluster, root, sums
-    fresh, level = 1, 0
+    first_cuts, first_final = peel(stats, limits, extra_names)
+    final: list[tuple[int, tuple]] = []
+    waiting: list[tuple] = []  # cluster, root, sums, level, piece, sides
+    names: list[tuple[int, int]] = []
+    fresh = 0
+    for low, high, key in first_final:
+        names += [(s["component"], fresh) for s in stats[low:high]]
+        final.append((fresh, key))
+        fresh += 1
+    for low, _, level, place in first_cuts:
+        names.append((stats[low]["component"], fresh))
+        waiting.append((fresh, stats[low]["component"], stats[low], level, place, ()))
+        fresh += 1
+    start = spark.createDataFrame(names, "component long, cluster long")
+    state = materialize(pieces_.join(small(start, len(names)), "component").select(F.col("node").alias("ord"), "cluster"), "state")
     while waiting:
         opened = []
-        for at, (cluster, root, sums) in enumerate(waiting):
-            x = np.array([sums[e] for e in extra_names])
-            if limits.done(sums["popu"], x) or sums["n"] == 1:
-                final.append((cluster, (level, at, 0)))
+        for one in waiting:
+            cluster, root, own, level, place, sides = one
+            x = np.array([own[e] for e in extra_names])
+            if limits.done(own["popu"], x) or own["n"] == 1:
+                final.append((cluster, (level, place, sides, 0)))
             else:
-                opened.append((at, cluster, root, sums, limits.over(sums["popu"], x)))
+                opened.append((one, limits.over(own["popu"], x)))
         if not opened:
             break
-        frontier = spark.createDataFrame([(c, r, f) for _, c, r, _, f in opened], "cluster long, root long, force boolean")
+        frontier = spark.createDataFrame([(one[0], one[1], force) for one, force in opened], "cluster long, root long, force boolean")
         decided = materialize(_split(problem, state, small(frontier, len(opened)), m, limits, extras), "decided")
-        sides = problem.nodes.join(decided, "ord").groupBy("cluster", "side").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"), F.max("start").alias("start"), *totals)
+        parts_ = problem.nodes.join(decided, "ord").groupBy("cluster", "side").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"), F.max("start").alias("start"), *sums)
         # one row for each part of an open cluster
-        parts = {(r["cluster"], r["side"]): r.asDict() for r in sides.collect()}
-        names, after = [], []
-        for at, cluster, _, _, _ in opened:
+        parts = {(r["cluster"], r["side"]): r.asDict() for r in parts_.collect()}
+        renamed_, waiting = [], []
+        for (cluster, _, _, level, place, sides), _ in opened:
             if (cluster, 1) not in parts:
-                final.append((cluster, (level, at, 0)))
+                final.append((cluster, (level, place, sides, 0)))
                 continue
             for side in (0, 1):
                 part = parts[cluster, side]
-                names.append((cluster, side, fresh))
+                renamed_.append((cluster, side, fresh))
                 if limits.again(part["popu"], np.array([part[e] for e in extra_names])):
-                    after.append((fresh, part["start"] if side == 0 and part["start"] >= 0 else part["first"], part))
+                    waiting.append((fresh, part["start"] if side == 0 else part["first"], part, level + 1, place, (*sides, side)))
                 else:
-                    final.append((fresh, (level, at, side)))
+                    final.append((fresh, (level, place, sides, side)))
                 fresh += 1
-        if names:
-            renamed = spark.createDataFrame(names, "cluster long, side int, renamed long")
-            moved = decided.join(small(renamed, len(names)), ["cluster", "side"]).select("ord", "renamed")
+        if renamed_:
+            renamed = spark.createDataFrame(renamed_, "cluster long, side int, renamed long")
+            moved = decided.join(small(renamed, len(renamed_)), ["cluster", "side"]).select("ord", "renamed")
             state = materialize(state.join(moved, "ord", "left").select("ord", F.coalesce("renamed", "cluster").alias("cluster")), "state")
-        waiting, level = after, level + 1
     numbers = {cluster: i for i, (cluster, _) in enumerate(sorted(final, key=lambda x: x[1]))}
     table = spark.createDataFrame(list(numbers.items()), "cluster long, number long")
     return problem.nodes.select("ord", "zone_id").join(state, "ord").join(small(table, len(numbers)), "cluster").select("zone_id", F.col("number").alias("cluster"))
 
 
 def _split(problem: Problem, state: DataFrame, frontier: DataFrame, m: float, limits: Limits, extras: int) -> DataFrame:
-    """``ord, cluster, side, start`` of the zones of the open clusters that are split; ``start`` is the root of the
-    subtree side or -1."""
+    """``ord, cluster, side, start`` of the zones of the open clusters, all of them connected: side 0 is the subtree
+    below the cut, whose root is ``start``. A cluster that is not cut has side 0 and start -1 throughout."""
     zones = state.join(frontier, "cluster")
     a, b = (zones.select(F.col("ord").alias(e), F.col("cluster").alias(f"c{e}")) for e in ("u", "v"))
     tree = problem.edges.join(a, "u").join(b, "v").where("cu = cv").select(F.col("cu").alias("cluster"), "u", "v")
@@ -408,15 +489,11 @@ def _split(problem: Problem, state: DataFrame, frontier: DataFrame, m: float, li
         nodes = np.sort(frame["u"].to_numpy()[own])
         edges = frame[~own].sort_values(["u", "v"])
         u, v = (np.searchsorted(nodes, edges[c].to_numpy()) for c in ("u", "v"))
-        labels = pieces(len(nodes), u, v)
-        made = pd.DataFrame({"ord": nodes, "cluster": frame["cluster"].iloc[0], "parent": -1, "depth": 0, "head": nodes, "side": -1})
-        if (labels != 0).any():
-            return made.assign(side=np.where(largest_piece(labels), 0, 1))
+        made = pd.DataFrame({"ord": nodes, "cluster": frame["cluster"].iloc[0]})
         tree_ = hang(len(nodes), u, v, int(np.searchsorted(nodes, frame["root"].to_numpy()[own][0])))
         return made.assign(parent=np.where(tree_.parent < 0, -1, nodes[tree_.parent]), depth=tree_.depth, head=nodes[tree_.head])
 
-    hung = materialize(rows.groupBy("cluster").applyInPandas(root, "ord long, cluster long, parent long, depth int, head long, side int"), "hung")
-    trees = hung.where("side < 0")
+    trees = materialize(rows.groupBy("cluster").applyInPandas(root, "ord long, cluster long, parent long, depth int, head long"), "hung")
     placed = [trees.select(F.col("ord").alias(e), F.col("cluster").alias(f"c{e}"), F.col("depth").alias(f"depth_{e}"), F.col("head").alias(f"head_{e}")) for e in ("o", "d")]
     inner = problem.flows.join(placed[0], "o").join(placed[1], "d").where("co = cd")
     pairs = inner.select("o", "d", "f", F.col("o").alias("x"), F.col("d").alias("y"), F.col("depth_o").alias("dx"), F.col("depth_d").alias("dy"), F.col("head_o").alias("hx"), F.col("head_d").alias("hy"))
@@ -437,16 +514,30 @@ def _split(problem: Problem, state: DataFrame, frontier: DataFrame, m: float, li
             return made
         return made.assign(side=np.where(tree_.inside(cut.node), 0, 1), start=int(nodes[cut.node]))
 
-    cuts = scored.groupBy("cluster").applyInPandas(choose, "ord long, cluster long, side int, start long")
-    return cuts.unionByName(hung.where("side >= 0").select("ord", "cluster", "side", F.lit(-1).cast("long").alias("start")))
+    return scored.groupBy("cluster").applyInPandas(choose, "ord long, cluster long, side int, start long")
+
 
+def common_ancestors(pairs: DataFrame, trees: DataFrame, broadcast_zones: int = BROADCAST_ZONES) -> DataFrame:
+    """``o, d, f, meet`` of pairs ``o, d, f`` at ``x, y`` with their depths and heads.
 
-def common_ancestors(pairs: DataFrame, trees: DataFrame) -> DataFrame:
-    """``o, d, f, meet`` of pairs ``o, d, f`` at ``x, y`` with their depths and heads: the pairs whose heavy paths
-    differ climb to the next path by a join, in rounds as many as paths on the way (at most the log of the tree)."""
+    Up to ``broadcast_zones`` rows of ``trees`` go to all tasks, which let their pairs climb heavy paths. Beyond
+    that the pairs whose paths differ climb to the next path by a join, in rounds as many as paths on the way
+    (at most the log of the tree)."""
+    rows = trees.count()
+    if rows <= broadcast_zones:
+        known = trees.select("ord", "parent", "depth", "head").toPandas().sort_values("ord")
+        ords = known["ord"].to_numpy()
+        parent, head = (np.searchsorted(ords, known[c].to_numpy()) for c in ("parent", "head"))
+        depth = known["depth"].to_numpy()
+
+        def climb_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                o, d = (np.searchsorted(ords, b[c].to_numpy()) for c in ("o", "d"))
+                yield b.assign(meet=ords[ancestors(o, d, parent, depth, head)] if len(b) else b["o"])
+
+        return pairs.select("o", "d", "f").mapInPandas(climb_all, "o long, d long, f double, meet long")
     steps = trees.select(F.col("ord").alias("h"), F.col("parent").alias("p"), F.col("depth").alias("hd"))
     nodes = trees.select(F.col("ord").alias("p"), F.col("depth").alias("pd"), F.col("head").alias("ph"))
-    rows = trees.count()
     # each path's head, with the place where one lands above it
     up = materialize(steps.where("p >= 0").join(nodes, "p"), "up")
     done: list[DataFrame] = []

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUNDLES = 1024
 #: A key is heavy from 1 / PER_SHARE of a task's fair share of the rows.
@@ -37,28 +38,16 @@ class Plan:
     heavy: dict[str, list[int]]
     loads: list[int]
 
-    def is_split(self, key: Column) -> Column:
-        """Whether the key has more than one shard."""
-        split = [k for k, shards in self.heavy.items() if len(shards) > 1]
-        return key.isin(split) if split else F.lit(False)
-
-    def _bundle(self, key: Column) -> Column:
+    def bundle(self, key: Column) -> Column:
+        """Task of the bundle of a key."""
         return F.element_at(F.array(*[F.lit(t) for t in self.bundle_task]), F.pmod(F.hash(key), F.lit(len(self.bundle_task))) + 1)
 
-    def _shards(self, key: Column) -> Column:
-        pairs = [x for k, shards in self.heavy.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in shards]))]
-        return F.element_at(F.create_map(*pairs), key) if pairs else F.lit(None).cast("array<int>")
-
-    def task(self, key: Column, row: Column) -> Column:
-        """Task of a row of the fragmented side; ``row`` is a hash of the row."""
-        if not self.heavy:
-            return self._bundle(key)
-        shards = self._shards(key)
-        return F.coalesce(F.element_at(shards, (F.pmod(row, F.size(shards)) + 1).cast("int")), self._bundle(key))
-
-    def replicas(self, key: Column) -> Column:
-        """Tasks of a row of the replicated side, each once."""
-        return F.array_distinct(F.coalesce(self._shards(key), F.array(self._bundle(key))))
+    def shards(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """``df`` with the tasks of the shards of its heavy keys, null for all other keys. The table of heavy keys
+        is broadcast: it has at most PER_SHARE rows a task, and as many shards besides as there are tasks."""
+        kind = df.schema[key].dataType
+        heavy = df.sparkSession.createDataFrame([(k, t) for k, t in self.heavy.items()], T.StructType([T.StructField(key, kind), T.StructField(name, T.ArrayType(T.IntegerType()))]))
+        return df.join(F.broadcast(heavy), key, "left").select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
 def pack(loads: dict[str, int], bundles: list[int], tasks: int, rows: int) -> Plan:
@@ -102,15 +91,18 @@ def plan(df: DataFrame, key: str, tasks: int | None = None, bundles: int = BUNDL
     return pack({h["key"]: h["n"] for r in found for h in r["heavy"]}, light, tasks, sum(r["rows"] for r in found))
 
 
-def fragment(df: DataFrame, key: str, where: Plan, task: str = "_task") -> DataFrame:
-    """``df`` without null keys, each row in its task; column ``task`` says which."""
+def fragment(df: DataFrame, key: str, where: Plan, task: str = "_task", shards: str = "_shards") -> DataFrame:
+    """``df`` without null keys, each row in its task; columns ``task`` and ``shards`` say which, of which."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return df.where(F.col(key).isNotNull()).withColumn(task, where.task(F.col(key), row)).repartitionById(where.tasks, F.col(task))
+    placed = where.shards(df.where(F.col(key).isNotNull()), key, shards)
+    own = F.element_at(shards, (F.pmod(row, F.size(shards)) + 1).cast("int"))
+    return placed.withColumn(task, F.when(F.col(shards).isNull(), where.bundle(F.col(key))).otherwise(own)).repartitionById(where.tasks, F.col(task))
 
 
-def replicate(df: DataFrame, key: str, where: Plan, task: str = "_task") -> DataFrame:
+def replicate(df: DataFrame, key: str, where: Plan, task: str = "_task", shards: str = "_shards") -> DataFrame:
     """``df`` without null keys, each row in every task that holds a shard of its key."""
-    return df.where(F.col(key).isNotNull()).withColumn(task, F.explode(where.replicas(F.col(key)))).repartitionById(where.tasks, F.col(task))
+    placed = where.shards(df.where(F.col(key).isNotNull()), key, shards)
+    return placed.withColumn(task, F.explode(F.array_distinct(F.coalesce(shards, F.array(where.bundle(F.col(key))))))).drop(shards).repartitionById(where.tasks, F.col(task))
 
 
 def balanced_join(df: DataFrame, other: DataFrame, key: str, how: str = "inner", where: Plan | None = None) -> DataFrame:
@@ -122,16 +114,16 @@ def balanced_join(df: DataFrame, other: DataFrame, key: str, how: str = "inner",
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
     where = where or plan(df, key)
-    task = "_task"
-    while task in df.columns or task in other.columns:
-        task += "_"
+    task, shards = "_task", "_shards"
+    while {task, shards} & {*df.columns, *other.columns}:
+        task, shards = f"{task}_", f"{shards}_"
     for c in other.columns:
         if c != key and c in df.columns:
             new = f"{c}_right"
             while new in df.columns or new in other.columns:
                 new += "_"
             other = other.withColumnRenamed(c, new)
-    return fragment(df, key, where, task).join(replicate(other, key, where, task), [task, key], how).drop(task)
+    return fragment(df, key, where, task, shards).join(replicate(other, key, where, task, shards), [task, key], how).drop(task, shards)
 
 
 def key_totals(df: DataFrame, key: str, value: str, distinct: str, where: Plan | None = None) -> DataFrame:
@@ -146,11 +138,11 @@ def key_totals(df: DataFrame, key: str, value: str, distinct: str, where: Plan |
     number = F.when(~F.isnan("_v"), F.col("_v"))
     local = (
         fragment(df, key, where)
-        .groupBy("_task", "_key", "_d")
+        .groupBy("_task", "_key", "_d", (F.size("_shards") > 1).alias("_split"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(number).alias("s"))
     )
     # values of split keys stay apart until all shards of the key have met
-    apart = F.when(where.is_split(F.col("_key")), F.col("_d"))
+    apart = F.when(F.col("_split"), F.col("_d"))
     shard = local.groupBy("_task", "_key", apart.alias("_apart")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("_d").alias("d"))
     met = shard.groupBy("_key", "_apart").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.when(F.col("_apart").isNull(), F.sum("d")).otherwise(F.lit(1)).alias("d"))
     return met.groupBy(F.col("_key").alias(out)).agg(F.sum("n").alias("n_rows"), F.sum("s").alias("total"), F.sum("d").alias("n_distinct"))
