@@ -21,6 +21,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.runtime import materialize
+
 BUCKETS = 16
 _SCHEMA = "key binary, n bigint, first_id bigint"
 
@@ -71,11 +73,11 @@ class Ledger:
 
     def update(self, batch: DataFrame) -> None:
         """Add a batch of ``key, row_id``."""
-        new = batch.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("new_n"), F.min("row_id").alias("new_first"))
+        new = materialize(batch.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("new_n"), F.min("row_id").alias("new_first")), "batch")
         bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
         if self.places:
             # buckets are at most as many as the parameter says
-            touched = [r[0] for r in batch.where("key is not null").select(bucket.alias("b")).distinct().collect()] if len(self.places) > 1 else list(range(self.buckets))
+            touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]
             old = self._read(touched)
             both = old.join(new, "key", "full_outer")
             merged = both.select("key", (F.coalesce("n", F.lit(0)) + F.coalesce("new_n", F.lit(0))).alias("n"), F.least("first_id", "new_first").alias("first_id"))
