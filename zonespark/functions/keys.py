@@ -50,8 +50,12 @@ def norm_zone_key(column: Column, data_type: T.DataType | None = None) -> Column
 
 
 def zone_key(column: Column) -> Column:
-    """Letters and digits of a written reference in upper case; null for a blank reference."""
-    return F.nullif(F.upper(F.regexp_replace(column.cast("string"), r"[^\p{L}\p{Nd}]+", "")), F.lit(""))
+    """Letters and digits of a written reference in upper case; null for a blank reference.
+
+    Whether it is null is decided by a search for the first letter or digit, and to the optimizer the rest
+    can't be null: so the filters that joins and tests on a key infer don't normalize the text once more."""
+    text = column.cast("string")
+    return F.when(text.rlike(r"[\p{L}\p{Nd}]"), F.coalesce(F.upper(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", "")), F.lit("")))
 
 
 def letters_and_digits(column: Column) -> Column:
