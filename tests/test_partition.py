@@ -98,11 +98,11 @@ def test_like_plain_sets(seed):
 
 def test_ancestors_by_both_ways(spark):
     r = random.Random(7)
-    n = 80
+    n = 40
     up = np.array([-1] + [r.randrange(max(0, i - 6), i) for i in range(1, n)])
     tree = partition.hang(n, np.arange(1, n), up[1:], 0)
     trees = spark.createDataFrame([(i, int(tree.parent[i]), int(tree.depth[i]), int(tree.head[i])) for i in range(n)], "ord long, parent long, depth int, head long")
-    pairs = [(r.randrange(n), r.randrange(n), 1.0) for _ in range(300)]
+    pairs = [(r.randrange(n), r.randrange(n), 1.0) for _ in range(120)]
     at = [(o, d, f, o, d, *(int(x[i]) for x in (tree.depth, tree.head) for i in (o, d))) for o, d, f in pairs]
     df = spark.createDataFrame(at, "o long, d long, f double, x long, y long, dx int, dy int, hx long, hy long")
 
@@ -120,7 +120,7 @@ def test_ancestors_by_both_ways(spark):
         assert sorted((x["o"], x["d"], x["meet"]) for x in partition.common_ancestors(df, trees, most).collect()) == want
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [1])
 def test_many_pieces_by_both_solvers(spark, seed):
     r = random.Random(seed + 100)
     n = 40
