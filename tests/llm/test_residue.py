@@ -70,3 +70,22 @@ def test_long_texts():
     real = "The second column is sorted by key and then by date. " * 20_000
     assert residue.page_parts(real)[0] is False
     assert residue.unfilled_fields(real + "Kind regards, [Your Name]") == ["[Your Name]"]
+
+
+LATIN = """Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam,
+quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla
+pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."""
+
+
+def test_whole_standard_filler():
+    assert residue.page_parts(LATIN) == (True, [])
+    assert residue.page_parts("Vivamus sagittis lacus vel augue laoreet rutrum faucibus.") == (True, [])
+    for text in ("Non.", "Integer.", "In, do.", "Est-ce que non?"):
+        assert residue.page_parts(text)[1]
+
+
+def test_pages_in_a_long_shell(spark):
+    shell = [f"Shelf number {w} of the mirror" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight")] + ["word " * 50 + "end"]
+    made = [(i, 2000 + i, "How to merge", "mirror", "Service unavailable. " + "\n\nMenu\n\n".join(shell)) for i in range(8)]
+    docs = spark.createDataFrame(made, "doc_id long, thread_id long, title string, source string, text string")
+    assert residue.residue(docs).where("reason = 'evidence'").count() == 8

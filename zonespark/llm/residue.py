@@ -214,6 +214,17 @@ deserunt dolor dolore duis eiusmod elit enim esse excepteur exercitation fugiat
 laborum ligula lorem magna mauris minim mollit nisi nostrud nulla nunc occaecat officia pariatur porta proident quis
 reprehenderit sed sint sit sunt tempor tortor ullamco velit veniam vestibulum vitae voluptate
 """.split()
+#: Its words that are short or words of other languages too: filler only beside one of the above, or four in a row.
+LATIN_BESIDE = """
+ac accumsan ad aenean aliquet ante arcu auctor augue bibendum blandit condimentum congue convallis cras cursus dapibus
+diam dictum dictumst dignissim do dui ea efficitur egestas eget eleifend elementum erat eros est et etiam eu euismod ex
+facilisi facilisis fames faucibus felis fermentum feugiat finibus fringilla fusce gravida habitant habitasse hac hendrerit
+iaculis id imperdiet in integer interdum justo lacinia lacus laoreet lectus leo libero lobortis luctus maecenas malesuada
+massa mattis maximus metus mi morbi nam nec neque netus nibh nisl non nullam odio orci ornare pellentesque pharetra
+phasellus placerat platea posuere potenti praesent pretium primis proin pulvinar purus quam qui quisque rhoncus risus
+rutrum sagittis sapien scelerisque sem semper senectus sodales sollicitudin suscipit suspendisse tellus tempus tincidunt
+tristique turpis ultrices ultricies urna ut varius vehicula vel venenatis vivamus viverra volutpat vulputate
+""".split()
 
 MIDDLE_ROW = "asdfghjkl;"
 
@@ -375,7 +386,8 @@ def _any(phrases: list[str]) -> str:
 
 
 _DEMAND = rf"(?:{_any(DEMANDS)})\s(?:{_any(SCRIPTS)})(?:\s(?:{_any(ENDINGS)}))*"
-_LATIN = rf"(?:{_any(LATIN)})(?:[,;]?\s(?:{_any(LATIN)}))*"
+_ALL_LATIN = rf"(?:{_any([*LATIN, *LATIN_BESIDE])})"
+_LATIN = rf"(?:(?:{_any(LATIN_BESIDE)})[,;]?\s)*(?:{_any(LATIN)})(?:[,;]?\s{_ALL_LATIN})*|{_ALL_LATIN}(?:[,;]?\s{_ALL_LATIN}){{3,}}"
 #: Furniture that names the board it stands on.
 POWERED = r"powered by\s[\w-]+(?:\s(?:board|forum|forums|software))?"
 _STRONG = rf"{_DEMAND}|{_any(UNSUPPORTED)}|{_any(ERRORS)}|{_any(FILLER)}|{_LATIN}"
@@ -398,8 +410,6 @@ _UNITS = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Evidence for a line of page furniture: posts (and threads) it recurs in, and the share of page-like ones.
 MIN_POSTS, MIN_SHARE = 5, 0.9
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-#: A body with more left-over parts than this, or a longer one (in characters), is no page.
-MOST_LEFT, LONGEST_LEFT = 6, 200
 
 
 def own_prose(text: str) -> str:
@@ -455,9 +465,8 @@ def is_mash(text: str) -> bool:
     return len(set(joined)) == 1 or (len(words) >= 4 and len(set(words)) == 1) or (len(words) >= 2 and not set(joined) - set(MIDDLE_ROW))
 
 
-def page_parts(text: str, most: int = MOST_LEFT) -> tuple[bool, list[str]]:
-    """Whether a body has a strong phrase of a page, and what is left when all phrases are taken out, as
-    parts. With more than ``most`` parts left a body is no page whatever follows, and the rest is not read."""
+def page_parts(text: str) -> tuple[bool, list[str]]:
+    """Whether a body has a strong phrase of a page, and what is left when all phrases are taken out, as parts."""
     if is_mash(text):
         return True, []
     body = normalized(text)
@@ -466,8 +475,6 @@ def page_parts(text: str, most: int = MOST_LEFT) -> tuple[bool, list[str]]:
         part = _EDGES.sub("", body[at : m.start()] if m else body[at:])
         if part:
             left.append(part)
-            if len(left) > most or len(part) > LONGEST_LEFT:
-                return False, left
         if m:
             strong |= m["strong"] is not None
             at = m.end()
