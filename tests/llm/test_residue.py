@@ -87,5 +87,14 @@ def test_whole_standard_filler():
 def test_pages_in_a_long_shell(spark):
     shell = [f"Shelf number {w} of the mirror" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight")] + ["word " * 50 + "end"]
     made = [(i, 2000 + i, "How to merge", "mirror", "Service unavailable. " + "\n\nMenu\n\n".join(shell)) for i in range(8)]
+    made += [(100 + i, 2100 + i, "How to merge", "board", f"Merge row {i} first, then its copies.") for i in range(30)]
     docs = spark.createDataFrame(made, "doc_id long, thread_id long, title string, source string, text string")
     assert residue.residue(docs).where("reason = 'evidence'").count() == 8
+
+
+def test_lines_are_found_again_in_their_own_posts(spark):
+    bodies = ["Service unavailable\n\nMirror node seven\nof the archive", "Service unavailable on mirror node seven", "Node seven of the mirror\nAll shelves of it\nService unavailable"]
+    made = [(100 * k + i, 9000 + 100 * k + i, "How to merge", f"mirror {k}", body) for k, body in enumerate(bodies) for i in range(8)]
+    docs = spark.createDataFrame(made, "doc_id long, thread_id long, title string, source string, text string")
+    assert residue.page_units(bodies[1]) == (True, ["on mirror node seven"])
+    assert {(r["doc_id"], r["reason"]) for r in residue.residue(docs).collect()} == {(r[0], "evidence") for r in made}

@@ -11,10 +11,11 @@ Two kinds of evidence flag a post:
   the phrases must be more than furniture.
 
 Pages that carry phrases not in the lists are caught by combined evidence over the whole table:
-what is left of a body is cut into lines, and a left-over line counts as page furniture of the
-hosts (``source``) if it recurs in posts of several threads, nearly all of them page-like, and
-shares no term with the titles of those threads. A body whose left-over lines are all of that
-kind is flagged like the others.
+what is left of a body is cut into lines, and a left-over line counts as furniture of a host
+(``source``) if it recurs in several threads of the host, far oftener than on other hosts among posts
+of the same language (answers of a few words recur everywhere alike), and shares no term with the
+titles of those threads. A body whose left-over lines are all of that kind is page-like. It is
+flagged if a phrase of the lists stands in it too. A table of one host has no such evidence.
 
 Defined cases: null and empty texts are never flagged; texts are read whole, of any length;
 repeated posts are flagged each; null titles, sources and threads only lack that evidence.
@@ -23,6 +24,7 @@ repeated posts are flagged each; null titles, sources and threads only lack that
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -407,8 +409,10 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n{2,}")
 
 
 _UNITS = re.compile(r"(?<=[.!?])\s+|\n+")
-#: Evidence for a line of page furniture: posts (and threads) it recurs in, and the share of page-like ones.
+#: Evidence for a line of page furniture: threads of a host it recurs in, and the share of page-like posts or of threads on another subject.
 MIN_POSTS, MIN_SHARE = 5, 0.9
+#: How many times likelier a line is on its host than elsewhere; and how seldom (one in so many, over all lines) chance may bring that about.
+MIN_ODDS, MAX_CHANCE = 20, 1000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -449,10 +453,10 @@ def unfilled_fields(text: str) -> list[str]:
 
 
 def normalized(text: str) -> str:
-    """A body as its words say it: tags, entities, case, blanks and bullets evened out, numbers as 9."""
+    """A body as its words say it: tags, entities, case, blanks and bullets evened out, numbers as 9. Lines stay apart."""
     text = html.unescape(_TAGS.sub("\n", text))
     text = re.sub(r"(?m)^\s*(?:[-*•+#>=_]+\s+)+", "", text)
-    text = re.sub(r"[\s|]+", " ", text.replace("’", "'").replace("…", "...")).strip().lower()
+    text = re.sub(r"[\s|]+", lambda m: "\n" if "\n" in m[0] else " ", text.replace("’", "'").replace("…", "...")).strip().lower()
     return re.sub(r"\d+", "9", text)
 
 
@@ -481,72 +485,93 @@ def page_parts(text: str) -> tuple[bool, list[str]]:
     return strong, left
 
 
-def units(part: str) -> list[str]:
-    """The sentences of a normalized text, edges stripped."""
-    return [u for u in (_EDGES.sub("", x) for x in _UNITS.split(part)) if u]
+def page_units(text: str) -> tuple[bool, list[str]]:
+    """Whether a body has a strong phrase of a page, and the lines and sentences left when all phrases are taken out, once each."""
+    strong, left = page_parts(text)
+    return strong, list(dict.fromkeys(u for part in left for u in (_EDGES.sub("", x) for x in _UNITS.split(part)) if u))
 
 
-_SCHEMA = "doc_id bigint, n_fields int, strong boolean, left array<string>"
+_SCHEMA = "doc_id bigint, n_fields int, strong boolean, code boolean, left array<string>"
 
 
 def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fields, strong, left = [], [], []
+        fields, strong, code, left = [], [], [], []
         for text in batch.column(1).to_pylist():
-            s, parts = page_parts(text)
+            s, own = page_units(text)
             fields.append(len(unfilled_fields(text)))
             strong.append(s)
-            left.append([u for p in parts for u in units(p)] if s else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fields, pa.int32()), pa.array(strong, pa.bool_()), pa.array(left, pa.list_(pa.string()))], ["doc_id", "n_fields", "strong", "left"])
-
-
-def _all_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [sorted({u for line in _lines(text) for u in units(line)}) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["doc_id", "units"])
-
-
-def _lines(text: str) -> list[str]:
-    return [normalized(line) for line in _TAGS.sub("\n", text).split("\n")]
+            code.append(bool(_CODE_BLOCKS.search(text) or _INLINE.search(text)))
+            left.append(own)
+        columns = [batch.column(0), pa.array(fields, pa.int32()), pa.array(strong, pa.bool_()), pa.array(code, pa.bool_()), pa.array(left, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_fields", "strong", "code", "left"])
 
 
 def residue(docs: DataFrame, min_posts: int = MIN_POSTS, min_share: float = MIN_SHARE) -> DataFrame:
     """``doc_id, reason`` (``field``, ``page`` or ``evidence``) of the posts that are residue.
 
-    ``docs`` has ``doc_id, thread_id, title, source, text``; other columns are not read. A left-over
-    line of page-like posts counts as furniture if it recurs in at least ``min_posts`` of them, in as
-    many threads, if they are at least ``min_share`` of all posts of the same hosts that have the
-    line, and if no title of those threads shares a term with it.
+    ``docs`` has ``doc_id, thread_id, title, source, text`` and may have ``lang``; other columns are not
+    read. See ``host_furniture`` for the lines that count as furniture. A post all of whose left-over lines
+    are furniture of its host is flagged if it has a strong phrase.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("thread_id").cast("bigint").alias("thread_id"), "title", F.coalesce("source", F.lit("")).alias("source"), "text")
+    lang = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("thread_id").cast("bigint").alias("thread_id"), "title", "source", lang.alias("lang"), "text")
     texts = docs.select("doc_id", "text").where("text is not null")
-    seen = materialize(texts.mapInArrow(_examine, _SCHEMA).where("n_fields > 0 or strong"), "residue")
+    # the units of all posts are made here once, so that a line of a page is the same line wherever it stands
+    seen = materialize(texts.mapInArrow(_examine, _SCHEMA).where("n_fields > 0 or strong or size(left) > 0").withColumn("units", F.transform("left", lambda x: F.xxhash64(x))), "residue")
     fields = seen.where("n_fields > 0").select("doc_id", F.lit("field").alias("reason"))
-    pages = seen.where("n_fields = 0 and size(left) = 0").select("doc_id", F.lit("page").alias("reason"))
+    pages = seen.where("n_fields = 0 and strong and size(left) = 0").select("doc_id", F.lit("page").alias("reason"))
     flagged = fields.unionByName(pages)
 
-    open_posts = seen.where("n_fields = 0 and size(left) > 0").select("doc_id", F.explode(F.array_distinct("left")).alias("unit"))
-    recurring = materialize(open_posts.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_posts), "recurring")
-    if recurring.isEmpty():
+    each = seen.select("doc_id", F.explode("units").alias("unit"))
+    recurring = each.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_posts)
+    hosted = docs.where("source is not null").select("doc_id", "thread_id", "source", "lang")
+    placed = materialize(each.join(recurring, "unit", "left_semi").join(hosted, "doc_id"), "placed")
+    furniture = materialize(host_furniture(placed, hosted, seen, docs, min_posts, min_share), "furniture")
+    if furniture.isEmpty():
         return flagged
-    titles = docs.where("title is not null and doc_id = thread_id").select("thread_id", "title")
-    about = (
-        open_posts.join(recurring, "unit", "left_semi")
-        .join(docs.select("doc_id", "thread_id", "source"), "doc_id")
-        .join(titles, "thread_id", "left")
-        .withColumn("shared", F.size(F.array_intersect(_terms(F.col("unit")), _terms(F.coalesce("title", F.lit(""))))))
+    open_posts = seen.where("n_fields = 0 and not code and size(left) > 0").select("doc_id", "strong", F.size("left").alias("n_left"))
+    known = placed.join(furniture, ["unit", "source"], "left_semi")
+    page_like = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_known")).join(open_posts, "doc_id").where("n_known = n_left").select("doc_id", "strong")
+    found = page_like.where("strong")
+    return flagged.unionByName(found.select("doc_id", F.lit("evidence").alias("reason")))
+
+
+def host_furniture(placed: DataFrame, hosted: DataFrame, seen: DataFrame, docs: DataFrame, min_posts: int, min_share: float) -> DataFrame:
+    """``unit, source`` of the lines that are furniture of a host.
+
+    ``placed`` has the posts of recurring units (``unit, doc_id, thread_id, source, lang``). A unit is furniture of
+    a host if it recurs in at least ``min_posts`` threads of it, at MIN_ODDS times the odds that posts of
+    the same languages have to stand on that host, by more than chance over all units tried, and if no
+    title of those threads shares a term with it.
+    """
+    threads = placed.where("thread_id is not null").groupBy("unit", "source", "thread_id").agg(F.min("lang").alias("lang"))
+    hosts = materialize(threads.groupBy("unit", "source").agg(F.count(F.lit(1)).alias("here")).where(F.col("here") >= min_posts), "hosts")
+    everywhere = threads.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    of_lang = hosted.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    rates = hosted.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("own")).join(of_lang, "lang").select("source", "lang", (F.col("own") / F.col("all")).alias("rate"))
+    expected = (
+        threads.groupBy("unit", "lang").agg(F.count(F.lit(1)).alias("of_lang"))
+        .join(hosts.select("unit", "source"), "unit")
+        .join(rates, ["source", "lang"])
+        .groupBy("unit", "source")
+        .agg(F.sum(F.col("of_lang") * F.col("rate")).alias("expected"))
     )
-    evidence = about.groupBy("unit").agg(F.countDistinct("thread_id").alias("threads"), F.countDistinct("doc_id").alias("paged"), F.max("shared").alias("shared"), F.collect_set("source").alias("hosts"))
-    everywhere = (
-        texts.mapInArrow(_all_units, "doc_id bigint, units array<string>")
-        .select("doc_id", F.explode("units").alias("unit"))
-        .join(recurring, "unit", "left_semi")
-        .join(docs.select("doc_id", "source"), "doc_id")
+    # the chance of so many threads on the host is at most exp(-n KL(q, p))
+    q, p = F.col("here") / F.col("n"), F.col("expected") / F.col("n")
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    need = math.log(max(1, hosts.count()) * MAX_CHANCE)
+    own = hosts.join(everywhere, "unit").join(expected, ["unit", "source"]).where((q * (1 - p) >= MIN_ODDS * (1 - q) * p) & (p < 1) & (F.col("n") * (q * F.log(q / p) + rest) >= need))
+    own = materialize(own.select("unit", "source", "here"), "own")
+
+    words = seen.select(F.explode("left").alias("text")).withColumn("unit", F.xxhash64("text")).join(own.select("unit").distinct(), "unit", "left_semi")
+    words = words.groupBy("unit").agg(F.first("text").alias("text")).select("unit", F.array_distinct(_terms(F.col("text"))).alias("words"))
+    titles = docs.where("title is not null and doc_id = thread_id").select("thread_id", F.array_distinct(_terms(F.col("title"))).alias("title_words"))
+    shared = (
+        threads.join(own, ["unit", "source"]).join(words, "unit").join(titles, "thread_id")
+        .select("unit", "source", "here", "thread_id", F.explode(F.array_intersect("words", "title_words")).alias("word"))
     )
-    share = everywhere.join(evidence, "unit").where(F.array_contains("hosts", F.col("source"))).groupBy("unit", "threads", "paged", "shared").agg(F.count(F.lit(1)).alias("posts"))
-    furniture = materialize(share.where((F.col("threads") >= min_posts) & (F.col("shared") == 0) & (F.col("paged") >= min_share * F.col("posts"))).select("unit"), "furniture")
-    known = open_posts.join(furniture.withColumn("known", F.lit(True)), "unit", "left").groupBy("doc_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
-    return flagged.unionByName(known.where("known").select("doc_id", F.lit("evidence").alias("reason")))
+    return own.select("unit", "source").join(shared, ["unit", "source"], "left_anti")
 
 
 def _terms(text):
