@@ -98,3 +98,18 @@ def test_lines_are_found_again_in_their_own_posts(spark):
     docs = spark.createDataFrame(made, "doc_id long, thread_id long, title string, source string, text string")
     assert residue.page_units(bodies[1]) == (True, ["on mirror node seven"])
     assert {(r["doc_id"], r["reason"]) for r in residue.residue(docs).collect()} == {(r[0], "evidence") for r in made}
+
+
+SHELF = "Service unavailable\n\nThis node with your shelf is resting"
+
+
+def test_shared_words_of_few_titles_do_not_veto(spark):
+    made = [(i, 2000 + i, f"Merge rows with column {i}" if i % 8 == 0 else f"Merge rows by column {i}", "mirror", SHELF) for i in range(40)]
+    made += [(100 + i, 2100 + i, f"Sort rows with key {i}" if i % 8 == 0 else f"Sort rows by key {i}", "board", f"Sort row {i} first, then its copies.") for i in range(200)]
+    # on the subject of nearly all its threads
+    made += [(400 + i, 2400 + i, f"Tidewell loses row {i}", "tide", "Page not found\n\nTidewell has no such switch") for i in range(40)]
+    # titles stand on the questions
+    made += [(r[1], r[1], r[2], r[3], f"What is to be done in case {r[1]}?") for r in made]
+    made = [(r[0], r[1], r[2] if r[0] == r[1] else None, *r[3:]) for r in made]
+    docs = spark.createDataFrame(made, "doc_id long, thread_id long, title string, source string, text string")
+    assert {r["doc_id"] for r in residue.residue(docs).collect()} == set(range(40))

@@ -13,8 +13,8 @@ Two kinds of evidence flag a post:
 Pages that carry phrases not in the lists are caught by combined evidence over the whole table:
 what is left of a body is cut into lines, and a left-over line counts as furniture of a host
 (``source``) if it recurs in several threads of the host, far oftener than on other hosts among posts
-of the same language (answers of a few words recur everywhere alike), and shares no term with the
-titles of those threads. A body whose left-over lines are all of that kind is page-like. It is
+of the same language (answers of a few words recur everywhere alike), and its words are not the
+subject of those threads' titles. A body whose left-over lines are all of that kind is page-like. It is
 flagged if a phrase of the lists stands in it too. A table of one host has no such evidence.
 
 Defined cases: null and empty texts are never flagged; texts are read whole, of any length;
@@ -413,6 +413,8 @@ _UNITS = re.compile(r"(?<=[.!?])\s+|\n+")
 MIN_POSTS, MIN_SHARE = 5, 0.9
 #: How many times likelier a line is on its host than elsewhere; and how seldom (one in so many, over all lines) chance may bring that about.
 MIN_ODDS, MAX_CHANCE = 20, 1000
+#: A word links a line to a subject if it is this many times commoner in the titles of the line's threads than in other titles.
+MIN_LIFT = 3
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -542,8 +544,8 @@ def host_furniture(placed: DataFrame, hosted: DataFrame, seen: DataFrame, docs:
 
     ``placed`` has the posts of recurring units (``unit, doc_id, thread_id, source, lang``). A unit is furniture of
     a host if it recurs in at least ``min_posts`` threads of it, at MIN_ODDS times the odds that posts of
-    the same languages have to stand on that host, by more than chance over all units tried, and if no
-    title of those threads shares a term with it.
+    the same languages have to stand on that host, by more than chance over all units tried, and if at
+    most 1 - ``min_share`` of the threads (or a single one) have a title on the unit's subject.
     """
     threads = placed.where("thread_id is not null").groupBy("unit", "source", "thread_id").agg(F.min("lang").alias("lang"))
     hosts = materialize(threads.groupBy("unit", "source").agg(F.count(F.lit(1)).alias("here")).where(F.col("here") >= min_posts), "hosts")
@@ -571,7 +573,17 @@ def host_furniture(placed: DataFrame, hosted: DataFrame, seen: DataFrame, docs:
         threads.join(own, ["unit", "source"]).join(words, "unit").join(titles, "thread_id")
         .select("unit", "source", "here", "thread_id", F.explode(F.array_intersect("words", "title_words")).alias("word"))
     )
-    return own.select("unit", "source").join(shared, ["unit", "source"], "left_anti")
+    n_titles = F.lit(titles.count())
+    common = titles.select(F.explode("title_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("titles"))
+    linking = (
+        shared.groupBy("unit", "source", "here", "word").agg(F.count(F.lit(1)).alias("both"))
+        .join(common, "word")
+        .where(F.col("both") / F.col("here") >= MIN_LIFT * (F.col("titles") - F.col("both")) / F.greatest(F.lit(1), n_titles - F.col("here")))
+        .select("unit", "source", "word")
+    )
+    about = shared.join(linking, ["unit", "source", "word"], "left_semi").groupBy("unit", "source", "here").agg(F.countDistinct("thread_id").alias("on_subject"))
+    about = about.where((F.col("on_subject") > 1) & (F.col("on_subject") > (1 - min_share) * F.col("here")))
+    return own.select("unit", "source").join(about, ["unit", "source"], "left_anti")
 
 
 def _terms(text):
