@@ -113,3 +113,19 @@ def test_shared_words_of_few_titles_do_not_veto(spark):
     made = [(r[0], r[1], r[2] if r[0] == r[1] else None, *r[3:]) for r in made]
     docs = spark.createDataFrame(made, "doc_id long, thread_id long, title string, source string, text string")
     assert {r["doc_id"] for r in residue.residue(docs).collect()} == set(range(40))
+
+
+def test_pages_without_any_listed_phrase(spark):
+    rooms = ["board", "tide", "mirror"]
+    # repeated on one host, on other subjects, under a line that real posts of the host carry too
+    made = [(i, 2000 + i, f"Merge rows by column {i}", "mirror", "en", "Archive of the rook\n\nThe shelf is resting and will be back at noon") for i in range(30)]
+    made += [(100 + i, 2100 + i, f"Sort rows by key {i}", rooms[i % 3], "en", f"{'Archive of the rook' if i % 3 == 2 else ''}\n\nSort row {i} first, then its copies.") for i in range(300)]
+    # poor answers stand on all hosts alike, or are at home where their language is
+    made += [(500 + i, 2500 + i, f"Keys clash in case {i}", rooms[i % 3], "en", "See the other answer.") for i in range(90)]
+    made += [(700 + i, 2700 + i, f"Clés en double {i}", "forum", "fr", "Voir l'autre réponse.") for i in range(40)]
+    # a line of the host alone, and one shown as code
+    made += [(800 + i, 2800 + i, f"Lines vanish {i}", "mirror", "en", "Archive of the rook") for i in range(2)]
+    made += [(850, 2850, "What is this", "mirror", "en", "```\nThe shelf is resting and will be back at noon\n```")]
+    titled = [(r[1], r[1], r[2], r[3], r[4], f"What is to be done in case {r[1]}?") for r in made]
+    docs = spark.createDataFrame([(r[0], r[1], None, *r[3:]) for r in made] + titled, "doc_id long, thread_id long, title string, source string, lang string, text string")
+    assert {r["doc_id"]: r["reason"] for r in residue.residue(docs).collect()} == {i: "evidence" for i in range(30)}

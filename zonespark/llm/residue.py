@@ -15,7 +15,8 @@ what is left of a body is cut into lines, and a left-over line counts as furnitu
 (``source``) if it recurs in several threads of the host, far oftener than on other hosts among posts
 of the same language (answers of a few words recur everywhere alike), and its words are not the
 subject of those threads' titles. A body whose left-over lines are all of that kind is page-like. It is
-flagged if a phrase of the lists stands in it too. A table of one host has no such evidence.
+flagged if a phrase of the lists stands in it too, or one of its lines stands on hardly any post
+that is not page-like. A table of one host has no such evidence.
 
 Defined cases: null and empty texts are never flagged; texts are read whole, of any length;
 repeated posts are flagged each; null titles, sources and threads only lack that evidence.
@@ -513,8 +514,9 @@ def residue(docs: DataFrame, min_posts: int = MIN_POSTS, min_share: float = MIN_
     """``doc_id, reason`` (``field``, ``page`` or ``evidence``) of the posts that are residue.
 
     ``docs`` has ``doc_id, thread_id, title, source, text`` and may have ``lang``; other columns are not
-    read. See ``host_furniture`` for the lines that count as furniture. A post all of whose left-over lines
-    are furniture of its host is flagged if it has a strong phrase.
+    read. See ``host_furniture`` for the lines that count as furniture. A page-like post, all of whose
+    left-over lines are furniture of its host, is flagged if it has a strong phrase or one of its lines
+    stands on page-like posts in at least ``min_share`` of its posts.
     """
     lang = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("thread_id").cast("bigint").alias("thread_id"), "title", "source", lang.alias("lang"), "text")
@@ -535,7 +537,9 @@ def residue(docs: DataFrame, min_posts: int = MIN_POSTS, min_share: float = MIN_
     open_posts = seen.where("n_fields = 0 and not code and size(left) > 0").select("doc_id", "strong", F.size("left").alias("n_left"))
     known = placed.join(furniture, ["unit", "source"], "left_semi")
     page_like = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_known")).join(open_posts, "doc_id").where("n_known = n_left").select("doc_id", "strong")
-    found = page_like.where("strong")
+    lines = known.join(page_like, "doc_id", "left").groupBy("unit", "source").agg(F.count("strong").alias("paged"), F.count(F.lit(1)).alias("posts")).where(F.col("paged") >= min_share * F.col("posts"))
+    carried = known.join(lines, ["unit", "source"], "left_semi").select("doc_id").distinct().withColumn("carried", F.lit(True))
+    found = page_like.join(carried, "doc_id", "left").where("strong or carried")
     return flagged.unionByName(found.select("doc_id", F.lit("evidence").alias("reason")))
 
 
