@@ -129,3 +129,24 @@ def test_pages_without_any_listed_phrase(spark):
     titled = [(r[1], r[1], r[2], r[3], r[4], f"What is to be done in case {r[1]}?") for r in made]
     docs = spark.createDataFrame([(r[0], r[1], None, *r[3:]) for r in made] + titled, "doc_id long, thread_id long, title string, source string, lang string, text string")
     assert {r["doc_id"]: r["reason"] for r in residue.residue(docs).collect()} == {i: "evidence" for i in range(30)}
+
+
+UNTALKED = [
+    "Hi {{ first_name }},\nplease use the new form instead of the old one.", "Dear [Your Name], use the second column instead of the first.", "Hallo [HIER NAMEN EINFÜGEN], nimm die zweite Spalte statt der ersten.",
+    "Bonjour {{ nom }}, prenez la clé au lieu de la date.", "Hi {{ name }}, the syntax of the file is plain.", "Thanks %CUSTOMER%, escape the comma and it works.", "Dear {{ name }}, the old driver was replaced by a new one.",
+    "Hola {{ nombre }}, usa la clave en lugar de la fecha.", "Hi {{ name }}, the mail goes out at noon instead of midnight.",
+]
+TALKED = [
+    "I see {{ name }} instead of my name.", "The page shows {{ name }} literally.", "The placeholder {{ name }} stays.", "Im Kopf der Seite steht {{ name }} statt des Namens.", "La page montre {{ nom }} au lieu de la valeur.",
+    "El informe muestra {{ nombre }} en lugar de el valor.", "The report prints {{ score }} in each row instead of the value.",
+]
+
+
+@pytest.mark.parametrize("text", UNTALKED)
+def test_talk_of_other_things_fills_no_field(text):
+    assert residue.unfilled_fields(text)
+
+
+@pytest.mark.parametrize("text", TALKED)
+def test_talk_of_the_field(text):
+    assert not residue.unfilled_fields(text)

@@ -3,8 +3,8 @@
 Two kinds of evidence flag a post:
 
 * ``field``: an unfilled template field stands in the post's own prose. Code (fenced, indented,
-  bare, inline, ``pre``), quoted lines and quoted strings are not own prose, and a field that the
-  sentence talks about (as syntax, as a fault of a program) is not unfilled.
+  bare, inline, ``pre``), quoted lines and quoted strings are not own prose, and a field that its
+  sentence talks about (as syntax, as a fault of a program; in words beside the field) is not unfilled.
 * ``page``: the whole body, page furniture aside, is filler or test text, an error page's message,
   or a notice demanding scripts or cookies. The body is normalized (tags, entities, case, blanks,
   numbers) and all known phrases are taken out; nothing may be left over, and at least one of
@@ -375,8 +375,11 @@ FIELD_FORMS = [
 ]
 #: What looks like a field and is none: a poster, an environment variable, keys of a keyboard, numbered notes.
 NO_FIELDS = {"[op]", "%path%", "%temp%", "%home%", "<enter>", "<ctrl>", "<esc>", "<tab>", "<alt>", "<shift>", "[solved]", "[dead link]", "[sic]"}
-#: Words of sentences that talk about a field instead of leaving it unfilled.
-TALK = r"\b(?:format string|placeholder|template tags?|syntax|instead of|replaced? by|replace it|is left in|literally|escape|for the sets?|statt|anstelle|au lieu de|en lugar de|en vez de|em vez d[oea]|ao invés)\b"
+#: Words that talk about a field if they stand right before or after it, in the same line and sentence.
+BEFORE_FIELD = r"(?:placeholders?|template tags?|format strings?|syntax|literally|escape|replace|what (?:does|is|do)|instead of|for the sets?|statt|anstelle von|au lieu de|en lugar de|en vez de|em vez d[oea]|ao invés de)"
+AFTER_FIELD = r"(?:instead of|literally|as (?:a )?(?:placeholder|syntax)|syntax|placeholders?|in the (?:format string|template|syntax)|(?:is|are|was|gets?) (?:left in|replaced by|not replaced)|mean|statt|anstelle|au lieu de|en lugar de|en vez de|em vez d[oea]|ao invés)"
+#: Programs and what they make, which a sentence can tell to show a field: the subject of a fault.
+MAKERS = r"(?:template|mail|page|output|log|report|print\w*|header|export|program|script|function|app|vorlage|ausgabe|seite|modèle|sortie|page|plantilla|salida|página|modelo|saída)s?"
 
 
 def _phrase(text: str) -> str:
@@ -398,7 +401,8 @@ _PHRASES = re.compile(rf"(?<![\w'])(?:(?P<strong>{_STRONG})|(?:{POWERED}|{_any(F
 _FIELDS = re.compile(rf"(?=[{{%$#<&\[(X~@*_])(?:{'|'.join(FIELD_FORMS)})", re.IGNORECASE)
 #: Forms that keep their case: %NAME%, [NAME] and the like are matched again without IGNORECASE.
 _FIELDS_CASED = [re.compile(f, re.IGNORECASE if re.search(r"your|ihr|insert|hier|goes here|tbd", f) else 0) for f in FIELD_FORMS]
-_TALK = re.compile(TALK, re.IGNORECASE)
+#: The field is marked by a NUL while the talk around it is looked for.
+_TALK = re.compile(rf"\b{BEFORE_FIELD}\b(?: (?:the|a|an|das|der|die|le|la|el|o))?[ :]*\0|\0 ?(?:(?:shows?|appears?|stands?|comes|erscheint|steht|apparaît|aparece) )?{AFTER_FIELD}\b|\b{MAKERS}\b[^\0]*\0[^\0]*\b(?:instead of|statt|anstelle|au lieu de|en lugar de|en vez de|em vez d[oea]|ao invés)\b", re.IGNORECASE)
 _TAGS = re.compile(r"</?(?:html|head|title|body|p|h\d|br|hr|div|span|center|ul|li|a|b|i|strong|em|small|nav|footer|header|main)\b[^<>]*>", re.IGNORECASE)
 _CODE_BLOCKS = re.compile(r"^[ ]{0,3}(```|~~~).*?(?:^[ ]{0,3}\1[ ]*$|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)", re.IGNORECASE | re.DOTALL | re.MULTILINE)
 _INLINE = re.compile(r"`+[^`\n]*`+")
@@ -406,7 +410,7 @@ _QUOTED = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“”\n]{1
 _LINKS = re.compile(r"\[[^\[\]\n]*\]\([^()\s]*\)|https?://\S+")
 #: A line of bare code: what no line of prose has.
 _BARE = re.compile(r"[;{]\s*$|^\s*[}\])]+;?\s*$|^\s*(?:def|class|from|import|for|if|while|return|assert|select|where|group by|order by|print|echo|export|server|location)\b.*[(=:<>\"'_]|^\s*\w+\s*[+\-*/]?=\s*\S|^\s*</?\w+[^>]*>.*</?\w+[^>]*>\s*$|^\s*<%[-=]?[^%]*%>\s*$|^\s*\{%.*%\}\s*$|^\s*[$>]\s\w+|^\s*[\w./-]+ --\w")
-_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n{2,}")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
 _UNITS = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -443,14 +447,9 @@ def unfilled_fields(text: str) -> list[str]:
         return []
     found = []
     for sentence in _SENTENCE.split(own_prose(text)):
-        talked = None
         for form in _FIELDS_CASED:
             for m in form.finditer(sentence):
-                if m[0].lower() in NO_FIELDS:
-                    continue
-                if talked is None:
-                    talked = bool(_TALK.search(sentence))
-                if not talked:
+                if m[0].lower() not in NO_FIELDS and not _TALK.search(f"{sentence[: m.start()]}\0{sentence[m.end() :]}"):
                     found.append(m[0])
     return found
 
