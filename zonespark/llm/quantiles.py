@@ -41,6 +41,12 @@ def merged(parts: DataFrame, keys: Sequence[Column | str], k: int = K) -> DataFr
     return parts.groupBy(*keys).agg(F.sum("n_values").alias("n_values"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
 
 
+def over_days(parts: DataFrame, unions: DataFrame, keys: Sequence[str], k: int = K) -> DataFrame:
+    """Sketches of days (``day``) merged per ``keys`` over each union of days; ``unions`` has ``days``, the name of a
+    union, and ``day``, one row for each of its days. It is broadcast. A null day is in no union."""
+    return merged(parts.join(F.broadcast(unions.select("days", "day").distinct()), "day"), [*keys, "days"], k)
+
+
 def name_of(rank: float) -> str:
     """Column name of a percentile: p05, p50, p99, p99_9."""
     text = f"{rank * 100:.6f}".rstrip("0").rstrip(".")

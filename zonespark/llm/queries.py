@@ -25,12 +25,18 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.percentiles(quantiles.sketches(groups, ["destin", "service", "month"], "flow")).withColumn("rank_error", F.when(F.col("n_values") > quantiles.K, quantiles.rank_error()).otherwise(0.0))
 
 
+def day_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored sketches of Flow per Destin zone, Service and day, to be merged over any union of days; blank Destin references left out."""
+    return materialize(quantiles.sketches(_flows(spark, folder).where("destin is not null"), ["destin", "service", "day"], "flow"), "days")
+
+
 def p1_day_unions(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles over unions of days, from stored sketches of single days: per Service all days of each quarter, and all of each weekday."""
-    days = materialize(quantiles.sketches(_flows(spark, folder), ["service", "day"], "flow"), "days")
-    unions = F.array(F.concat(F.year("day").cast("string"), F.lit("Q"), F.quarter("day").cast("string")), F.date_format("day", "EEE"))
-    each = days.select("service", F.explode(unions).alias("days"), "n_values", "sketch")
-    return quantiles.percentiles(quantiles.merged(each, ["service", "days"])).withColumn("rank_error", F.when(F.col("n_values") > quantiles.K, quantiles.rank_error()).otherwise(0.0))
+    """Percentiles of Flow per Destin zone and Service over unions of days, from stored sketches of single days: all days of each quarter, and all of each weekday."""
+    days = day_sketches(spark, folder)
+    names = F.array(F.concat(F.year("day").cast("string"), F.lit("Q"), F.quarter("day").cast("string")), F.date_format("day", "EEE"))
+    unions = days.select("day").distinct().select("day", F.explode(names).alias("days"))
+    found = quantiles.percentiles(quantiles.over_days(days, unions, ["destin", "service"]))
+    return found.withColumn("rank_error", F.when(F.col("n_values") > quantiles.K, quantiles.rank_error()).otherwise(0.0))
 
 
 # --- p3: duplicates hidden by formatting differences
