@@ -194,6 +194,17 @@ def test_cascade_like_plain_search(spark):
     assert got == want
 
 
+def test_cascade_goes_to_the_end_and_tells_each_field(spark):
+    # t0 names nobody on record, t1 names t0, and so on; t2 has a missing reference of its own too
+    rows = [(i, f"t{i}", f"t{i - 1}" if i else "gone", "lost" if i == 2 else None) for i in range(6)]
+    node = orphans.Node(spark.createDataFrame(rows, "id long, k string, up string, other string"), "id", F.col("k"))
+    edges = [orphans.Reference("t", "up", F.col("up"), "t"), orphans.Reference("t", "other", F.col("other"), "t")]
+    found = {(x["row_id"], x["field"], x["state"], x["round"]) for x in orphans.cascade({"t": node}, edges, every_field=True).collect()}
+    assert found == {(0, "up", "missing", 0), (2, "other", "missing", 0), (1, "up", "inherited", 1), (3, "up", "inherited", 1), (4, "up", "inherited", 2), (2, "up", "inherited", 2), (5, "up", "inherited", 3)}
+    with pytest.raises(RuntimeError):
+        orphans.cascade({"t": node}, edges, max_rounds=2)
+
+
 # --- places
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,12 +101,14 @@ def direct_orphans(refs: DataFrame, life: DataFrame, broadcast_keys: int = BROAD
     return joined.withColumn("state", _state(F.col("begins"), F.col("ends"), F.col("found"), F.col("dated"))).where("state is not null").drop("begins", "ends", "found")
 
 
-def cascade(nodes: dict[str, Node], edges: list[Reference], max_rounds: int = 1000) -> DataFrame:
+def cascade(nodes: dict[str, Node], edges: list[Reference], max_rounds: int | None = None, every_field: bool = False) -> DataFrame:
     """Direct and inherited orphans of a foreign-key graph: ``tbl, row_id, field, key, dated, state, round``.
 
     Round 0 holds the direct orphans, one row per reference. In round n the references to records that
     round n - 1 reached are ``inherited``; a record that an earlier round reached is not reported again,
-    so that the iteration ends on cyclic graphs too. Edges whose parent no other edge leads to need no round.
+    so that the iteration ends on cyclic graphs too; with ``every_field`` it is, in the fields that were not
+    reported yet. Edges whose parent no other edge leads to need no round. The rounds go on until nothing is
+    added; more than ``max_rounds`` of them are an error.
     """
     nothing = F.lit(None).cast("date")
     # edges of the same tables and dates are looked up together
@@ -126,7 +129,9 @@ def cascade(nodes: dict[str, Node], edges: list[Reference], max_rounds: int = 10
         return found
     fresh = materialize(found, "orphans")
     rounds, seen = [fresh], fresh.select("tbl", "row_id").distinct()
-    for n in range(1, max_rounds + 1):
+    for n in count(1):
+        if max_rounds is not None and n > max_rounds:
+            raise RuntimeError(f"orphans are still inherited after {max_rounds} rounds")
         steps = []
         for e in passed:
             parent, child = nodes[e.parent], nodes[e.child]
@@ -135,11 +140,18 @@ def cascade(nodes: dict[str, Node], edges: list[Reference], max_rounds: int = 10
             dated = nothing if e.dated is None else e.dated
             refs = references(child.rows, child.row_id, e.child, [(e.field, e.key)], dated)
             steps.append(refs.join(keys.select("key").where("key is not null").distinct(), "key", "left_semi"))
-        step = reduce(DataFrame.unionByName, steps).join(seen, ["tbl", "row_id"], "left_anti")
-        fresh = materialize(step.select("tbl", "row_id", "field", "key", "dated", F.lit("inherited").alias("state"), F.lit(n).alias("round")), "inherited")
-        if fresh.isEmpty():
+        step = reduce(DataFrame.unionByName, steps)
+        if every_field:
+            told = reduce(DataFrame.unionByName, rounds).select("tbl", "row_id", "field").distinct()
+            step = step.join(told, ["tbl", "row_id", "field"], "left_anti")
+        else:
+            step = step.join(seen, ["tbl", "row_id"], "left_anti")
+        step = materialize(step.select("tbl", "row_id", "field", "key", "dated", F.lit("inherited").alias("state"), F.lit(n).alias("round")), "inherited")
+        if step.isEmpty():
             break
-        rounds.append(fresh)
+        rounds.append(step)
+        # only records that are new pass anything on
+        fresh = materialize(step.join(seen, ["tbl", "row_id"], "left_anti"), "fresh") if every_field else step
         seen = materialize(reduce(DataFrame.unionByName, rounds).select("tbl", "row_id").distinct(), "seen")
     return reduce(DataFrame.unionByName, rounds)
 

@@ -189,7 +189,7 @@ def zone_references(spark: SparkSession, folder: str) -> DataFrame:
     }
     edges = [orphans.Reference("df_flow", f, zone_key(F.col(f)), "coords_df", F.col("FlowDate")) for f in ("Origin", "Destin")]
     edges += [orphans.Reference("df_adj", f, zone_key(F.col(f)), "coords_df", F.col("SnapshotOn")) for f in ("focal", "neighbor")]
-    return orphans.cascade(nodes, edges)
+    return orphans.cascade(nodes, edges, every_field=True)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
