@@ -227,3 +227,12 @@ def test_errors(spark):
         Partitioner(spoiled, flows, "ZoneID", emb=("bad", "Emb_Y"), w=adj).partition()
     with pytest.raises(KeyError):
         partition.pose(zones.withColumnRenamed("ZoneID", "zone_id"), flows, adj, zones, PartitionConfig(population_column="nope"))
+
+
+def test_written_tables_are_cut_under_the_hospital_rule(spark):
+    from zonespark.plans import region_queries
+
+    made = region_queries.QUERIES["partition_written"](spark, "/root/testdata/sf0.001")
+    assert made.where("Comm_Hosp > 0").count() > 0
+    features = region_queries.QUERIES["features_coords_pop_hosp_inflow_written"](spark, "/root/testdata/sf0.001")
+    assert features.count() == made.count()

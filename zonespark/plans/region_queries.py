@@ -97,6 +97,13 @@ def written(spark: SparkSession, folder: str) -> World:
     return World(materialize(first, "zones"), flows, materialize(pairs, "adj"))
 
 
+def located(spark: SparkSession, folder: str) -> World:
+    """The written tables, of the zones with coordinates; a null or NaN POPU or hosp counts as 0, flows that are not positive are left out."""
+    w = written(spark, folder)
+    zones = prepare.located_zones(w.zones).withColumns({c: F.nanvl(F.coalesce(c, F.lit(0.0)), F.lit(0.0)) for c in ("POPU", "hosp")})
+    return World(materialize(zones, "located"), materialize(w.flows.where("flow > 0"), "positive"), w.adj)
+
+
 _SQL_WRITTEN = f"""
 keyed as (select *, {_SQL_KEY.format('ZoneID')} as zone_id from coords_df),
 zones as (select zone_id, row_id as row_ord, XCoord as x, YCoord as y, POPU as popu, hosp from keyed where zone_id is not null qualify row_number() over (partition by zone_id order by row_id) = 1),
@@ -241,8 +248,8 @@ def hosp_inflow(spark: SparkSession, folder: str) -> DataFrame:
     return features.hospital_inflow(w.flows, w.zones, "hosp").select("zone_id", F.round("inflow", 3).alias("inflow"))
 
 
-def feature_matrix(spark: SparkSession, folder: str, mode: str) -> DataFrame:
-    w = world(spark, folder, F2)
+def feature_matrix(spark: SparkSession, folder: str, mode: str, w: World | None = None) -> DataFrame:
+    w = w or world(spark, folder, F2)
     values, names = features.features(w.zones, w.flows, mode, "hosp")
     return values.select("zone_id", *[r6(n).alias(n) for n in names])
 
@@ -256,8 +263,8 @@ def _sql_features(mode: str) -> str:
 # --- embedding
 
 
-def diffuse_k(spark: SparkSession, folder: str, hops: int) -> DataFrame:
-    w, x = _graph(spark, folder)
+def diffuse_k(spark: SparkSession, folder: str, hops: int, w: World | None = None) -> DataFrame:
+    w, x = (w, _weights(w)) if w else _graph(spark, folder)
     operator = flow_graph.build_graph(x.edges, w.adj, w.zones, x.glue)
     values, names = features.features(w.zones, w.flows)
     return diffuse.diffuse(operator, values, names, hops).select("zone_id", r6("f0").alias("f0"), r6("f1").alias("f1"))
@@ -291,9 +298,9 @@ _SQL_EMB_F = _with(
 ) + "select zone_id as ZoneID, round(f0 + (f2 + f3) / sqrt(2), 6) as Emb_X, round(f1 + (f2 + f3) / sqrt(2), 6) as Emb_Y from h2"
 
 
-def gcn_embedding(spark: SparkSession, folder: str) -> DataFrame:
+def gcn_embedding(spark: SparkSession, folder: str, w: World | None = None) -> DataFrame:
     """Two convolutions with given weights."""
-    w, x = _graph(spark, folder)
+    w, x = (w, _weights(w)) if w else _graph(spark, folder)
     operator = flow_graph.build_graph(x.edges, w.adj, w.zones, x.glue)
     values, names = features.features(w.zones, w.flows)
     made = diffuse.gcn(operator, values, names, GCN_LAYERS)
@@ -537,12 +544,11 @@ def partition_result(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def partition_written(spark: SparkSession, folder: str) -> DataFrame:
-    """Clusters of the written tables: embedding, forest and cuts of all zones on record with coordinates."""
-    w = written(spark, folder)
-    zones = materialize(prepare.located_zones(w.zones).withColumn("POPU", F.nanvl(F.coalesce("POPU", F.lit(0.0)), F.lit(0.0))).withColumn("hosp", F.nanvl(F.coalesce("hosp", F.lit(0.0)), F.lit(0.0))), "located")
-    flows = materialize(w.flows.where("flow > 0"), "positive")
+    """Clusters of the written tables: embedding, forest and cuts of all zones on record with coordinates, under the default limits."""
+    w = located(spark, folder)
+    zones, flows = w.zones, w.flows
     emb = embed_zones(zones, flows, w.adj).select(F.col("ZoneID").alias("zone_id"), F.col("Emb_X").alias("emb_x"), F.col("Emb_Y").alias("emb_y"))
-    cfg = PartitionConfig(min_population=10_000, max_population=500_000, min_hospitals=0, min_local_index=0.0, population_column="POPU")
+    cfg = PartitionConfig(min_population=10_000, max_population=500_000, population_column="POPU", hospital_column="hosp")
     return partition_zones_table(zones, flows, w.adj, emb, cfg)[0]
 
 
@@ -604,6 +610,11 @@ def compact_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return compactness(spark, folder).select("cluster", "area", "perimeter", "polsby_popper")
 
 
+def of_written(spark: SparkSession, folder: str, query, **given) -> DataFrame:
+    """A query of the grid world over the written tables."""
+    return query(spark, folder, w=located(spark, folder), **given)
+
+
 _GRAPH = _with(_sql_world(F2), _SQL_NODES, _SQL_EDGES, _SQL_GRAPH)
 _TERMS = _with(_sql_world(F2), _SQL_PART, _SQL_TERMS)
 
@@ -647,6 +658,9 @@ QUERIES = {
     "rook_edges": partial(touching, mode="rook"),
     "queen_edges": partial(touching, mode="queen"),
     "touching_written": touching_written,
+    **{f"features_{m}_written": partial(of_written, query=feature_matrix, mode=m) for m in ("coords", "coords_pop", "coords_hosp_inflow", "coords_pop_hosp_inflow")},
+    **{f"diffuse_k{k}_written": partial(of_written, query=diffuse_k, hops=k) for k in range(1, 6)},
+    "gcn_embedding_written": partial(of_written, query=gcn_embedding),
     "area_perimeter": compact_blocks,
     "compactness": compactness,
 }
