@@ -7,7 +7,7 @@ import pytest
 from zonespark.operators import partition
 from zonespark.operators.partition import Limits, solve_local
 from zonespark.plans.config import PartitionConfig, PipelineConfig
-from zonespark.plans.regionalize import Embedder, Partitioner, run_pipeline
+from zonespark.plans.regionalize import Embedder, Partitioner, partition_table, run_pipeline
 
 
 def limits(lo, hi, hosp=0, li=0.0, least=(), most=()):
@@ -202,6 +202,20 @@ def test_invariances(spark):
     assert group(a.part) == group(again)
 
 
+def test_partition_by_a_named_embedding(spark):
+    zones, flows, adj = world(spark, 20, 9)
+    cfg = PartitionConfig(min_population=30, max_population=100, min_hospitals=0, min_local_index=0.0, embedding_x_col="east", embedding_y_col="north")
+    emb = zones.selectExpr("ZoneID", "row_ord", "XCoord as east", "YCoord as north")
+    # of repeated embeddings the last counts, ends that are no zones are left out
+    stale = emb.limit(3).selectExpr("ZoneID", "row_ord - 100 as row_ord", "0.0 as east", "0.0 as north")
+    more = flows.unionAll(spark.createDataFrame([("z00", "nowhere", 5.0)], flows.schema))
+    part, pairs, m = partition_table(emb.unionAll(stale), more, adj, zones, cfg)
+    plain = partition_table(emb, flows, adj, zones, cfg)
+    assert sorted(map(tuple, part.collect())) == sorted(map(tuple, plain[0].collect())) and m == pytest.approx(plain[2]) and pairs.where("destin = 'nowhere'").isEmpty()
+    with pytest.raises(KeyError):
+        partition_table(zones, flows, adj, zones, cfg)
+
+
 def _groups(df):
     out = {}
     for r in df.collect():

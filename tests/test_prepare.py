@@ -110,6 +110,32 @@ def test_percentile_and_numbers_like_numpy(spark, one_task):
     assert ordering.percentile(empty, "v", 50, one_task) is None and ordering.number_rows(empty, ["v"], "n", one_task).count() == 0
 
 
+def test_population_and_routes():
+    # a cap and a floor before a cap alone before a floor alone; the usual name first only among those with both
+    assert config.population_column_of([("a", "min", 1), ("a", "max", 2), ("POPU", "MIN", 1), ("POPU", "Max", 2)]) == "POPU"
+    assert config.population_column_of([("POPU", "max", 1), ("a", "max", 2)]) == "POPU" and config.population_column_of([("POPU", "max", 1), ("A", "max", 2)]) == "A"
+    given = [("has_hosp", "min", 1), ("hosp", "min", 3), ("has_hosp", "min", 2), ("POPU", "max", 9)]
+    cfg = config.partition_config(given, "POPU", None)
+    assert (cfg.hospital_column, cfg.min_hospitals, cfg.min_per_child_attributes, cfg.max_population) == ("has_hosp", 2, {"hosp": 3}, 9)
+    named = config.partition_config([("hosp", "min", 3)], "POPU", "beds")
+    assert (named.hospital_column, named.min_hospitals, named.min_per_child_attributes) == ("beds", 0, {"hosp": 3})
+    assert config.partition_config([("hosp", "min", 3)], "hosp", None).min_population == 3
+
+
+def test_names_by_preference(spark):
+    both = spark.createDataFrame([], "HOSP double, has_hosp double, Hosp_ZoneI double")
+    assert config.hospital_column(both) == "Hosp_ZoneI"
+    with pytest.raises(KeyError):
+        config.hospital_column(spark.createDataFrame([], "Hosp double"))
+    usual = spark.createDataFrame([], "x string, Flow double, Destin string, Origin string")
+    assert config.flow_columns(usual) == ("Origin", "Destin", "Flow") and config.flow_columns(usual, "x", "Destin", "Flow") == ("x", "Destin", "Flow")
+    assert config.flow_columns(usual.withColumnRenamed("Flow", "n")) == ("x", "n", "Destin")
+    assert config.coordinate_names(" my x ,my y") == ("my x", "my y") and config.coordinate_names(None) is None
+    for bad in (",", " , b", "a,b,"):
+        with pytest.raises(ValueError):
+            config.coordinate_names(bad)
+
+
 def test_constraints(spark):
     table = spark.createDataFrame([], "POPU double, hosp double, beds double")
     assert config.population_column_of([]) == "POPU"

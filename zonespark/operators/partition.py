@@ -44,7 +44,7 @@ from .flow_graph import BROADCAST_ZONES, small
 from .forest import components, spanning_forest
 from .metrics import known_flows, node_flows, total_flow
 from .ordering import number_rows
-from .prepare import ORDER, as_double, keep_first
+from .prepare import ORDER, as_double, in_row_order, keep_first
 
 LOCAL_ZONES = 200_000
 LOCAL_FLOWS = 3_000_000
@@ -302,7 +302,7 @@ class Problem:
 def costed_edges(adj: DataFrame, zones: DataFrame, embedding: DataFrame) -> DataFrame:
     """``u, v, w``: adjacency between known zones with the distance of their embeddings. A zone without an
     embedding counts as (0, 0); of repeated rows the last counts; NaN is an error."""
-    last = keep_first(embedding.withColumn("_at", F.monotonically_increasing_id()) if ORDER not in embedding.columns else embedding.withColumn("_at", F.col(ORDER)), "zone_id", "_at", last=True)
+    last = keep_first(in_row_order(embedding), last=True)
     placed = zones.select("zone_id").join(last.select("zone_id", "emb_x", "emb_y"), "zone_id", "left").select("zone_id", F.coalesce("emb_x", F.lit(0.0)).alias("emb_x"), F.coalesce("emb_y", F.lit(0.0)).alias("emb_y"))
     placed = materialize(placed, "placed")
     if not placed.where(F.isnan("emb_x") | F.isnan("emb_y")).isEmpty():

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import defaultdict
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -10,10 +12,9 @@ from pyspark.sql import DataFrame
 #: A constraint on clusters: (column, "min" or "max", value).
 Constraint = tuple[str, str, float]
 
-# The names under which a zone table may carry its hospital flag, in order of preference.
+# The names of columns; of the hospital flag's in order of preference.
 HOSPITAL_COLUMNS = ("hosp", "Hosp_ZoneI", "HOSP", "has_hosp")
-#: Of these, the names a minimum on which switches the hospital rule on.
-HOSPITAL_CONSTRAINTS = ("hosp", "HOSP", "Hosp_ZoneI", "has_hosp")
+FLOW_COLUMNS = ("Origin", "Destin", "Flow")
 POPULATION_COLUMN = "POPU"
 FEATURE_MODES = ("coords", "coords_pop", "coords_hosp_inflow", "coords_pop_hosp_inflow")
 BACKBONES = ("sgcn", "gcn")
@@ -44,6 +45,8 @@ class PartitionConfig:
     origin_col: str | None = None
     destin_col: str | None = None
     flow_col: str | None = None
+    embedding_x_col: str = "Emb_X"
+    embedding_y_col: str = "Emb_Y"
 
 
 @dataclass(frozen=True)
@@ -52,33 +55,40 @@ class PipelineConfig:
     partition: PartitionConfig = field(default_factory=PartitionConfig)
 
 
+def first_present(groups: Iterable[tuple[str, ...]], columns: Sequence[str]) -> tuple[str, ...] | None:
+    """The first group of names that a table has in full, by exact spelling."""
+    return next((g for g in groups if set(g) <= set(columns)), None)
+
+
 def hospital_column(zones: DataFrame) -> str:
-    """The column that flags hospitals, by exact name."""
-    for name in HOSPITAL_COLUMNS:
-        if name in zones.columns:
-            return name
-    raise KeyError(f"no hospital column; looked for {', '.join(HOSPITAL_COLUMNS)}")
+    """The column that flags hospitals."""
+    found = first_present(((name,) for name in HOSPITAL_COLUMNS), zones.columns)
+    if found is None:
+        raise KeyError(f"no hospital column; looked for {', '.join(HOSPITAL_COLUMNS)}")
+    return found[0]
 
 
 def flow_columns(flows: DataFrame, origin: str | None = None, destin: str | None = None, flow: str | None = None) -> tuple[str, str, str]:
-    """Names of the origin, destination and flow columns: all three as given, else the usual names, else the first three."""
-    if origin and destin and flow:
-        return origin, destin, flow
-    if {"Origin", "Destin", "Flow"} <= set(flows.columns):
-        return "Origin", "Destin", "Flow"
-    if len(flows.columns) < 3:
+    """Names of the origin, destination and flow columns: the three given (a lone one or two count for nothing), or
+    else the usual three, or else whichever three come first."""
+    given = (origin, destin, flow)
+    found = given if all(given) else first_present((FLOW_COLUMNS, tuple(flows.columns[:3])), flows.columns)
+    if len(found) < 3:
         raise ValueError("a flow table needs three columns")
-    return tuple(flows.columns[:3])
+    return found
+
+
+_TWO_NAMES = re.compile(r"\s*(?P<x>[^,\s](?:[^,]*[^,\s])?)\s*,\s*(?P<y>[^,\s](?:[^,]*[^,\s])?)\s*")
 
 
 def coordinate_names(text: str | None) -> tuple[str, str] | None:
     """The two names in "x,y"; None for no text."""
-    if text is None or not text.strip():
+    if not (text or "").strip():
         return None
-    names = [part.strip() for part in text.split(",")]
-    if len(names) != 2 or not all(names):
+    pair = _TWO_NAMES.fullmatch(text)
+    if pair is None:
         raise ValueError("coordinates must be given as two column names with a comma between them")
-    return names[0], names[1]
+    return pair["x"], pair["y"]
 
 
 def check_constraints(constraints: Sequence[Constraint], zones: DataFrame) -> None:
@@ -92,58 +102,38 @@ def check_constraints(constraints: Sequence[Constraint], zones: DataFrame) -> No
             raise KeyError(c[0])
 
 
+#: How well a column's bounds speak for its being the population: both, a cap alone, a floor alone.
+_SPEAKS = {frozenset({"min", "max"}): 0, frozenset({"max"}): 1, frozenset({"min"}): 2}
+
+
 def population_column_of(constraints: Sequence[Constraint]) -> str:
-    """The population column that constraints imply: bounded on both sides (POPU first, else the first by
-    name), else the first with a maximum only, else the first with a minimum only, else POPU."""
-    low = {c for c, mode, _ in constraints if mode.lower() == "min"}
-    high = {c for c, mode, _ in constraints if mode.lower() == "max"}
-    both = sorted(low & high)
-    if both:
-        return POPULATION_COLUMN if POPULATION_COLUMN in both else both[0]
-    for only in (sorted(high - low), sorted(low - high)):
-        if only:
-            return only[0]
-    return POPULATION_COLUMN
-
-
-def partition_config(
-    constraints: Sequence[Constraint],
-    population: str,
-    hospital: str | None,
-    min_local_index: float = 0.3,
-    origin: str | None = None,
-    destin: str | None = None,
-    flow: str | None = None,
-) -> PartitionConfig:
-    """Route constraints to the settings of the partition stage; of equal ones the last counts."""
-    given: dict[str, float] = {}
-    children: dict[str, float] = {}
-    caps: dict[str, float] = {}
-    hospitals, flag = None, hospital
-    for column, mode, value in constraints:
-        value = float(value)
-        if mode.lower() == "min":
-            if column == population:
-                given["min_population"] = value
-            elif flag is not None and column == flag:
-                hospitals = value
-            elif flag is None and column in HOSPITAL_CONSTRAINTS:
-                flag, hospitals = column, value
-            else:
-                children[column] = value
-        elif column == population:
-            given["max_population"] = value
+    """The population column that constraints imply: the one whose bounds speak best for it, of equal ones the first by
+    name (but the usual name before others where both bounds are given); without constraints the usual name."""
+    bounds: dict[str, set[str]] = defaultdict(set)
+    for column, mode, _ in constraints:
+        bounds[column].add(mode.lower())
+    ranked = ((_SPEAKS[frozenset(modes)], len(modes) == 2 and column != POPULATION_COLUMN, column) for column, modes in bounds.items())
+    return min(ranked, default=(0, False, POPULATION_COLUMN))[-1]
+
+
+#: Where a bound on the population or the hospital flag goes; all other bounds are kept per column.
+_ROUTES = {("population", "min"): "min_population", ("population", "max"): "max_population", ("hospital", "min"): "min_hospitals"}
+_PER_COLUMN = {"min": "min_per_child_attributes", "max": "max_cluster_attributes"}
+
+
+def partition_config(constraints: Sequence[Constraint], population: str, hospital: str | None, min_local_index: float = 0.3, origin: str | None = None, destin: str | None = None, flow: str | None = None) -> PartitionConfig:
+    """Settings of the partition stage from constraints, by the table of routes; of repeated ones the last counts.
+
+    Without a named hospital flag, the first floor on a column that is called like one makes it the flag; without
+    a floor on the flag no hospital is asked for."""
+    bounds = [(column, mode.lower(), float(value)) for column, mode, value in constraints]
+    flag = hospital or next((c for c, mode, _ in bounds if mode == "min" and c != population and c in HOSPITAL_COLUMNS), None)
+    kinds = {flag: "hospital", population: "population"}
+    settings: dict = {"min_hospitals": 0, **{name: {} for name in _PER_COLUMN.values()}}
+    for column, mode, value in bounds:
+        route = _ROUTES.get((kinds.get(column), mode))
+        if route:
+            settings[route] = value
         else:
-            caps[column] = value
-    return PartitionConfig(
-        **given,
-        min_hospitals=0 if hospitals is None else hospitals,
-        min_local_index=min_local_index,
-        population_column=population,
-        hospital_column=flag,
-        min_per_child_attributes=children,
-        max_cluster_attributes=caps,
-        origin_col=origin,
-        destin_col=destin,
-        flow_col=flow,
-    )
+            settings[_PER_COLUMN[mode]][column] = value
+    return PartitionConfig(**settings, min_local_index=min_local_index, population_column=population, hospital_column=flag, origin_col=origin, destin_col=destin, flow_col=flow)

@@ -13,7 +13,7 @@ from ..operators import diffuse, flow_graph, partition
 from ..operators.compact import compactness, dissolved
 from ..operators.contiguity import contiguity
 from ..operators.features import features
-from ..operators.metrics import cluster_attributes, known_flows, modularity_terms, total_flow, total_modularity
+from ..operators.metrics import cluster_attributes, known_flows, modularity_terms, total_modularity
 from ..operators.prepare import ORDER, adjacency_of, embedding_zones, flows_of, in_row_order, key_of, located_zones, partition_zones, unique_zones
 from ..operators.ordering import number_rows
 from ..operators.validate import check_adjacency, check_flows
@@ -69,11 +69,11 @@ class Embedder:
         if taken:
             raise ValueError(f"the zone table already has {', '.join(taken)}")
         made = embed_zones(self.zones, self.flows, self.adj, self.config)
-        return _attach(self.coords, self.id_column, made.select(F.col("ZoneID").alias("_zone"), F.col("Emb_X").alias(x_column), F.col("Emb_Y").alias(y_column)))
+        return attach(self.coords, self.id_column, made.select(F.col("ZoneID").alias("_zone"), F.col("Emb_X").alias(x_column), F.col("Emb_Y").alias(y_column)))
 
 
-def _attach(rows: DataFrame, id_column: str | None, found: DataFrame) -> DataFrame:
-    """Left join of the rows as given with ``found`` on ``_zone``."""
+def attach(rows: DataFrame, id_column: str | None, found: DataFrame) -> DataFrame:
+    """Left join of the rows as given, each of them kept, with ``found`` on the normal form of their id: ``_zone`` in ``found``."""
     if id_column is None:
         keyed = number_rows(rows, [ORDER], "_place").withColumn("_zone", F.col("_place").cast("string")).drop("_place")
     else:
@@ -102,6 +102,21 @@ def partition_zones_table(zones: DataFrame, flows: DataFrame, adj: DataFrame, em
     return part.select(F.col("zone_id").alias("ZoneID"), F.col("cluster").cast("int").alias("Community_ID"), "Comm_Pop", "Comm_Hosp", "Comm_LI"), problem.m
 
 
+def partition_table(embedding: DataFrame, flows: DataFrame, adj: DataFrame, coords: DataFrame, cfg: PartitionConfig | None = None, local: bool | None = None) -> tuple[DataFrame, DataFrame, float]:
+    """The partition of a table that has ``ZoneID`` and the population column, by an embedding with ``ZoneID`` and the two
+    columns the settings name; the flows between its zones summed per pair, and all flow. Ids are not checked: ends
+    of flows and adjacency that are no zones are left out."""
+    cfg = cfg or PartitionConfig()
+    for c in ("ZoneID", cfg.embedding_x_col, cfg.embedding_y_col):
+        if c not in embedding.columns:
+            raise KeyError(c)
+    zones = materialize(unique_zones(coords), "zones")
+    moves = flows_of(flows, cfg.origin_col, cfg.destin_col, cfg.flow_col)
+    places = in_row_order(embedding).select(key_of(embedding, "ZoneID").alias("zone_id"), ORDER, *[F.col(f"`{c}`").cast("double").alias(n) for c, n in ((cfg.embedding_x_col, "emb_x"), (cfg.embedding_y_col, "emb_y"))])
+    part, m = partition_zones_table(zones, moves, adjacency_of(adj), places, cfg, local)
+    return materialize(part, "part"), known_flows(moves, zones), m
+
+
 class Partitioner:
     """Cut zones into clusters under constraints: checks on construction, ``partition`` gives the result."""
 
@@ -131,7 +146,7 @@ class Partitioner:
         part = materialize(part, "part")
         label = part.select(F.col("ZoneID").alias("zone_id"), F.col("Community_ID").alias("cluster"))
         q = total_modularity(known_flows(self.flows, self.zones), label, m)
-        cluster = _attach(self.coords, self.id_column, label.select(F.col("zone_id").alias("_zone"), F.col("cluster").alias(self.cluster_column)))
+        cluster = attach(self.coords, self.id_column, label.select(F.col("zone_id").alias("_zone"), F.col("cluster").alias(self.cluster_column)))
         return PartitionResult(cluster, self._per_cluster(part, label), q, part)
 
     def _per_cluster(self, part: DataFrame, label: DataFrame) -> DataFrame:
@@ -165,12 +180,6 @@ def run_pipeline(coords: DataFrame, flows: DataFrame, adj: DataFrame, cfg: Pipel
     cfg = cfg or PipelineConfig()
     coords = in_row_order(coords)
     embedding = materialize(build_embedding(coords, flows, adj, cfg.embedding), "embedding")
-    zones = materialize(unique_zones(coords), "zones")
-    p = cfg.partition
-    moves = flows_of(flows, p.origin_col, p.destin_col, p.flow_col)
-    emb = embedding.select(F.col("ZoneID").alias("zone_id"), F.col("Emb_X").alias("emb_x"), F.col("Emb_Y").alias("emb_y"))
-    part, m = partition_zones_table(zones, moves, adjacency_of(adj), emb, p)
-    part = materialize(part, "part")
-    pairs = known_flows(moves, zones)
+    part, pairs, m = partition_table(embedding, flows, adj, coords, cfg.partition)
     label = part.select(F.col("ZoneID").alias("zone_id"), F.col("Community_ID").alias("cluster"))
-    return PipelineResult(embedding, part, pairs, total_flow(pairs), total_modularity(pairs, label, m))
+    return PipelineResult(embedding, part, pairs, m, total_modularity(pairs, label, m))
