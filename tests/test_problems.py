@@ -1,5 +1,6 @@
 import math
 import random
+from itertools import product
 
 import numpy as np
 import pytest
@@ -33,36 +34,49 @@ def strict(text):
     return state != "inside", fields
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.lists(st.text(alphabet='a",\n', max_size=14), min_size=1, max_size=6))
-def test_edits_cost_nothing_exactly_for_kept_forms(texts):
-    cost, fields = parse_errors.forward(texts, 3)
-    for text, c, k in zip(texts, cost.tolist(), fields.tolist(), strict=True):
-        kept, n = strict(text)
-        assert (c == 0) == kept
-        if kept:
-            assert k == min(n, 4)
-            assert len(parse_errors.split(text)) == n
-        assert len([e for e in parse_errors.trace(text, 3) if "quote" in e]) == c
-
-
-def fewest(text):
-    """Fewest quotes to insert or delete, by trying all."""
+def fewest(text, width):
+    """Fewest quotes and delimiters to insert or delete, by trying all."""
     seen, todo, n = {text}, [text], 0
-    while True:
-        if any(strict(t)[0] for t in todo):
-            return n
+    while not any(strict(t) == (True, width) for t in todo):
         after = set()
         for t in todo:
-            after |= {t[:i] + '"' + t[i:] for i in range(len(t) + 1)} | {t[:i] + t[i + 1 :] for i in range(len(t)) if t[i] == '"'}
+            after |= {t[:i] + c + t[i:] for i in range(len(t) + 1) for c in '",'} | {t[:i] + t[i + 1 :] for i in range(len(t)) if t[i] in '",'}
         todo, n = after - seen, n + 1
         seen |= after
+    return n
+
+
+def check_edits(texts, width, brute):
+    found = parse_errors.error_parse(texts, width)
+    for text, cost, k, edits in zip(texts, found.cost.tolist(), found.fields.tolist(), found.edits, strict=True):
+        kept, n = strict(text)
+        # as it stands, and as the edits leave it
+        assert (k if kept else -1) == (n if kept else k) and (cost == 0) == (kept and n == width)
+        assert strict(parse_errors.repaired(text, edits)) == (True, width)
+        assert sum(int(e.split()[2][1:]) if " x" in e else 1 for e in edits) == cost
+        if brute:
+            assert cost == fewest(text, width), text
+        if kept:
+            assert len(parse_errors.split(text)) == n
+
+
+def test_edits_are_fewest_of_all_short_records():
+    for length in range(7):
+        check_edits(["".join(p) for p in product('a",', repeat=length)], 3, True)
+    r = random.Random(1)
+    check_edits(["".join(r.choice('a",') for _ in range(r.choice((7, 8)))) for _ in range(250)], 2, True)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet='a",\n', max_size=30), min_size=1, max_size=6))
+def test_edits_give_the_form(texts):
+    check_edits(texts, 5, False)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet='a",', max_size=8))
-def test_quote_edits_are_fewest(text):
-    assert parse_errors.forward([text], 3)[0][0] == fewest(text)
+def test_one_delimiter_can_save_quotes_and_two_quotes_delimiters():
+    found = parse_errors.error_parse(['"abc"def,1,2,3', 'a"b",1,2,3', "1,2,3,4,5,6,7,8,9,10", "1,2,3,4,5,6,7"], 5)
+    assert found.edits == [["insert delimiter at 6"], ["insert delimiter at 2"], ["insert quote at 1", "insert quote at 12"], ["delete delimiter at 2", "delete delimiter at 4"]]
+    assert found.fields.tolist() == [-1, -1, 10, 7]
 
 
 def test_parse(spark):
@@ -74,7 +88,9 @@ def test_parse(spark):
     out = {r["line_id"]: r["parsed"] for r in parse_errors.parse(df, "raw", problem_queries.flow_fields()).collect()}
     assert [out[i]["reason"] for i in range(len(lines))] == [None, None, "columns", "quoting", "quoting", "value", "value", "value", "columns", "columns", "columns", "quoting", "value"]
     assert out[1]["value"]["flow"] == 70 and out[1]["value"]["remark"] == 'a, "b"\n' and out[0]["value"]["destin"] == "KX8190263B"
-    assert out[2]["edits"] == "insert delimiter x3" and out[10]["edits"] == "delete delimiter" and out[5]["edits"] == "replace flow" and out[3]["edits"].startswith("insert quote")
+    assert out[2]["edits"] == "insert delimiter x3" and out[10]["cost"] == 2 and out[10]["fields"] == 7 and out[5]["edits"] == "replace flow" and out[3]["cost"] == 1
+    assert out[3]["edits"] in ("insert quote at 40", "delete quote at 35")
+    assert out[9]["cost"] == 4 and out[9]["fields"] == 0 and out[3]["fields"] is None and out[11]["cost"] == 5 and out[11]["reason"] == "quoting"
     taken = parse_errors.parse(df.withColumn("parsed", F.lit(1)), "raw", problem_queries.flow_fields())
     assert taken.columns[-1] == "parsed_" and taken.count() == len(lines)
     assert parse_errors.parse(df.where("false"), "raw", problem_queries.flow_fields()).count() == 0

@@ -2,15 +2,17 @@
 
 A record is fields parted by a delimiter; a field may be enclosed whole in quotes, within which
 delimiters, line breaks and doubled quotes are data. A dynamic program over the record finds the
-cheapest edits that bring it into that form: quotes inserted or deleted first, then delimiters
-inserted or deleted until the number of fields is right. No delimiter edit can save a quote edit,
-so a record needs quote edits exactly if its quoting breaks the form.
+fewest edits, quotes and delimiters inserted or deleted, that bring it into that form with the
+right number of fields. Quotes and delimiters are weighed together: two quotes around a stretch can save
+many delimiters, one delimiter can give a quote its place.
 
-Records of no cost whose typed fields can be read load as valid. For all others the edits state
-the reason, in this order: ``quoting``, ``columns``, ``value`` (the fields that can't be read).
+Records of no cost whose typed fields can be read load as valid. For all others the reason is
+stated, in this order: ``quoting`` (as it stands the record has no reading, whatever the number of
+fields), ``columns`` (it has one, but needs edits), ``value`` (it needs none, but fields can't be read).
 
-The forward pass runs over whole Arrow batches at once, one step per run of characters of the
-same class; only records that need quote edits are traced back one by one.
+Records without any quote and with the right number of delimiters have no cost, and never leave the
+JVM. The program runs over whole Arrow batches of the others at once, one step per run of characters
+of the same class; those that need edits are traced back one by one.
 
 Defined cases: one carriage return at the end is ignored; a null record has no field and fails by
 ``columns``, an empty one has one empty field; repeated lines are parsed each; further columns are
@@ -28,13 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # States of the record form: at a field's start, in a bare field, inside quotes, after a quote inside quotes.
 START, BARE, INSIDE, CLOSED = range(4)
 # Classes of characters.
 OTHER, QUOTE, DELIM = range(3)
-_BIG = np.int32(1 << 28)
 #: NEXT[state][class]: the state after an unedited character, None where the form has no place for it.
 NEXT = (
     (BARE, INSIDE, START),
@@ -42,31 +42,16 @@ NEXT = (
     (INSIDE, CLOSED, INSIDE),
     (None, INSIDE, START),
 )
-#: Quotes put in before the character: the cost and the state each state can be moved to.
-INSERT = {START: (INSIDE,), INSIDE: (CLOSED,), CLOSED: (INSIDE,), BARE: ()}
-
-
-def _moves() -> list[tuple[int, int, int, int, bool, tuple[str, ...]]]:
-    """All steps over one character: (state, class, next state, cost, whether a field ends, edits)."""
-    moves = []
-    for state in range(4):
-        for kind in (OTHER, QUOTE, DELIM):
-            for via, cost, edits in [(state, 0, ()), *[(t, 1, ("insert quote",)) for t in INSERT[state]]]:
-                to = NEXT[via][kind]
-                if to is not None:
-                    moves.append((state, kind, to, cost, kind == DELIM and to == START, edits))
-            if kind == QUOTE:
-                moves.append((state, kind, state, 1, False, ("delete quote",)))
-    return moves
-
-
-MOVES = _moves()
-
-
-def classes(text: str, quote: str, delimiter: str) -> list[tuple[int, int]]:
-    """The record as (class, position) of each quote, delimiter and run of other characters."""
-    of = {quote: QUOTE, delimiter: DELIM}
-    return [(of.get(m[0], OTHER), m.start()) for m in _runs(quote, delimiter).finditer(text)]
+#: Insertions before a character in the order in which they can follow each other: (from, to, fields ended, edit).
+#: More delimiters at one place are no use: they can as well stand at the end.
+INSERT = (
+    (INSIDE, CLOSED, 0, "insert quote"),
+    *((state, START, 1, "insert delimiter") for state in (BARE, CLOSED, START)),
+    (CLOSED, INSIDE, 0, "insert quote"),
+    (START, INSIDE, 0, "insert quote"),
+)
+DELETE = {QUOTE: "delete quote", DELIM: "delete delimiter"}
+_BIG = np.int32(1 << 28)
 
 
 @lru_cache(maxsize=16)
@@ -75,8 +60,13 @@ def _runs(quote: str, delimiter: str) -> re.Pattern:
     return re.compile(f"{q}|{d}|[^{q}{d}]+")
 
 
+def positions(record: str, quote: str, delimiter: str) -> list[int]:
+    """Where each quote, delimiter and run of other characters begins, from 1."""
+    return [m.start() + 1 for m in _runs(quote, delimiter).finditer(record)]
+
+
 def _kinds(text: str, table: np.ndarray) -> np.ndarray:
-    """The classes alone; quote and delimiter are ASCII, so bytes will do."""
+    """The class of each quote, delimiter and run of others; quote and delimiter are ASCII, so bytes will do."""
     kinds = table[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
     keep = kinds != OTHER
     keep[1:] |= kinds[:-1] != OTHER
@@ -84,7 +74,7 @@ def _kinds(text: str, table: np.ndarray) -> np.ndarray:
     return kinds[keep]
 
 
-def _chunks(lengths: np.ndarray, cells: int = 1 << 20) -> Iterator[np.ndarray]:
+def _chunks(lengths: np.ndarray, cells: int = 1 << 17) -> Iterator[np.ndarray]:
     """Records of about equal length together, no chunk above ``cells`` cells when padded (but for one record)."""
     order = np.argsort(lengths, kind="stable")
     at = 0
@@ -96,81 +86,127 @@ def _chunks(lengths: np.ndarray, cells: int = 1 << 20) -> Iterator[np.ndarray]:
         at = end
 
 
-def forward(records: list[str], width: int, quote: str = '"', delimiter: str = ",") -> tuple[np.ndarray, np.ndarray]:
-    """Fewest quote edits of each record, and its number of fields then (the one nearest to ``width``).
+@dataclass(frozen=True)
+class Parsed:
+    """Of each record: fewest edits; fields as it stands (-1: its quoting has no reading); the edits in words."""
+
+    cost: np.ndarray
+    fields: np.ndarray
+    edits: list[list[str]]
+
+
+def _inserted(best: np.ndarray) -> np.ndarray:
+    """The costs ``[record, state, fields]`` after insertions before the next character."""
+    after = best.copy()
+    for was, to, ends, _ in INSERT:
+        if ends:
+            # from what stood before delimiters, so that one is put in at most
+            came = (after if was == CLOSED else best)[:, was, :-1] + 1
+            np.minimum(after[:, to, 1:], came, out=after[:, to, 1:])
+        else:
+            np.minimum(after[:, to], after[:, was] + 1, out=after[:, to])
+    return after
+
+
+def _taken(best: np.ndarray, kind: int) -> np.ndarray:
+    """The costs after a character of a class, unedited or deleted."""
+    after = np.full_like(best, _BIG)
+    for was in range(4):
+        to = NEXT[was][kind]
+        if to is None:
+            continue
+        if kind == DELIM and to == START:
+            np.minimum(after[:, to, 1:], best[:, was, :-1], out=after[:, to, 1:])
+        else:
+            np.minimum(after[:, to], best[:, was], out=after[:, to])
+    return after if kind == OTHER else np.minimum(after, best + 1)
 
-    Field counts above ``width + 1`` are one: they all need delimiters deleted.
-    """
-    cost, fields = np.zeros(len(records), np.int32), np.zeros(len(records), np.int32)
+
+def error_parse(records: list[str], width: int, quote: str = '"', delimiter: str = ",") -> Parsed:
+    """Minimum-cost parse of records into ``width`` fields. A field once ended stays, so that no more than ``width``
+    need to be told apart, however many there are."""
+    cost, fields = np.zeros(len(records), np.int32), np.ones(len(records), np.int32)
+    edits: list[list[str]] = [[] for _ in records]
     table = np.zeros(256, np.int8)
     table[ord(quote)], table[ord(delimiter)] = QUOTE, DELIM
     kinds = [_kinds(r, table) for r in records]
     lengths = np.array([len(k) for k in kinds], np.int64)
-    most = width + 1
+    legal = np.array([[-1 if to is None else to for to in row] for row in NEXT] + [[-1] * 3], np.int8)
     for chunk in _chunks(lengths):
         steps = int(lengths[chunk].max())
         grid = np.full((len(chunk), steps), -1, np.int8)
         for row, i in enumerate(chunk):
             grid[row, : len(kinds[i])] = kinds[i]
-        best = np.full((len(chunk), 4, most + 1), _BIG, np.int32)
-        best[:, START, 1] = 0
+        # the record as it stands
+        state, found = np.full(len(chunk), START, np.int8), np.ones(len(chunk), np.int32)
+        for step in range(steps):
+            on = grid[:, step] >= 0
+            to = legal[state[on], grid[on, step]]
+            found[on] += (to == START) & (grid[on, step] == DELIM)
+            state[on] = to
+        kept = (state >= 0) & (state != INSIDE)
+        fields[chunk] = np.where(kept, found, -1)
+        open_ = np.flatnonzero(~kept | (found != width))
+        if not len(open_):
+            continue
+        best = np.full((len(open_), 4, width), _BIG, np.int32)
+        best[:, START, 0] = 0
+        layers = [best]
         for step in range(steps):
-            kind = grid[:, step]
-            after = np.full_like(best, _BIG)
-            for state, at, to, price, ends, _ in MOVES:
-                rows = kind == at
-                if not rows.any():
-                    continue
-                came = best[rows, state] + price
-                if ends:
-                    moved = np.full_like(came, _BIG)
-                    moved[:, 1:] = came[:, :-1]
-                    moved[:, most] = np.minimum(moved[:, most], came[:, most])
-                    came = moved
-                after[rows, to] = np.minimum(after[rows, to], came)
-            over = kind < 0
-            after[over] = best[over]
+            after = best.copy()
+            for kind in (OTHER, QUOTE, DELIM):
+                rows = np.flatnonzero(grid[open_, step] == kind)
+                if len(rows):
+                    after[rows] = _taken(_inserted(best[rows]), kind)
             best = after
-        # the end: inside quotes one more quote closes the field
-        end = np.minimum(np.minimum(best[:, START], best[:, BARE]), np.minimum(best[:, CLOSED], best[:, INSIDE] + 1))
-        price = end.astype(np.int64) * (most + 2) + np.abs(np.arange(most + 1) - width)
-        price[:, 0] = np.iinfo(np.int64).max
-        pick = price.argmin(axis=1)
-        cost[chunk], fields[chunk] = end[np.arange(len(chunk)), pick], pick
-    return cost, fields
-
-
-def trace(record: str, width: int, quote: str = '"', delimiter: str = ",") -> list[str]:
-    """The cheapest edits of one record in words: quote edits with positions (from 1), then delimiters."""
-    most = width + 1
-    best: dict[tuple[int, int], tuple[int, tuple]] = {(START, 1): (0, ())}
-    for kind, at in classes(record, quote, delimiter):
-        after: dict[tuple[int, int], tuple[int, tuple]] = {}
-        for (state, n), (price, path) in best.items():
-            for was, of, to, extra, ends, edits in MOVES:
-                if was == state and of == kind:
-                    key = (to, min(n + ends, most))
-                    if key not in after or price + extra < after[key][0]:
-                        after[key] = (price + extra, (path, f"{edits[0]} at {at + 1}") if edits else path)
-        best = after
-    done: list[tuple[int, int, int, tuple]] = []
-    for (state, n), (price, path) in best.items():
-        if state == INSIDE:
-            price, path = price + 1, (path, f"insert quote at {len(record) + 1}")
-        done.append((price, abs(n - width), n, path))
-    _, _, n, path = min(done, key=lambda x: x[:3])
-    words = []
-    while path:
-        path, word = path
-        words.append(word)
-    return words[::-1] + delimiter_edits(n, width)
-
-
-def delimiter_edits(fields: int, width: int) -> list[str]:
-    """Delimiters to insert or delete for ``width`` fields."""
-    if fields < width:
-        return [f"insert delimiter x{width - fields}"]
-    return ["delete delimiter"] if fields > width else []
+            layers.append(best)
+        for row, i in enumerate(chunk[open_].tolist()):
+            cost[i], edits[i] = _trace([layer[row] for layer in layers], kinds[i], positions(records[i], quote, delimiter), len(records[i]) + 1, width)
+    return Parsed(cost, fields, edits)
+
+
+def _trace(layers: list[np.ndarray], kinds: np.ndarray, places: list[int], end: int, width: int) -> tuple[int, list[str]]:
+    """The fewest edits of one record and what they are, from the costs before each of its characters."""
+    last = layers[len(kinds)].astype(np.int64) + (width - 1 - np.arange(width))
+    last[INSIDE] += 1
+    # of equal ways the one that leaves most delimiters to the end
+    n, state = divmod(int(last.T.argmin()), 4)
+    total = int(last[state, n])
+    words = [f"insert delimiter x{width - 1 - n}"] if n < width - 1 else []
+    if state == INSIDE:
+        words.append(f"insert quote at {end}")
+    for step in range(len(kinds) - 1, -1, -1):
+        kind, before, price = int(kinds[step]), layers[step], int(layers[step + 1][state, n])
+        ready = _inserted(before[None])[0]
+        came = next(((was, n - ends) for was in range(4) if NEXT[was][kind] == state and (ends := int(kind == DELIM and state == START)) <= n and ready[was, n - ends] == price), None)
+        if came is None:
+            words.append(f"{DELETE[kind]} at {places[step]}")
+            price -= 1
+        else:
+            state, n = came
+        while before[state, n] != price:
+            for was, to, ends, edit in reversed(INSERT):
+                if to == state and ends <= n and (before if ends and was != CLOSED else ready)[was, n - ends] == price - 1:
+                    words.append(f"{edit} at {places[step]}")
+                    state, n, price = was, n - ends, price - 1
+                    break
+    return total, words[::-1]
+
+
+def repaired(record: str, edits: list[str], quote: str = '"', delimiter: str = ",") -> str:
+    """The record with edits made."""
+    marks = {"quote": quote, "delimiter": delimiter}
+    before: dict[int, str] = {}
+    gone, more = set(), ""
+    for edit in edits:
+        what, mark, *where = edit.split()
+        if where[0].startswith("x"):
+            more += marks[mark] * int(where[0][1:])
+        elif what == "delete":
+            gone.add(int(where[1]))
+        else:
+            before[int(where[1])] = before.get(int(where[1]), "") + marks[mark]
+    return "".join(before.get(i, "") + ("" if i in gone else c) for i, c in enumerate(record, 1)) + before.get(len(record) + 1, "") + more
 
 
 def split(record: str, quote: str = '"', delimiter: str = ",") -> list[str]:
@@ -207,42 +243,51 @@ class Field:
     read: Callable[[Column], Column] | None = None
 
 
+_PARSE = pa.struct([("cost", pa.int32()), ("fields", pa.int32()), ("edits", pa.string()), ("text", pa.list_(pa.string()))])
+
+
 def parse(lines: DataFrame, raw: str, fields: list[Field], quote: str = '"', delimiter: str = ",") -> DataFrame:
     """``lines`` with the parse of column ``raw`` added as one struct column ``parsed`` (underscores are
     appended while the name is taken):
 
-    ``quote_edits``, ``fields`` (found; width + 1 stands for more), ``edits`` (text), ``text`` (the texts of
-    the fields, null unless the form is kept), ``value`` (the typed fields) and ``reason`` (null: valid).
-    No shuffle: each batch is parsed where it is read.
+    ``cost`` (fewest edits), ``fields`` (as the record stands; null where its quoting has no reading), ``edits``
+    (text), ``text`` (the texts of the fields, null unless the form is kept), ``value`` (the typed fields) and
+    ``reason`` (null: valid). No shuffle: each batch is parsed where it is read.
     """
     width = len(fields)
     name = "parsed"
     while name in lines.columns:
         name += "_"
-    schema = T.StructType([*lines.schema.fields, T.StructField(name, T.StructType.fromDDL("quote_edits int, fields int, edits string, text array<string>"))])
-    raw_at = lines.columns.index(raw)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            given = batch.column(raw_at).to_pylist()
-            lines_ = ["" if x is None else x.removesuffix("\r") for x in given]
-            cost, found = forward(lines_, width, quote, delimiter)
-            found[[i for i, x in enumerate(given) if x is None]] = 0
-            edits, text = [], []
-            for line, c, k in zip(lines_, cost.tolist(), found.tolist(), strict=True):
-                edits.append("; ".join(trace(line, width, quote, delimiter) if c else delimiter_edits(k, width)))
-                text.append(None if c or k != width else split(line, quote, delimiter))
-            parts = {"quote_edits": pa.array(cost, pa.int32()), "fields": pa.array(found, pa.int32()), "edits": pa.array(edits, pa.string()), "text": pa.array(text, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(list(parts.values()), list(parts))], [*batch.schema.names, name])
-
-    out = lines.mapInArrow(run, schema)
+
+    def run(batch: pa.Array) -> pa.Array:
+        made: list = [None] * len(batch)
+        at = [i for i, x in enumerate(batch.to_pylist()) if x is not None]
+        records = batch.drop_null().to_pylist()
+        found = error_parse(records, width, quote, delimiter)
+        for i, record, cost, k, edits in zip(at, records, found.cost.tolist(), found.fields.tolist(), found.edits, strict=True):
+            made[i] = {"cost": cost, "fields": k if k >= 0 else None, "edits": "; ".join(edits), "text": None if cost else split(record, quote, delimiter)}
+        return pa.array(made, _PARSE)
+
+    # the filters on the result must not parse once more, so the parse counts as one that can't be repeated
+    program = F.arrow_udf(run, "cost int, fields int, edits string, text array<string>").asNondeterministic()
+    line = F.regexp_replace(F.col(f"`{raw}`"), r"\r\z", "")
+    parts = F.split(line, f"\\Q{delimiter}\\E", -1)
+    plain = ~F.contains(line, F.lit(quote)) & (F.size(parts) == width)
+    given = lines.withColumn(name, F.struct(plain.alias("plain"), program(F.when(~plain, line)).alias("parse")))
+    none = F.col(f"`{raw}`").isNull()
+    at, least = F.col(name)["parse"], F.lit(width).cast("int")
+    cost = F.when(none, least - 1).otherwise(F.coalesce(at["cost"], F.lit(0)))
+    count = F.when(none, F.lit(0)).when(F.col(name)["plain"], least).otherwise(at["fields"])
+    edits = F.when(none, F.lit(f"insert delimiter x{width - 1}")).otherwise(F.coalesce(at["edits"], F.lit("")))
+    text = F.when(F.col(name)["plain"], parts).otherwise(at["text"])
+    out = given.withColumn(name, F.struct(cost.alias("cost"), count.alias("fields"), edits.alias("edits"), text.alias("text")))
     at = F.col(name)
     typed = [(f.name, f.read(at["text"][i]) if f.read else at["text"][i]) for i, f in enumerate(fields)]
     value = F.struct(*[v.alias(n) for n, v in typed])
     wrong = F.array_compact(F.array(*[F.when(v.isNull(), F.lit(n)) for (n, v), f in zip(typed, fields, strict=True) if f.read]))
-    reason = F.when(at["quote_edits"] > 0, "quoting").when(at["fields"] != width, "columns").when(F.size(wrong) > 0, "value")
+    reason = F.when(at["fields"].isNull(), "quoting").when(at["fields"] != width, "columns").when(F.size(wrong) > 0, "value")
     edits = F.when(reason == "value", F.concat(F.lit("replace "), F.array_join(wrong, ", "))).otherwise(at["edits"])
-    return out.withColumn(name, F.struct(at["quote_edits"].alias("quote_edits"), at["fields"].alias("fields"), edits.alias("edits"), at["text"].alias("text"), value.alias("value"), reason.alias("reason")))
+    return out.withColumn(name, F.struct(at["cost"].alias("cost"), at["fields"].alias("fields"), edits.alias("edits"), at["text"].alias("text"), value.alias("value"), reason.alias("reason")))
 
 
 # Fixed value: a finite decimal number with optional sign, fraction and exponent.

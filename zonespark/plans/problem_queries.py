@@ -102,8 +102,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_repairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines that can't be read, with the cheapest edits that would make them fit the form."""
-    return parsed_flows(spark, folder).where("parsed.reason is not null").select("line_id", "parsed.reason", "parsed.quote_edits", "parsed.fields", "parsed.edits")
+    """Lines that can't be read, with the least number of quotes and delimiters to insert or delete that gives them the form."""
+    return parsed_flows(spark, folder).where("parsed.reason is not null").select("line_id", "parsed.reason", F.col("parsed.cost").alias("n_edits"))
 
 
 def p4_valid(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,6 +122,24 @@ judged as (select *, case when not quoted_well then 'quoting' when not five then
   when not coalesce(regexp_full_match(k1, '[A-Z]{{2}}[0-9]{{7}}[A-Z]?'), false) or not coalesce(regexp_full_match(k2, '[A-Z]{{2}}[0-9]{{7}}[A-Z]?'), false)
     or not regexp_full_match(n, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') or not coalesce(isfinite(try_cast(n as double)), false) then 'value' end as reason from typed)
 """
+# the same program character by character; states: 0 at a field's start, 1 in a bare field, 2 inside quotes, 3 after a quote inside
+P4_REPAIRS_SQL = (
+    _P4_BASE.replace("with lines", "with recursive lines")
+    + """,
+bad as materialized (select line_id, reason, r from judged join lines using (line_id) where reason is not null),
+put(s, t, dk, c) as (values (0,0,0,0), (1,1,0,0), (2,2,0,0), (3,3,0,0), (2,3,0,1), (3,2,0,1), (0,2,0,1), (0,0,1,1), (1,0,1,1), (3,0,1,1), (2,0,1,2), (0,2,1,2), (1,2,1,2), (3,2,1,2), (2,2,1,3)),
+take(s, kind, t, dk, c) as (values (0,'o',1,0,0), (1,'o',1,0,0), (2,'o',2,0,0), (0,'q',2,0,0), (2,'q',3,0,0), (3,'q',2,0,0), (0,'d',0,1,0), (1,'d',0,1,0), (3,'d',0,1,0), (2,'d',2,0,0),
+  (0,'q',0,0,1), (1,'q',1,0,1), (2,'q',2,0,1), (3,'q',3,0,1), (0,'d',0,0,1), (1,'d',1,0,1), (2,'d',2,0,1), (3,'d',3,0,1)),
+step(s, kind, t, dk, c) as materialized (select p.s, kind, m.t, p.dk + m.dk, min(p.c + m.c) from put p join take m on m.s = p.t group by all),
+dp(line_id, i, s, k, c) as (
+  select line_id, 0, 0, 1, 0 from bad
+  union all
+  select line_id, i + 1, t, k, min(c) from (
+    select d.line_id, d.i, m.t, d.k + m.dk as k, d.c + m.c as c from dp d join bad b using (line_id)
+    join step m on m.s = d.s and m.kind = case b.r[d.i + 1] when '"' then 'q' when ',' then 'd' else 'o' end where d.i < length(b.r) and d.k + m.dk <= 5)
+  group by line_id, i, t, k)
+select line_id, any_value(reason) as reason, cast(min(c + 5 - k + case when s = 2 then 1 else 0 end) as integer) as n_edits from dp join bad using (line_id) where i = length(r) group by line_id"""
+)
 P4_SQL = _P4_BASE + "select line_id, reason from judged where reason is not null"
 P4_VALID_SQL = _P4_BASE + "select line_id, k1 as origin, k2 as destin, cast(n as double) as flow, f4 as month, f5 as remark from judged where reason is null"
 
@@ -230,6 +248,7 @@ SQL = {
     "p2_found": P2_SQL,
     "p4_found": P4_SQL,
     "p4_valid": P4_VALID_SQL,
+    "p4_repairs": P4_REPAIRS_SQL,
     "p5_found": P5_SQL,
     "p5_keys": P5_KEYS_SQL,
     "p5_matched": P5_MATCHED_SQL,
