@@ -10,9 +10,9 @@ Records of no cost whose typed fields can be read load as valid. For all others
 stated, in this order: ``quoting`` (as it stands the record has no reading, whatever the number of
 fields), ``columns`` (it has one, but needs edits), ``value`` (it needs none, but fields can't be read).
 
-Records without any quote and with the right number of delimiters have no cost, and never leave the
-JVM. The program runs over whole Arrow batches of the others at once, one step per run of characters
-of the same class; those that need edits are traced back one by one.
+Records without any quote and with the right number of delimiters have no cost, and are split as a
+column. The program runs over the others of an Arrow batch at once, one step per run of characters of the
+same class; those that need edits are traced back one by one.
 
 Defined cases: one carriage return at the end is ignored; a null record has no field and fails by
 ``columns``, an empty one has one empty field; repeated lines are parsed each; further columns are
@@ -28,8 +28,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # States of the record form: at a field's start, in a bare field, inside quotes, after a quote inside quotes.
 START, BARE, INSIDE, CLOSED = range(4)
@@ -243,7 +245,25 @@ class Field:
     read: Callable[[Column], Column] | None = None
 
 
-_PARSE = pa.struct([("cost", pa.int32()), ("fields", pa.int32()), ("edits", pa.string()), ("text", pa.list_(pa.string()))])
+def _parsed(raw: pa.Array, width: int, quote: str, delimiter: str) -> pa.StructArray:
+    """The parse of a batch of records. Records without quotes and with the right number of delimiters are split as a column."""
+    line = pc.replace_substring_regex(raw.cast(pa.string()), r"\r\z", "")
+    plain = pc.and_(pc.invert(pc.match_substring(line, quote)), pc.equal(pc.count_substring(line, delimiter), width - 1)).fill_null(False)
+    rest = pc.and_(pc.invert(plain), line.is_valid())
+    plain_at, rest_at, none_at = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (plain, rest, line.is_null()))
+    records = line.filter(rest).to_pylist()
+    found = error_parse(records, width, quote, delimiter)
+    split_text = pc.split_pattern(line.filter(plain), delimiter)
+    texts = [None if cost else split(record, quote, delimiter) for record, cost in zip(records, found.cost.tolist(), strict=True)]
+    n = len(plain_at), len(none_at)
+    cost = np.concatenate([np.zeros(n[0], np.int32), found.cost, np.full(n[1], width - 1, np.int32)])
+    count = np.concatenate([np.full(n[0], width, np.int32), found.fields, np.zeros(n[1], np.int32)])
+    edits = [*[""] * n[0], *["; ".join(e) for e in found.edits], *[f"insert delimiter x{width - 1}"] * n[1]]
+    text = pa.concat_arrays([split_text, pa.array([*texts, *[None] * n[1]], split_text.type)])
+    columns = {"cost": pa.array(cost), "fields": pa.array(count, mask=count < 0), "edits": pa.array(edits, pa.string()), "text": text}
+    # back into the order of the batch
+    order = pa.array(np.argsort(np.concatenate([plain_at, rest_at, none_at]), kind="stable"))
+    return pa.StructArray.from_arrays([c.take(order) for c in columns.values()], list(columns))
 
 
 def parse(lines: DataFrame, raw: str, fields: list[Field], quote: str = '"', delimiter: str = ",") -> DataFrame:
@@ -259,28 +279,15 @@ def parse(lines: DataFrame, raw: str, fields: list[Field], quote: str = '"', del
     while name in lines.columns:
         name += "_"
 
-    def run(batch: pa.Array) -> pa.Array:
-        made: list = [None] * len(batch)
-        at = [i for i, x in enumerate(batch.to_pylist()) if x is not None]
-        records = batch.drop_null().to_pylist()
-        found = error_parse(records, width, quote, delimiter)
-        for i, record, cost, k, edits in zip(at, records, found.cost.tolist(), found.fields.tolist(), found.edits, strict=True):
-            made[i] = {"cost": cost, "fields": k if k >= 0 else None, "edits": "; ".join(edits), "text": None if cost else split(record, quote, delimiter)}
-        return pa.array(made, _PARSE)
-
-    # the filters on the result must not parse once more, so the parse counts as one that can't be repeated
-    program = F.arrow_udf(run, "cost int, fields int, edits string, text array<string>").asNondeterministic()
-    line = F.regexp_replace(F.col(f"`{raw}`"), r"\r\z", "")
-    parts = F.split(line, f"\\Q{delimiter}\\E", -1)
-    plain = ~F.contains(line, F.lit(quote)) & (F.size(parts) == width)
-    given = lines.withColumn(name, F.struct(plain.alias("plain"), program(F.when(~plain, line)).alias("parse")))
-    none = F.col(f"`{raw}`").isNull()
-    at, least = F.col(name)["parse"], F.lit(width).cast("int")
-    cost = F.when(none, least - 1).otherwise(F.coalesce(at["cost"], F.lit(0)))
-    count = F.when(none, F.lit(0)).when(F.col(name)["plain"], least).otherwise(at["fields"])
-    edits = F.when(none, F.lit(f"insert delimiter x{width - 1}")).otherwise(F.coalesce(at["edits"], F.lit("")))
-    text = F.when(F.col(name)["plain"], parts).otherwise(at["text"])
-    out = given.withColumn(name, F.struct(cost.alias("cost"), count.alias("fields"), edits.alias("edits"), text.alias("text")))
+    schema = T.StructType([*lines.schema.fields, T.StructField(name, T.StructType.fromDDL("cost int, fields int, edits string, text array<string>"))])
+    raw_at = lines.columns.index(raw)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parsed = _parsed(batch.column(raw_at), width, quote, delimiter)
+            yield pa.RecordBatch.from_arrays([*batch.columns, parsed], [*batch.schema.names, name])
+
+    out = lines.mapInArrow(run, schema)
     at = F.col(name)
     typed = [(f.name, f.read(at["text"][i]) if f.read else at["text"][i]) for i, f in enumerate(fields)]
     value = F.struct(*[v.alias(n) for n, v in typed])
