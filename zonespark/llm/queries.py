@@ -43,48 +43,43 @@ def p1_day_unions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def zone_records(spark: SparkSession, folder: str) -> DataFrame:
-    """``row_id, key, loaded_at`` of the zone records; null key for a blank reference."""
-    coords, n = table(spark, folder, "coords_df"), ledger.same_number
+    """``tbl, row_id, key, loaded_at`` of the zone records; null key for a blank reference."""
+    coords, n, tbl = table(spark, folder, "coords_df"), ledger.same_number, F.lit("coords_df")
     key = zone_key(F.col("ZoneID"))
-    fields = [key, letters_and_digits(F.col("ZoneName")), *[n(F.col(c)) for c in ("XCoord", "YCoord", "POPU", "hosp")], F.col("AddedOn"), F.col("RemovedOn"), F.col("geometry")]
-    return coords.select("row_id", F.when(key.isNotNull(), ledger.digest(fields)).alias("key"), "loaded_at")
+    fields = [tbl, key, letters_and_digits(F.col("ZoneName")), *[n(F.col(c)) for c in ("XCoord", "YCoord", "POPU", "hosp")], F.col("AddedOn"), F.col("RemovedOn"), F.col("geometry")]
+    return coords.select(tbl.alias("tbl"), "row_id", F.when(key.isNotNull(), ledger.digest(fields)).alias("key"), "loaded_at")
 
 
 def neighbour_records(spark: SparkSession, folder: str) -> DataFrame:
-    """``row_id, key, loaded_at`` of the adjacency records; the order of the two zones doesn't matter."""
-    adj = table(spark, folder, "df_adj")
+    """``tbl, row_id, key, loaded_at`` of the adjacency records; the order of the two zones doesn't matter."""
+    adj, tbl = table(spark, folder, "df_adj"), F.lit("df_adj")
     a, b = zone_key(F.col("focal")), zone_key(F.col("neighbor"))
-    fields = [F.least(a, b), F.greatest(a, b), F.col("SnapshotOn"), ledger.same_number(F.col("BorderKm"))]
-    return adj.select("row_id", F.when(a.isNotNull() & b.isNotNull(), ledger.digest(fields)).alias("key"), "loaded_at")
+    fields = [tbl, F.least(a, b), F.greatest(a, b), F.col("SnapshotOn"), ledger.same_number(F.col("BorderKm"))]
+    return adj.select(tbl.alias("tbl"), "row_id", F.when(a.isNotNull() & b.isNotNull(), ledger.digest(fields)).alias("key"), "loaded_at")
 
 
-def filled_ledger(spark: SparkSession, rows: DataFrame, name: str) -> ledger.Ledger:
-    """A ledger that took the rows year by year as they were loaded; rows without a load time come first."""
-    book = ledger.Ledger(spark, scratch_path(spark, name))
-    years = [r[0] for r in rows.select(F.coalesce(F.year("loaded_at"), F.lit(0)).alias("y")).distinct().orderBy("y").collect()]
-    for year in years:
-        loaded = F.col("loaded_at")
-        within = loaded.isNull() if year == 0 else (loaded >= F.make_timestamp(*map(F.lit, (year, 1, 1, 0, 0, 0)))) & (loaded < F.make_timestamp(*map(F.lit, (year + 1, 1, 1, 0, 0, 0))))
-        book.update(rows.where(within).select("key", "row_id"))
-    return book
+def filled_ledger(spark: SparkSession, folder: str) -> tuple[ledger.Ledger, DataFrame]:
+    """A ledger that took the records of both tables year by year as they were loaded, those without a load time
+    first; and the records with their keys, which are digested once."""
+    rows = zone_records(spark, folder).unionByName(neighbour_records(spark, folder)).where("key is not null")
+    keyed = materialize(rows.select("tbl", "row_id", "key", F.coalesce(F.year("loaded_at"), F.lit(0)).alias("year")), "keyed", ["year"])
+    book = ledger.Ledger(spark, scratch_path(spark, "ledger"))
+    # one folder for each year
+    for year in sorted(r[0] for r in keyed.select("year").distinct().collect()):
+        book.update(keyed.where(F.col("year") == year))
+    return book, keyed
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The copies of repeated records with their representatives."""
-    found = []
-    for name, rows in (("coords_df", zone_records(spark, folder)), ("df_adj", neighbour_records(spark, folder))):
-        copies = ledger.members(rows.select("row_id", "key"), filled_ledger(spark, rows, name).counts())
-        found.append(copies.select(F.lit(name).alias("tbl"), "row_a", "row_b"))
-    return found[0].unionByName(found[1])
+    book, keyed = filled_ledger(spark, folder)
+    return ledger.members(keyed, book)
 
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Each record once, by its representative, with its number of copies."""
-    found = []
-    for name, rows in (("coords_df", zone_records(spark, folder)), ("df_adj", neighbour_records(spark, folder))):
-        counts = filled_ledger(spark, rows, name).counts()
-        found.append(counts.select(F.lit(name).alias("tbl"), F.col("first_id").alias("row_id"), F.col("n").alias("n_copies")))
-    return found[0].unionByName(found[1])
+    book, _ = filled_ledger(spark, folder)
+    return book.counts().select("tbl", F.col("first_id").alias("row_id"), F.col("n").alias("n_copies"))
 
 
 # --- p7: filling fixed-capacity containers
