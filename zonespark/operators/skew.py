@@ -1,9 +1,10 @@
 """Per-key results when a few keys hold most rows: fragment-replicate by estimated load.
 
-1. *Estimate.* One pass over the key column alone counts rows per key. Keys above a fraction of a
-   task's fair share are *heavy*; all others are hashed into a fixed number of bundles.
-   What reaches the driver is bounded by parameters, not by the data: the loads of
-   ``bundles`` bundles and at most ``per_share * tasks`` heavy keys.
+1. *Estimate.* Keys are hashed into bundles, several a task, and one pass over the key column alone
+   counts the rows of each. A key above a fraction of a task's fair share, a *heavy* one, can only be
+   in a bundle above it: of these few bundles a second pass counts the rows per key. What is shuffled is
+   bundles a task and the keys of the full bundles, never all keys, and what reaches the driver is bounded
+   by the number of tasks, not by the data: loads of bundles and at most ``per_share * tasks`` heavy keys.
 2. *Bin-pack.* A heavy key above the fair share is cut into shards proportionate to its load.
    Shards, heavy keys and bundles are packed onto tasks, largest first onto the least loaded.
 3. *Fragment.* Each row goes to the task of its bundle or, for a heavy key, to one of the key's
@@ -23,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUNDLES = 1024
+#: Bundles to a task, so that light keys can be spread evenly over any number of tasks; and the fewest there are.
+PER_TASK, FEWEST = 16, 1024
 #: A key is heavy from 1 / PER_SHARE of a task's fair share of the rows.
 PER_SHARE = 4
 
@@ -40,7 +42,7 @@ class Plan:
 
     def bundle(self, key: Column) -> Column:
         """Task of the bundle of a key."""
-        return F.element_at(F.array(*[F.lit(t) for t in self.bundle_task]), F.pmod(F.hash(key), F.lit(len(self.bundle_task))) + 1)
+        return F.element_at(_constant(self.bundle_task), F.pmod(F.hash(key), F.lit(len(self.bundle_task))) + 1)
 
     def shards(self, df: DataFrame, key: str, name: str) -> DataFrame:
         """``df`` with the tasks of the shards of its heavy keys, null for all other keys. The table of heavy keys
@@ -50,6 +52,11 @@ class Plan:
         return df.join(F.broadcast(heavy), key, "left").select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
+def _constant(numbers: list[int]) -> Column:
+    """An array as one constant, however long: the optimizer reads the text once."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
+
+
 def pack(loads: dict[str, int], bundles: list[int], tasks: int, rows: int) -> Plan:
     """Cut heavy keys into shards of at most a fair share and pack everything, largest first."""
     fair = max(1, -(-rows // tasks))
@@ -71,24 +78,26 @@ def pack(loads: dict[str, int], bundles: list[int], tasks: int, rows: int) -> Pl
     return Plan(tasks, rows, bundle_task, heavy, [round(x) for x in total])
 
 
-def plan(df: DataFrame, key: str, tasks: int | None = None, bundles: int = BUNDLES, per_share: int = PER_SHARE) -> Plan:
+def plan(df: DataFrame, key: str, tasks: int | None = None, bundles: int | None = None, per_share: int = PER_SHARE) -> Plan:
     """Measure the loads of ``df`` per ``key`` (null keys left out) and pack them onto ``tasks`` tasks."""
     tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    heavy_from = F.lit(max(1, df.count() // (tasks * per_share)))
-    found = (
-        counted.groupBy(F.pmod(F.hash("key"), F.lit(bundles)).alias("bundle"))
-        .agg(
-            F.sum("n").alias("rows"),
-            F.sum(F.when(F.col("n") < heavy_from, F.col("n"))).alias("light"),
-            F.collect_list(F.when(F.col("n") >= heavy_from, F.struct("key", "n"))).alias("heavy"),
-        )
-        .collect()
-    )
+    bundles = bundles or max(FEWEST, PER_TASK * tasks)
+    keys = df.select(F.col(key).alias("key")).where("key is not null").withColumn("bundle", F.pmod(F.hash("key"), F.lit(bundles)))
+    # as many rows as there are bundles
     light = [0] * bundles
-    for r in found:
-        light[r["bundle"]] = r["light"] or 0
-    return pack({h["key"]: h["n"] for r in found for h in r["heavy"]}, light, tasks, sum(r["rows"] for r in found))
+    for r in keys.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).collect():
+        light[r["bundle"]] = r["n"]
+    rows = sum(light)
+    heavy_from = max(1, rows // (tasks * per_share))
+    full = [n >= heavy_from for n in light]
+    found = {}
+    if any(full):
+        suspects = keys.where(F.element_at(_constant([int(f) for f in full]), F.col("bundle") + 1) == 1)
+        # at most per_share a task
+        for r in suspects.groupBy("key", "bundle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= heavy_from).collect():
+            found[r["key"]] = r["n"]
+            light[r["bundle"]] -= r["n"]
+    return pack(found, light, tasks, rows)
 
 
 def fragment(df: DataFrame, key: str, where: Plan, task: str = "_task", shards: str = "_shards") -> DataFrame:
