@@ -135,6 +135,26 @@ def test_key_totals_like_plain_sums(spark):
     assert skew.key_totals(empty, "key", "value", "origin").count() == 0
 
 
+def test_bundles_keep_up_with_the_tasks(spark):
+    r = random.Random(6)
+    for tasks in (300, 20_000):
+        bundles = max(skew.FEWEST, skew.PER_TASK * tasks)
+        light = [r.randrange(80, 120) for _ in range(bundles)]
+        loads = {f"h{i}": 40_000 // (i + 1) for i in range(5)}
+        made = skew.pack(loads, light, tasks, sum(light) + sum(loads.values()))
+        assert max(made.loads) < 1.3 * made.rows / tasks and len(made.bundle_task) == bundles
+    # the tasks of bundles are one constant of the plan, not one expression each
+    df = spark.createDataFrame([("a",), ("b",)], "k string")
+    where = skew.Plan(50, 2, [i % 50 for i in range(2000)], {"a": [1, 2]}, [])
+    assert {x["_task"] for x in skew.fragment(df, "k", where).collect()} <= set(range(50))
+
+
+def test_heavy_keys_are_found_in_full_bundles(spark):
+    _, df = skewed(spark)
+    where = skew.plan(df, "key", tasks=6, bundles=7)
+    assert "hot" in where.heavy and where.rows == 3000 and sum(where.loads) == pytest.approx(3000, abs=6)
+
+
 def test_balanced_join_like_a_plain_one(spark):
     _, df = skewed(spark)
     other = spark.createDataFrame([("hot", 1, "p"), ("hot", 2, "q"), ("k1", 3, "r"), ("k1", 3, "r"), ("zzz", 4, "s"), (None, 5, "t")], "key string, n int, extra string")
@@ -253,6 +273,36 @@ def test_containing_like_brute_force(spark):
     assert got == want
 
 
+def test_leaves_inside_a_region_need_no_outline(spark):
+    r = random.Random(9)
+    points = [(i, r.random() * 1000, r.random() * 1000) for i in range(4000)]
+    # a star with a hole, and a sliver
+    star = [(500 + (480 if k % 2 else 300) * math.cos(k * math.pi / 8), 500 + (480 if k % 2 else 300) * math.sin(k * math.pi / 8)) for k in range(16)]
+    hole = [(450.0, 450.0), (550.0, 440.0), (560.0, 560.0), (450.0, 450.0)]
+    sliver = [(0.0, 0.0), (1000.0, 900.0), (1000.0, 910.0), (0.0, 0.0)]
+    regions = [(1, [[*star, star[0]], hole]), (2, [sliver])]
+    areas = spark.createDataFrame(regions, "id long, geometry array<array<struct<x: double, y: double>>>")
+    df = spark.createDataFrame([*points, (5000, 1500.0, 500.0)], "id long, x double, y double")
+    tree = nearby.sampled_tree(df.where("id < 5000"), 0.0, leaf_rows=20)
+    cross, inside = tree.crossed(np.arange(len(tree.starts)), *(np.array(v) for v in zip(*[(x, y, k) for k, ring in enumerate(regions[0][1]) for x, y in ring], strict=True)))
+    assert inside.sum() > 20 and not (cross & inside).any()
+    want = set()
+    for k, rings in regions:
+        xs, ys, ring = (np.array(v) for v in zip(*[(x, y, i) for i, own in enumerate(rings) for x, y in own], strict=True))
+        hit = nearby.even_odd(np.array([p[1] for p in points]), np.array([p[2] for p in points]), xs, ys, ring)
+        want |= {(k, points[i][0]) for i in np.flatnonzero(hit)}
+    assert {tuple(x) for x in nearby.containing(df, areas, tree).collect()} == want
+
+
+def test_sample_keeps_up_with_the_leaves():
+    # half a billion points: the fullest of its leaves, as the sample has them, stays below twice what it should hold
+    rows = 500_000_000
+    took = nearby.sample_size(rows)
+    leaves = rows // nearby.LEAF_ROWS
+    drawn = np.random.default_rng(4).poisson(took / leaves, leaves)
+    assert nearby.sample_size(1000) == nearby.SAMPLE_ROWS and (drawn.max() * rows / took) < 2 * nearby.LEAF_ROWS
+
+
 def test_places_without_any(spark):
     none = spark.createDataFrame([], "id long, x double, y double")
     areas = spark.createDataFrame([(1, [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]])], "id long, geometry array<array<struct<x: double, y: double>>>")

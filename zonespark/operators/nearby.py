@@ -1,9 +1,9 @@
 """Points near other points, and the region that contains each point.
 
-* A bounded sample of the points (``sample_rows``) grows a quadtree on the driver: cells split
+* A sample of the points, some ``LEAF_SAMPLE`` to a leaf, grows a quadtree on the driver: cells split
   while their estimated load is above ``leaf_rows``, but not below four radii in width.
 * Each point goes to the leaf that holds it and, as a copy, to every leaf its radius touches; each
-  region goes to every leaf its bounding box touches.
+  region goes with its outline to every leaf its border may cross, and without to every leaf inside it.
 * Within a leaf a packed R-tree is bulk-loaded (sort-tile-recursive) and probed with whole arrays
   of queries; candidates are refined by exact distance, or by an even-odd test of all rings.
 * A pair is reported only by the leaf that holds its reference point, the location of its lesser
@@ -30,8 +30,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 50_000
 LEAF_ROWS = 10_000
+#: Points sampled for each leaf there will be, and for all: at least, and at most (16 bytes each on the driver).
+LEAF_SAMPLE, SAMPLE_ROWS, MAX_SAMPLE = 50, 50_000, 10_000_000
 MAX_DEPTH = 24
 MAX_LEAVES = 200_000
 
@@ -57,6 +58,34 @@ class Quadtree:
         """Leaf of each location."""
         return np.searchsorted(self.starts, interleave(*self.cells(x, y)), side="right") - 1
 
+    def crossed(self, leaf: np.ndarray, xs: np.ndarray, ys: np.ndarray, ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the leaves a polygon's border may cross, and which of the others lie inside it. A leaf at the edge
+        of the tree holds all that lies beyond, so it always counts as crossed."""
+        level = self.levels[leaf]
+        cx, cy = deinterleave(self.starts[leaf])
+        n = 1 << self.depth
+        wide = np.left_shift(1, self.depth - level)
+        edge = (cx == 0) | (cy == 0) | (cx + wide == n) | (cy + wide == n)
+        cell = self.size / n
+        slack = cell * 1e-6 + max(abs(self.x0), abs(self.y0), self.size) * 1e-12
+        low_x, low_y = self.x0 + cx * cell - slack, self.y0 + cy * cell - slack
+        high_x, high_y = low_x + wide * cell + 2 * slack, low_y + wide * cell + 2 * slack
+        joined = ring[1:] == ring[:-1]
+        ax, ay, bx, by = xs[:-1][joined], ys[:-1][joined], xs[1:][joined], ys[1:][joined]
+        cross = edge.copy()
+        for at in range(0, len(leaf), max(1, (1 << 20) // max(1, len(ax)))):
+            part = slice(at, at + max(1, (1 << 20) // max(1, len(ax))))
+            x0, y0, x1, y1 = (v[part, None] for v in (low_x, low_y, high_x, high_y))
+            over = (np.minimum(ax, bx) <= x1) & (np.maximum(ax, bx) >= x0) & (np.minimum(ay, by) <= y1) & (np.maximum(ay, by) >= y0)
+            # all corners on one side of the line through the edge: they don't meet
+            sides = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x in (x0, x1) for y in (y0, y1)]
+            apart = np.all([v > 0 for v in sides], axis=0) | np.all([v < 0 for v in sides], axis=0)
+            cross[part] |= (over & ~apart).any(axis=1)
+        inside = ~cross
+        if inside.any():
+            inside[inside] = even_odd((low_x + high_x)[inside] / 2, (low_y + high_y)[inside] / 2, xs, ys, ring)
+        return cross, inside
+
     def touched(self, xmin: np.ndarray, ymin: np.ndarray, xmax: np.ndarray, ymax: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(box, leaf) for every leaf that a box touches, each once: boxes are halved along the tree."""
         (cx0, cy0), (cx1, cy1) = self.cells(xmin, ymin), self.cells(xmax, ymax)
@@ -133,10 +162,15 @@ def grow(x: np.ndarray, y: np.ndarray, weight: float, radius: float, leaf_rows:
     return Quadtree(x0, y0, size, depth, starts, levels, np.maximum(1, np.ceil(load * weight / leaf_rows)).astype(np.int64))
 
 
-def sampled_tree(points: DataFrame, radius: float, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS) -> Quadtree:
-    """Grow the tree from a sample of at most about ``sample_rows`` of the located points."""
+def sample_size(rows: int, leaf_rows: int = LEAF_ROWS) -> int:
+    """How many points to sample: so many to a leaf that no leaf holds twice what it should by chance."""
+    return min(MAX_SAMPLE, max(SAMPLE_ROWS, rows * LEAF_SAMPLE // leaf_rows))
+
+
+def sampled_tree(points: DataFrame, radius: float, sample_rows: int | None = None, leaf_rows: int = LEAF_ROWS) -> Quadtree:
+    """Grow the tree from a sample of the located points."""
     rows = points.count()
-    share = min(1.0, sample_rows / max(1, rows))
+    share = min(1.0, (sample_rows or sample_size(rows, leaf_rows)) / max(1, rows))
     took = (points if share == 1 else points.sample(share, seed=17)).select("x", "y").toPandas()
     return grow(took["x"].to_numpy(), took["y"].to_numpy(), rows / max(1, len(took)), radius, leaf_rows)
 
@@ -295,14 +329,33 @@ def containing(points: DataFrame, regions: DataFrame, tree: Quadtree | None = No
                 continue
             box = np.array([[f(v) for f, v in ((np.min, x), (np.min, y), (np.max, x), (np.max, y))] for x, y in zip(r["xs"], r["ys"], strict=True)])
             who, leaf = tree.touched(*box.T)
+            by = np.argsort(who, kind="stable")
+            who, leaf = who[by], leaf[by]
+            cross, inside = np.zeros(len(who), bool), np.zeros(len(who), bool)
+            for part in np.split(np.arange(len(who)), np.flatnonzero(np.diff(who)) + 1):
+                if len(part):
+                    outline = (np.asarray(r[c].iloc[who[part[0]]]) for c in ("xs", "ys", "ring"))
+                    cross[part], inside[part] = tree.crossed(leaf[part], *outline)
+            who, leaf, cross = (v[cross | inside] for v in (who, leaf, cross))
             shards = tree.shards[leaf]
             at = np.repeat(np.arange(len(who)), shards)
             block = (np.arange(len(at)) - np.repeat(np.cumsum(shards) - shards, shards)).astype(np.int32)
-            yield pd.DataFrame({"leaf": leaf[at], "block": block, **{c: r[c].to_numpy()[who[at]] for c in ("id", "xs", "ys", "ring")}})
+            made = {"leaf": leaf[at], "block": block, "id": r["id"].to_numpy()[who[at]]}
+            # outlines in pieces, as they take room
+            for piece in range(0, len(at), 4096):
+                rows = slice(piece, piece + 4096)
+                outlines = {c: [r[c].iloc[w] if x else np.zeros(0) for w, x in zip(who[at[rows]], cross[at[rows]], strict=True)] for c in ("xs", "ys", "ring")}
+                yield pd.DataFrame({**{c: v[rows] for c, v in made.items()}, **outlines})
 
     def refine(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         none = np.zeros(0, np.int64)
         out_r, out_p = [none], [none]
+        whole = r["xs"].map(len) == 0 if len(r) else None
+        if len(p) and len(r):
+            for k in r.loc[whole, "id"]:
+                out_p.append(p["id"].to_numpy())
+                out_r.append(np.full(len(p), k))
+            r = r[~whole]
         if len(p) and len(r):
             box = np.array([[f(v) for f, v in ((np.min, x), (np.min, y), (np.max, x), (np.max, y))] for x, y in zip(r["xs"], r["ys"], strict=True)])
             x, y, ids, regions_ = p["x"].to_numpy(), p["y"].to_numpy(), p["id"].to_numpy(), r["id"].to_numpy()
