@@ -241,6 +241,23 @@ def test_cascade_goes_to_the_end_and_tells_each_field(spark):
         orphans.cascade({"t": node}, edges, max_rounds=2)
 
 
+def test_a_key_is_orphaned_with_all_its_records(spark):
+    # the key "k" has a sound record and an orphaned one, "o" two orphaned ones of different rounds
+    rows = [(0, "k", "gone"), (1, "k", None), (2, "o", "gone"), (3, "o", "z"), (4, "z", "gone"), (5, "a", "k"), (6, "b", "o"), (7, "c", "b")]
+    node = orphans.Node(spark.createDataFrame(rows, "id long, k string, up string").withColumn("tbl", F.lit("clash")), "id", F.col("k"))
+    edges = [orphans.Reference("t", "up", F.col("up"), "t")]
+    found = lambda **given: {(x["row_id"], x["round"]) for x in orphans.cascade({"t": node}, edges, **given).collect()}
+    assert found() == {(0, 0), (2, 0), (4, 0), (3, 1), (6, 2), (7, 3)}
+    assert found(any_record=True) == {(0, 0), (2, 0), (4, 0), (3, 1), (5, 1), (6, 1), (7, 2)}
+
+
+def test_a_chain_is_followed_to_its_end(spark):
+    length = 40
+    node = orphans.Node(spark.createDataFrame([(i, f"t{i}", f"t{i - 1}") for i in range(length)], "id long, k string, up string"), "id", F.col("k"))
+    found = {x["row_id"]: x["round"] for x in orphans.cascade({"t": node}, [orphans.Reference("t", "up", F.col("up"), "t")]).collect()}
+    assert found == {i: i for i in range(length)}
+
+
 # --- places
 
 

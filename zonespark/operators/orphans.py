@@ -5,9 +5,11 @@ Every reference of a child table is dated and compared with the life of the reco
 ``deleted`` it is dated on or after the record's end. The first that applies is the state.
 
 Orphans are then passed down the foreign-key graph: a record that refers to a *direct* orphan
-is itself orphaned by inheritance, and so are its own children, until nothing is added. One round
-of the fixpoint is one pair of semi-joins per edge of the graph over the orphans that the last
-round added; self-references and cycles are allowed.
+is itself orphaned by inheritance, and so are its own children, until nothing is added. Several records
+may have one key; a key passes it on once all of them are orphaned, for as long as one is sound a
+reference still finds a sound record. One round of the fixpoint is one pair of semi-joins per edge of the
+graph over the orphans that the last round added; keys and references are written down narrow first, so
+that no round reads the tables again. Self-references and cycles are allowed.
 
 Defined cases: blank (null) references are no references and never orphans. A null date is
 neither late nor deleted. Records without a begin are never late, records with any open end
@@ -30,6 +32,8 @@ from ..plans.runtime import materialize
 BROADCAST_KEYS = 500_000
 #: Keys holding at least this share of all references are joined apart from the rest; there are at most 1 / share of them.
 HOT_SHARE = 1 / 1000
+#: Rounds of a cascade that are kept as tables of their own before they are written into one.
+MOST_ROUNDS = 16
 
 
 @dataclass(frozen=True)
@@ -58,7 +62,7 @@ class Reference:
 def lives(parent: DataFrame, key: Column, begins: Column, ends: Column) -> DataFrame:
     """One row for each key: earliest begin, and latest end or null while any record is open."""
     return (
-        parent.select(key.alias("key"), begins.alias("begins"), ends.alias("ends"))
+        parent.select(key.cast("string").alias("key"), begins.alias("begins"), ends.alias("ends"))
         .where("key is not null")
         .groupBy("key")
         .agg(F.min("begins").alias("begins"), F.when(F.count("ends") == F.count(F.lit(1)), F.max("ends")).alias("ends"))
@@ -67,9 +71,9 @@ def lives(parent: DataFrame, key: Column, begins: Column, ends: Column) -> DataF
 
 def references(child: DataFrame, row_id: str, tbl: str, fields: list[tuple[str, Column]], dated: Column) -> DataFrame:
     """The references of ``child`` one under the other: ``tbl, row_id, field, key, dated``; blank ones left out."""
-    each = F.array(*[F.struct(F.lit(name).alias("field"), key.alias("key")) for name, key in fields])
+    each = F.array(*[F.struct(F.lit(name).alias("field"), key.cast("string").alias("key")) for name, key in fields])
     return (
-        child.select(F.col(row_id).cast("bigint").alias("row_id"), dated.alias("dated"), F.explode(each).alias("r"))
+        child.select(F.col(row_id).cast("bigint").alias("row_id"), dated.cast("date").alias("dated"), F.explode(each).alias("r"))
         .select(F.lit(tbl).alias("tbl"), "row_id", "r.field", "r.key", "dated")
         .where("key is not null")
     )
@@ -101,14 +105,18 @@ def direct_orphans(refs: DataFrame, life: DataFrame, broadcast_keys: int = BROAD
     return joined.withColumn("state", _state(F.col("begins"), F.col("ends"), F.col("found"), F.col("dated"))).where("state is not null").drop("begins", "ends", "found")
 
 
-def cascade(nodes: dict[str, Node], edges: list[Reference], max_rounds: int | None = None, every_field: bool = False) -> DataFrame:
+def _dated(e: Reference) -> Column:
+    return F.lit(None).cast("date") if e.dated is None else e.dated
+
+
+def cascade(nodes: dict[str, Node], edges: list[Reference], max_rounds: int | None = None, every_field: bool = False, any_record: bool = False) -> DataFrame:
     """Direct and inherited orphans of a foreign-key graph: ``tbl, row_id, field, key, dated, state, round``.
 
-    Round 0 holds the direct orphans, one row per reference. In round n the references to records that
-    round n - 1 reached are ``inherited``; a record that an earlier round reached is not reported again,
+    Round 0 holds the direct orphans, one row per reference. In round n the references to keys that
+    round n - 1 orphaned are ``inherited``; a record that an earlier round reached is not reported again,
     so that the iteration ends on cyclic graphs too; with ``every_field`` it is, in the fields that were not
-    reported yet. Edges whose parent no other edge leads to need no round. The rounds go on until nothing is
-    added; more than ``max_rounds`` of them are an error.
+    reported yet. With ``any_record`` a key is orphaned by any of its records. Edges whose parent no other edge
+    leads to need no round. The rounds go on until nothing is added; more than ``max_rounds`` of them are an error.
     """
     nothing = F.lit(None).cast("date")
     # edges of the same tables and dates are looked up together
@@ -119,30 +127,33 @@ def cascade(nodes: dict[str, Node], edges: list[Reference], max_rounds: int | No
     for (child, parent, _), own in together.items():
         node = nodes[parent]
         life = lives(node.rows, node.key, nothing if node.begins is None else node.begins, nothing if node.ends is None else node.ends)
-        dated = nothing if own[0].dated is None else own[0].dated
-        direct.append(direct_orphans(references(nodes[child].rows, nodes[child].row_id, child, [(e.field, e.key) for e in own], dated), life))
+        direct.append(direct_orphans(references(nodes[child].rows, nodes[child].row_id, child, [(e.field, e.key) for e in own], _dated(own[0])), life))
     columns = ["tbl", "row_id", "field", "key", "dated", "state"]
     found = reduce(DataFrame.unionByName, [d.select(*columns) for d in direct]).withColumn("round", F.lit(0))
     children = {e.child for e in edges}
     passed = [e for e in edges if e.parent in children]
     if not passed:
         return found
+    parents = sorted({e.parent for e in passed})
+    # the keys of records that can pass something on, and the references to them
+    keyed = reduce(DataFrame.unionByName, [nodes[p].rows.select(F.lit(p).alias("tbl"), F.col(nodes[p].row_id).cast("bigint").alias("row_id"), nodes[p].key.cast("string").alias("key")) for p in parents])
+    keyed = materialize(keyed.where("key is not null"), "keyed", ["tbl"])
+    links = reduce(DataFrame.unionByName, [references(nodes[e.child].rows, nodes[e.child].row_id, e.child, [(e.field, e.key)], _dated(e)).withColumn("parent", F.lit(e.parent)) for e in passed])
+    links = materialize(links, "links", ["parent"])
     fresh = materialize(found, "orphans")
-    rounds, seen = [fresh], fresh.select("tbl", "row_id").distinct()
+    rounds, seen, told = [fresh], fresh.select("tbl", "row_id").distinct(), fresh.select("tbl", "row_id", "field").distinct()
+    records = keyed.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("n"))
     for n in count(1):
         if max_rounds is not None and n > max_rounds:
             raise RuntimeError(f"orphans are still inherited after {max_rounds} rounds")
-        steps = []
-        for e in passed:
-            parent, child = nodes[e.parent], nodes[e.child]
-            bad = fresh.where(F.col("tbl") == e.parent).select("row_id").distinct()
-            keys = parent.rows.select(F.col(parent.row_id).cast("bigint").alias("row_id"), parent.key.alias("key")).join(bad, "row_id", "left_semi")
-            dated = nothing if e.dated is None else e.dated
-            refs = references(child.rows, child.row_id, e.child, [(e.field, e.key)], dated)
-            steps.append(refs.join(keys.select("key").where("key is not null").distinct(), "key", "left_semi"))
-        step = reduce(DataFrame.unionByName, steps)
+        hit = keyed.join(fresh.select("tbl", "row_id").distinct(), ["tbl", "row_id"], "left_semi").select("tbl", "key").distinct()
+        if not any_record:
+            gone = keyed.join(hit, ["tbl", "key"], "left_semi").join(seen, ["tbl", "row_id"], "left_semi").groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("gone"))
+            hit = records.join(hit, ["tbl", "key"], "left_semi").join(gone, ["tbl", "key"]).where("gone = n").select("tbl", "key")
+        hit = materialize(hit.withColumnRenamed("tbl", "parent"), "hit")
+        hit = F.broadcast(hit) if hit.count() <= BROADCAST_KEYS else hit
+        step = links.join(hit, ["parent", "key"], "left_semi")
         if every_field:
-            told = reduce(DataFrame.unionByName, rounds).select("tbl", "row_id", "field").distinct()
             step = step.join(told, ["tbl", "row_id", "field"], "left_anti")
         else:
             step = step.join(seen, ["tbl", "row_id"], "left_anti")
@@ -150,9 +161,14 @@ def cascade(nodes: dict[str, Node], edges: list[Reference], max_rounds: int | No
         if step.isEmpty():
             break
         rounds.append(step)
+        # plans stay short, however long the chain
+        if len(rounds) > MOST_ROUNDS:
+            rounds = [materialize(reduce(DataFrame.unionByName, rounds), "rounds")]
         # only records that are new pass anything on
         fresh = materialize(step.join(seen, ["tbl", "row_id"], "left_anti"), "fresh") if every_field else step
-        seen = materialize(reduce(DataFrame.unionByName, rounds).select("tbl", "row_id").distinct(), "seen")
+        seen = materialize(seen.unionByName(fresh.select("tbl", "row_id").distinct()), "seen")
+        if every_field:
+            told = materialize(told.unionByName(step.select("tbl", "row_id", "field").distinct()), "told")
     return reduce(DataFrame.unionByName, rounds)
 
 

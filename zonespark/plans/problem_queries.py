@@ -197,8 +197,8 @@ select f.destin, count(*) as n_flows, max(n_records) as n_records, max(popu) as
 # --- p6: references to records that do not exist
 
 
-def zone_references(spark: SparkSession, folder: str) -> DataFrame:
-    """Direct and inherited orphans of flows and adjacency towards the zones."""
+def _zone_graph(spark: SparkSession, folder: str) -> tuple[dict[str, orphans.Node], list[orphans.Reference]]:
+    """The zones, and the flows and neighbours that refer to them."""
     coords, flows, adj = (table(spark, folder, t) for t in ("coords_df", "df_flow", "df_adj"))
     nodes = {
         "coords_df": orphans.Node(coords, "row_id", zone_key(F.col("ZoneID")), F.col("AddedOn"), F.col("RemovedOn")),
@@ -207,7 +207,12 @@ def zone_references(spark: SparkSession, folder: str) -> DataFrame:
     }
     edges = [orphans.Reference("df_flow", f, zone_key(F.col(f)), "coords_df", F.col("FlowDate")) for f in ("Origin", "Destin")]
     edges += [orphans.Reference("df_adj", f, zone_key(F.col(f)), "coords_df", F.col("SnapshotOn")) for f in ("focal", "neighbor")]
-    return orphans.cascade(nodes, edges, every_field=True)
+    return nodes, edges
+
+
+def zone_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Direct and inherited orphans of flows and adjacency towards the zones."""
+    return orphans.cascade(*_zone_graph(spark, folder), every_field=True)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,6 +225,17 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     return orphans.per_period(zone_references(spark, folder))
 
 
+def p6_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Direct and inherited orphans, round by round, of the whole graph: flows and adjacency towards the zones, and posts
+    towards the question of their thread and the older question they repeat, which may be loaded after them.
+    What refers to a post that is orphaned is orphaned by inheritance."""
+    docs = table(spark, folder, "documents").select("doc_id", "dup_of", F.when(F.col("thread_id") != F.col("doc_id"), F.col("thread_id")).alias("thread_id"), F.to_date("loaded_at").alias("loaded"))
+    nodes, edges = _zone_graph(spark, folder)
+    nodes["documents"] = orphans.Node(docs, "doc_id", F.col("doc_id"), F.col("loaded"))
+    edges += [orphans.Reference("documents", f, F.col(f), "documents", F.col("loaded")) for f in ("thread_id", "dup_of")]
+    return orphans.cascade(nodes, edges).select("tbl", "row_id", "field", "state", "round")
+
+
 _P6_BASE = f"""
 with z as (select {_SQL_KEY.format('ZoneID')} as k, min(AddedOn) as b, case when count(RemovedOn) = count(*) then max(RemovedOn) end as e from coords_df group by 1),
 refs as (
@@ -230,6 +246,19 @@ refs as (
 found as (select tbl, row_id, field, refs.k, d, case when z.k is null then 'missing' when d < b then 'late' when d >= e then 'deleted' end as state
   from refs left join z on refs.k = z.k where refs.k is not null)
 """
+P6_CASCADE_SQL = (
+    _P6_BASE.replace("with z as", "with recursive z as").rstrip()
+    + """,
+posts as (select doc_id, field, named, cast(loaded_at as date) as d from (
+  select doc_id, 'thread_id' as field, thread_id as named, loaded_at from documents where thread_id <> doc_id
+  union all select doc_id, 'dup_of', dup_of, loaded_at from documents where dup_of is not null)),
+late as (select p.doc_id, field, named, case when q.doc_id is null then 'missing' when d < cast(q.loaded_at as date) then 'late' end as state from posts p left join documents q on q.doc_id = p.named),
+reach(doc_id, round) as (select distinct doc_id, 0 from late where state is not null union select p.doc_id, r.round + 1 from reach r join posts p on p.named = r.doc_id),
+level as (select doc_id, min(round) as round from reach group by doc_id)
+select tbl, row_id, field, state, 0 as round from found where state is not null
+union all select 'documents', doc_id, field, state, 0 from late where state is not null
+union all select 'documents', p.doc_id, p.field, 'inherited', own.round from posts p join level own on own.doc_id = p.doc_id join level above on above.doc_id = p.named and above.round = own.round - 1"""
+)
 P6_SQL = _P6_BASE + "select tbl, row_id, field, state from found where state is not null"
 P6_COUNTS_SQL = _P6_BASE + "select tbl, field, strftime(d, '%Y-%m') as month, state, count(*) as n_refs, count(distinct k) as n_keys from found where state is not null group by all"
 
@@ -243,6 +272,7 @@ QUERIES = {
     "p5_matched": p5_matched,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
+    "p6_cascade": p6_cascade,
 }
 SQL = {
     "p2_found": P2_SQL,
@@ -254,4 +284,5 @@ SQL = {
     "p5_matched": P5_MATCHED_SQL,
     "p6_found": P6_SQL,
     "p6_counts": P6_COUNTS_SQL,
+    "p6_cascade": P6_CASCADE_SQL,
 }
