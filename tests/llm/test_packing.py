@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -41,12 +42,31 @@ def test_index_finds_singles_pairs_and_triples():
     assert have.exact(11) == [11] and sorted(have.exact(14)) == [7, 7] and sorted(have.exact(23)) == [5, 7, 11] and have.exact(10) is None and have.exact(6) is None
 
 
-def test_pack(spark):
+def test_a_triple_is_found_however_many_thirds_there_are():
+    # the index is as it was when all lengths were there: 99 of its thirds have no pair any more
+    have = packing._Available({x: 1 for x in [*range(1801, 1900), *range(1100, 1200), 1000, 100, 1211, 2689]}, 4000)
+    have.sums()
+    have.n[1100:1200] = 0
+    assert sorted(have.exact(4000)) == [100, 1211, 2689]
+    brute = random.Random(5)
+    for _ in range(60):
+        capacity = brute.choice([60, 300])
+        own = {brute.randint(1, capacity): brute.randint(1, 2) for _ in range(brute.randint(3, 12))}
+        flat = [k for k, c in own.items() for _ in range(c)]
+        sums = {sum(c) for k in (1, 2, 3) for c in combinations(flat, k)}
+        have = packing._Available(own, capacity)
+        for gap in range(1, capacity + 1):
+            found = have.exact(gap)
+            assert (found is not None) == (gap in sums) and (found is None or sum(found) == gap)
+
+
+@pytest.mark.parametrize("shard_rows", [packing.SHARD_ROWS, 50])
+def test_pack(spark, shard_rows):
     r = random.Random(3)
-    sizes = [r.choice([3, 3, 3, r.randint(1, 90), r.randint(1, 900)]) for _ in range(1500)] + [0] * 40 + [None, 100, 200, 250]
+    sizes = [r.choice([3, 3, 3, r.randint(1, 90), r.randint(1, 900)]) for _ in range(1500)] + [0] * 40 + [None, 100, 200, 250, 1001, 2300, 2300, 5000, 12345]
     items = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens int").withColumn("container", F.lit("clash"))
     profiles = {"small": 100, "large": 1000, "one": 1}
-    got = packing.pack(items, profiles).toPandas()
+    got = packing.pack(items, profiles, shard_rows=shard_rows).toPandas()
     for profile, capacity in profiles.items():
         own = got[got["profile"] == profile]
         assert set(own["id"]) == set(range(len(sizes)))

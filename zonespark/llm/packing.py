@@ -4,17 +4,20 @@ Only lengths matter for how containers are filled, so the plan is made from the
 length, of which there are at most ``capacity``, whatever the number of items:
 
 1. Take the longest length left, and as many of it as fit. If the gap that remains is
-   *exactly* filled by one available length, a pair or a triple (found in an index of the sums of
-   available lengths), that combination is a pattern; it is used as often as the counts of its
-   lengths allow. Otherwise the longest length that fits the gap joins, and the gap is tried again.
+   *exactly* filled by one available length, a pair or a triple (found in an index of the single, pair
+   and triple sums of available lengths; all thirds are tried), that combination is a pattern; it is
+   used as often as the counts of its lengths allow. Otherwise the longest length that fits the gap joins,
+   and the gap is tried again.
 2. A pattern that ends with a gap none of these can fill leaves its items to the residue, which is
    placed by best fit, longest first: into the open container with the least room that suffices.
 
 Items longer than the capacity are cut: full containers of their own, and the rest is an item.
 
 Items are then numbered within their length, by a shuffle over (length, shard of the id) with
-offsets from the counts per shard, so that no length, however common, meets in one task; the
-number within its length gives an item its container by the plan's intervals.
+offsets from the counts per shard; a length has as many shards as its count asks for, so that none,
+however common, meets in one task. The number within its length gives an item its container by the
+plan's intervals. Items longer than all capacities are numbered by the length of their rest under each
+profile, so that the driver never sees more lengths than the capacities add up to.
 
 Defined cases: items of no length take no room and are spread over the containers; null lengths
 count as none; equal items are interchangeable and placed each; no items, no containers.
@@ -34,7 +37,9 @@ from pyspark.sql import types as T
 
 from ..plans.runtime import materialize
 
-SHARDS = 16
+#: Items of one length that one task numbers.
+SHARD_ROWS = 1_000_000
+PLACES = "profile string, id bigint, piece int, start int, n_tokens int, container bigint"
 
 
 @dataclass(frozen=True)
@@ -54,7 +59,7 @@ class Plan:
 
 
 class _Available:
-    """Counts of lengths with an index of the sums of pairs."""
+    """Counts of lengths with an index of the sums of pairs and triples."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.n = np.zeros(capacity + 1, np.int64)
@@ -62,7 +67,7 @@ class _Available:
             self.n[length] += count
         self.n[0] = 0
         self.capacity = capacity
-        self._pairs: np.ndarray | None = None
+        self._sums: tuple[np.ndarray, np.ndarray] | None = None
         self._gone = 0
 
     def take(self, lengths: list[int], times: int) -> None:
@@ -70,19 +75,22 @@ class _Available:
             self.n[length] -= times
             self._gone += self.n[length] <= 0
 
-    def pairs(self) -> np.ndarray:
-        """Which sums two available lengths had when the index was last made; a superset of what holds now."""
-        if self._pairs is None or self._gone > 64:
-            bits, sums = 0, 0
-            have = np.flatnonzero(self.n)
-            for length in have.tolist():
-                bits |= 1 << length
-            for length in have.tolist():
-                sums |= bits << length
-            sums &= (1 << (self.capacity + 1)) - 1
-            raw = np.frombuffer(sums.to_bytes(self.capacity // 8 + 1, "little"), np.uint8)
-            self._pairs, self._gone = np.unpackbits(raw, bitorder="little")[: self.capacity + 1].astype(bool), 0
-        return self._pairs
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which sums two, and which three, available lengths had when the index was last made; supersets of what holds now."""
+        if self._sums is None or self._gone > 64:
+            have, room = np.flatnonzero(self.n).tolist(), (1 << (self.capacity + 1)) - 1
+            single = sum(1 << length for length in have)
+            pair = triple = 0
+            for length in have:
+                pair |= (single << length) & room
+            for length in have:
+                triple |= (pair << length) & room
+            self._sums, self._gone = (self._bits(pair), self._bits(triple)), 0
+        return self._sums
+
+    def _bits(self, sums: int) -> np.ndarray:
+        raw = np.frombuffer(sums.to_bytes(self.capacity // 8 + 1, "little"), np.uint8)
+        return np.unpackbits(raw, bitorder="little")[: self.capacity + 1].astype(bool)
 
     def pair(self, total: int) -> list[int] | None:
         """Two available lengths of this sum, the longer first."""
@@ -96,14 +104,16 @@ class _Available:
         return None if at < 0 else [int(half[at]), int(total - half[at])]
 
     def exact(self, gap: int) -> list[int] | None:
-        """One, two or three available lengths that fill the gap exactly."""
+        """One, two or three available lengths that fill the gap exactly; of triples that with the longest third first."""
         if self.n[gap] > 0:
             return [gap]
-        index = self.pairs()
-        if index[gap] and (two := self.pair(gap)):
+        pairs, triples = self.sums()
+        if pairs[gap] and (two := self.pair(gap)):
             return two
-        third = np.flatnonzero((self.n[1:gap] > 0) & index[1:gap][::-1]) + 1
-        for length in third[::-1][:64].tolist():
+        if not triples[gap]:
+            return None
+        third = np.flatnonzero((self.n[1:gap] > 0) & pairs[1:gap][::-1]) + 1
+        for length in third[::-1].tolist():
             self.n[length] -= 1
             two = self.pair(gap - length)
             self.n[length] += 1
@@ -213,37 +223,63 @@ def best_fit(counts: dict[int, int], capacity: int, runs: dict, used: dict, cont
     return containers
 
 
-def numbered(items: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, dict[int, int]]:
-    """``items`` (``id, n``) with ``number`` (from 0) within each length, and the counts of the lengths.
-
-    The driver receives a count per length and shard."""
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    items = items.withColumn("shard", shard)
-    counted = items.groupBy("n", "shard").agg(F.count(F.lit(1)).alias("c")).toPandas().sort_values(["n", "shard"])
-    groups = (counted["n"].to_numpy().astype(np.int64) * shards + counted["shard"].to_numpy()).astype(np.int64)
-    by_length = counted.groupby("n")["c"]
-    before = (by_length.cumsum() - counted["c"]).to_numpy()
-    totals = {int(n): int(c) for n, c in by_length.sum().items()}
-    schema = T.StructType([items.schema["id"], T.StructField("n", T.IntegerType()), T.StructField("number", T.LongType())])
+@dataclass(frozen=True)
+class Numbered:
+    """``rows``: the items with ``number`` (from 0) within their class ``(p, k)`` and ``before``, the sum of ``w`` ahead of
+    them over all of ``p``; ``counts[p, k]`` and ``weights[p]`` are the sums of the classes and of each ``p``."""
+
+    rows: DataFrame
+    counts: dict[tuple[int, int], int]
+    weights: dict[int, int]
+
+
+def numbered(items: DataFrame, shard_rows: int = SHARD_ROWS) -> Numbered:
+    """Number ``items``, ``id, p, k, n, w``, within their class, each class in shards of some ``shard_rows`` items.
+
+    The driver receives counts per class, and per shard of the classes that have several."""
+    spark = items.sparkSession
+    per_class = items.groupBy("p", "k").agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("w")).collect()
+    common = [(r["p"], r["k"], -(-r["c"] // shard_rows)) for r in per_class if r["c"] > shard_rows]
+    # at most one row for every shard_rows items
+    split = F.broadcast(spark.createDataFrame(common, "p int, k int, shards int"))
+    shard = F.coalesce(F.pmod(F.xxhash64("id"), F.col("shards")), F.lit(0)).cast("int")
+    items = items.join(split, ["p", "k"], "left").withColumn("shard", shard).drop("shards")
+    groups = {(r["p"], r["k"], 0): (r["c"], r["w"]) for r in per_class}
+    if common:
+        in_shards = items.join(split.select("p", "k"), ["p", "k"], "left_semi").groupBy("p", "k", "shard").agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("w")).collect()
+        groups = {g: v for g, v in groups.items() if v[0] <= shard_rows} | {(r["p"], r["k"], r["shard"]): (r["c"], r["w"]) for r in in_shards}
+    counts: dict[tuple[int, int], int] = {}
+    weights: dict[int, int] = {}
+    start: dict[tuple[int, int, int], tuple[int, int]] = {}
+    for (p, k, s), (c, w) in sorted(groups.items()):
+        start[p, k, s] = counts.get((p, k), 0), weights.get(p, 0)
+        counts[p, k] = counts.get((p, k), 0) + c
+        weights[p] = weights.get(p, 0) + w
+    schema = T.StructType([*(items.schema[c] for c in ("id", "p", "n")), T.StructField("number", T.LongType()), T.StructField("before", T.LongType())])
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a partition holds whole (length, shard) groups, its rows in order: counting goes on across batches
-        last, reached = None, 0
+        # a partition holds whole shards, its rows in order: counting goes on across batches
+        last, reached, weighed = None, 0, 0
         for b in batches:
             if not len(b):
                 continue
-            n, s = b["n"].to_numpy(), b["shard"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (n[1:] != n[:-1]) | (s[1:] != s[:-1])])
-            lengths = np.diff(np.r_[starts, len(n)])
-            within = np.arange(len(n)) - np.repeat(starts, lengths)
-            if last == (n[0], s[0]):
-                within[: lengths[0]] += reached
-            base = np.repeat(before[np.searchsorted(groups, n[starts].astype(np.int64) * shards + s[starts])], lengths)
-            last, reached = (n[-1], s[-1]), int(within[-1]) + 1
-            yield pd.DataFrame({"id": b["id"], "n": n, "number": base + within})
-
-    ordered = items.repartition("n", "shard").sortWithinPartitions("n", "shard", "id")
-    return ordered.mapInPandas(number, schema), totals
+            group = b[["p", "k", "shard"]].to_numpy()
+            w = b["w"].to_numpy().astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
+            sizes = np.diff(np.r_[starts, len(b)])
+            ahead = np.cumsum(w) - w
+            within = np.arange(len(b)) - np.repeat(starts, sizes)
+            before = ahead - np.repeat(ahead[starts], sizes)
+            first = tuple(group[0].tolist())
+            if last == first:
+                within[: sizes[0]] += reached
+                before[: sizes[0]] += weighed
+            last, reached, weighed = tuple(group[-1].tolist()), int(within[-1]) + 1, int(before[-1] + w[-1])
+            base = np.array([start[tuple(group[i].tolist())] for i in starts], np.int64)
+            yield pd.DataFrame({"id": b["id"], "p": b["p"], "n": b["n"], "number": within + np.repeat(base[:, 0], sizes), "before": before + np.repeat(base[:, 1], sizes)})
+
+    ordered = items.select("id", "p", "k", "n", "w", "shard").repartition("p", "k", "shard").sortWithinPartitions("p", "k", "shard", "id")
+    return Numbered(ordered.mapInPandas(number, schema), counts, weights)
 
 
 def cut(counts: dict[int, int], capacity: int) -> tuple[dict[int, int], dict[int, int], dict[int, int], int]:
@@ -264,50 +300,69 @@ def cut(counts: dict[int, int], capacity: int) -> tuple[dict[int, int], dict[int
     return pieces, starts, full, containers
 
 
-def pack(items: DataFrame, profiles: dict[str, int], id_column: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+def pack(items: DataFrame, profiles: dict[str, int], id_column: str = "doc_id", size: str = "n_tokens", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A place for every item under every profile: ``profile, id, piece, start, n_tokens, container``.
 
     Items are given with unique ids. ``start`` and ``n_tokens`` say which part of the item the piece is.
     """
-    items = materialize(items.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("n")), "items")
-    places, counts = numbered(items)
-    plans = {}
     for profile, capacity in profiles.items():
         if capacity is None or capacity < 1:
             raise ValueError(f"capacity of {profile} must be at least 1")
-        pieces, starts, full, n_full = cut({n: c for n, c in counts.items() if n}, capacity)
-        plans[profile] = (fill(pieces, capacity), starts, full, n_full)
+    if not profiles:
+        return items.sparkSession.createDataFrame([], PLACES)
+    items = materialize(items.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("n")), "items")
+    most = max(profiles.values())
+    # class p = -1: items that fit some capacity, by length; class p of a profile: longer ones, by what is left over
+    short = items.where(F.col("n") <= most).select("id", F.lit(-1).alias("p"), F.col("n").alias("k"), "n", F.lit(0).alias("w"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), (F.col("n") % c).alias("k"), F.floor(F.col("n") / c).cast("int").alias("w")) for i, c in enumerate(profiles.values())]))
+    long = items.where(F.col("n") > most).select("id", "n", each.alias("e")).select("id", "e.p", "e.k", "n", "e.w")
+    placed = numbered(short.unionByName(long), shard_rows)
+    counts = {k: c for (p, k), c in placed.counts.items() if p < 0 and k}
+    plans = []
+    for i, (profile, capacity) in enumerate(profiles.items()):
+        pieces, starts, full, n_full = cut(counts, capacity)
+        rests = {}
+        for (p, k), c in sorted(placed.counts.items()):
+            if p == i and k:
+                rests[k] = pieces.get(k, 0)
+                pieces[k] = pieces.get(k, 0) + c
+        plans.append((profile, fill(pieces, capacity), starts, full, n_full, rests, n_full + placed.weights.get(i, 0)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            ids, n, number = b["id"].to_numpy(), b["n"].to_numpy(), b["number"].to_numpy()
-            for profile, (plan, starts, full, n_full) in plans.items():
+            columns = [b[c].to_numpy() for c in ("id", "n", "number", "before", "p")]
+            for i, (profile, plan, starts, full, n_full, rests, n_own) in enumerate(plans):
                 out = {"id": [], "piece": [], "start": [], "n_tokens": [], "container": []}
 
                 def add(*columns: np.ndarray, out: dict = out) -> None:
                     for name, column in zip(out, columns, strict=True):
                         out[name].append(column)
 
-                for length in np.unique(n).tolist():
-                    rows = np.flatnonzero(n == length)
+                own = (columns[4] < 0) | (columns[4] == i)
+                ids, n, number, before, p = (c[own] for c in columns)
+                # rows of one length of the short items, of one rest of the long ones
+                codes = np.where(p >= 0, -1 - n % plan.capacity, n)
+                for code in np.unique(codes).tolist():
+                    long_, length = code < 0, -1 - code if code < 0 else code
+                    rows = np.flatnonzero(codes == code)
                     who, no = ids[rows], number[rows]
                     zeros = np.zeros(len(rows), np.int64)
-                    whole = length // plan.capacity if length > plan.capacity else 0
-                    if whole:
-                        piece = np.tile(np.arange(whole), len(rows))
-                        add(np.repeat(who, whole), piece, piece * plan.capacity, np.full(len(piece), plan.capacity), plan.containers + full[length] + np.repeat(no, whole) * whole + piece)
-                    rest = length - whole * plan.capacity
+                    whole = (n[rows] // plan.capacity if n[rows[0]] > plan.capacity else zeros).astype(np.int64)
+                    if whole.any():
+                        at = np.repeat(np.arange(len(rows)), whole)
+                        piece = np.arange(len(at)) - np.repeat(np.cumsum(whole) - whole, whole)
+                        first = n_full + before[rows] if long_ else full[length] + no * whole
+                        add(who[at], piece, piece * plan.capacity, np.full(len(piece), plan.capacity), plan.containers + first[at] + piece)
+                    rest = length if long_ else length - int(whole[0]) * plan.capacity
                     if rest:
-                        add(who, zeros + whole, zeros + whole * plan.capacity, zeros + rest, plan.place(rest, starts[length] + no))
-                    elif not length:
-                        add(who, zeros, zeros, zeros, no % max(1, plan.containers + n_full))
-                made = pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
+                        add(who, whole, whole * plan.capacity, zeros + rest, plan.place(rest, (rests if long_ else starts)[length] + no))
+                    elif not length and not long_:
+                        add(who, zeros, zeros, zeros, no % max(1, plan.containers + n_own))
+                made = pd.DataFrame({k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()})
                 made.insert(0, "profile", profile)
                 yield made
 
-    return places.mapInPandas(run, "profile string, id bigint, piece int, start int, n_tokens int, container bigint")
+    return placed.rows.mapInPandas(run, PLACES)
 
 
 def report(packed: DataFrame, profiles: DataFrame) -> DataFrame:
