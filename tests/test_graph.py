@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,11 +15,15 @@ def random_edges(n, m, seed):
 
 
 def brute_forest(edges):
-    sets, out = forest.Union(), set()
+    """The forest, and the least node of each node's component, by merging plain sets."""
+    sets, out = {x: {x} for e in edges for x in e[:2]}, set()
     for w, u, v in sorted((w, min(u, v), max(u, v)) for u, v, w in edges if u != v):
-        if sets.join(u, v):
+        if sets[u] is not sets[v]:
             out.add((u, v, w))
-    return out
+            sets[u] |= sets[v]
+            for x in sets[v]:
+                sets[x] = sets[u]
+    return out, {x: min(own) for x, own in sets.items()}
 
 
 @pytest.mark.parametrize("local", [1_000_000, 5])
@@ -26,15 +31,23 @@ def test_forest_and_components(spark, local):
     edges = [*random_edges(60, 70, 2), ("000", "001", 0.5), ("000", "001", 0.5), (None, "002", 0.1)]
     df = spark.createDataFrame(edges, "u string, v string, w double")
     clean = [e for e in edges if e[0]]
-    assert {tuple(r) for r in forest.spanning_forest(df, local).collect()} == brute_forest(clean)
+    want, least = brute_forest(clean)
+    assert {tuple(r) for r in forest.spanning_forest(df, local).collect()} == want
     nodes = spark.createDataFrame([(f"{i:03d}",) for i in range(60)], "node string")
-    sets = forest.Union()
-    for u, v, _ in clean:
-        sets.join(u, v)
-    want = {f"{i:03d}": sets.root(f"{i:03d}") for i in range(60)}
+    want = {f"{i:03d}": least.get(f"{i:03d}", f"{i:03d}") for i in range(60)}
     assert dict(tuple(r) for r in forest.components(df.select("u", "v"), nodes, local).collect()) == want
 
 
+def test_thinning_in_blocks_loses_nothing(monkeypatch):
+    edges = pd.DataFrame(random_edges(80, 600, 5), columns=["u", "v", "w"])
+    edges = pd.DataFrame({"u": edges[["u", "v"]].min(axis=1), "v": edges[["u", "v"]].max(axis=1), "w": edges["w"]})
+    want = brute_forest(list(edges.itertuples(index=False, name=None)))[0]
+    for block in (50, 200, 10_000):
+        monkeypatch.setattr(forest, "BLOCK_EDGES", block)
+        thin = pd.concat(list(forest._spanning(edges.iloc[i : i + 17] for i in range(0, 600, 17))))
+        assert want <= set(thin.itertuples(index=False, name=None)) and len(thin) < 600
+
+
 def test_empty_forest(spark):
     df = spark.createDataFrame([], "u string, v string, w double")
     assert forest.spanning_forest(df).count() == 0

@@ -4,9 +4,10 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from zonespark.operators import partition
+from zonespark.operators import partition, tree
 from zonespark.operators.partition import Limits, solve_local
 from zonespark.plans.config import PartitionConfig, PipelineConfig
+from zonespark.plans.runtime import materialize
 from zonespark.plans.regionalize import Embedder, Partitioner, partition_table, run_pipeline
 
 
@@ -96,28 +97,49 @@ def test_like_plain_sets(seed):
     assert as_sets(run(popu, hosp, tree, flows, lim)) == naive(popu, hosp, tree, flows, lim)
 
 
-def test_ancestors_by_both_ways(spark):
-    r = random.Random(7)
-    n = 40
-    up = np.array([-1] + [r.randrange(max(0, i - 6), i) for i in range(1, n)])
-    tree = partition.hang(n, np.arange(1, n), up[1:], 0)
-    trees = spark.createDataFrame([(i, int(tree.parent[i]), int(tree.depth[i]), int(tree.head[i])) for i in range(n)], "ord long, parent long, depth int, head long")
-    pairs = [(r.randrange(n), r.randrange(n), 1.0) for _ in range(120)]
-    at = [(o, d, f, o, d, *(int(x[i]) for x in (tree.depth, tree.head) for i in (o, d))) for o, d, f in pairs]
-    df = spark.createDataFrame(at, "o long, d long, f double, x long, y long, dx int, dy int, hx long, hy long")
-
-    def meet(a, b):
-        above = set()
-        while a >= 0:
-            above.add(a)
-            a = up[a]
-        while b not in above:
-            b = up[b]
-        return int(b)
-
-    want = sorted((o, d, meet(o, d)) for o, d, _ in pairs)
-    for most in (1000, 0):
-        assert sorted((x["o"], x["d"], x["meet"]) for x in partition.common_ancestors(df, trees, most).collect()) == want
+def forest_of(spark, seed, n=60, gaps=0.06):
+    r = random.Random(seed)
+    # a comb, a hub and paths, numbered in any order
+    up = [-1] + [i - 1 if r.random() < 0.5 else r.choice([0, r.randrange(i)]) for i in range(1, n)]
+    names = r.sample(range(1000), n)
+    edges = [(names[i], names[up[i]]) for i in range(1, n) if r.random() > gaps]
+    return names, edges, spark.createDataFrame(edges, "u long, v long"), spark.createDataFrame([(x,) for x in names], "node long")
+
+
+@pytest.mark.parametrize("one_task", [1000, 0])
+def test_trees_by_both_ways(spark, one_task):
+    names, edges, df, nodes = forest_of(spark, 3)
+    made = trees = materialize(tree.rooted(df, nodes, one_task), "made")
+    made = {x["node"]: x for x in made.collect()}
+    assert set(made) == set(names)
+    near = {x: set() for x in names}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    above = {}
+    for x in names:
+        path = [x]
+        while (p := made[path[-1]]["parent"]) is not None:
+            assert p in near[path[-1]]
+            path.append(p)
+        above[x] = path
+        assert path[-1] == made[x]["tree"] and made[x]["tree"] == min(y for y in names if made[y]["tree"] == made[x]["tree"])
+    for x in names:
+        own = {y for y in names if x in above[y]}
+        assert own == {y for y in names if made[y]["tree"] == made[x]["tree"] and made[x]["tin"] <= made[y]["tin"] <= made[x]["tout"]}
+        assert made[x]["tout"] - made[x]["tin"] == 2 * len(own) - 1
+        # at most as many heavy paths above a node as the log of the tree
+        assert len({made[y]["head"] for y in above[x]}) <= 1 + len(names).bit_length()
+    r = random.Random(1)
+    pairs = [(r.choice(names), r.choice(names), float(i)) for i in range(150)]
+    got = {(x["o"], x["d"], x["f"]): x["meet"] for x in tree.meets(spark.createDataFrame(pairs, "o long, d long, f double"), trees).collect()}
+    want = {(o, d, f): next(y for y in above[o] if y in above[d]) for o, d, f in pairs if made[o]["tree"] == made[d]["tree"]}
+    assert got == want
+    values = {x: float(r.randrange(100)) for x in names}
+    parts = trees.join(spark.createDataFrame(list(values.items()), "node long, v double"), "node").withColumnRenamed("tree", "cluster")
+    for chunk in (1000, 7):
+        sums = {x["node"]: x["v"] for x in tree.subtree_sums(parts, ["v"], chunk=chunk).collect()}
+        assert sums == {x: sum(values[y] for y in names if x in above[y]) for x in names}
 
 
 @pytest.mark.parametrize("seed", [1])
@@ -133,8 +155,8 @@ def test_many_pieces_by_both_solvers(spark, seed):
     out, deg = ([float(sum(x[2] for x in flows if x[end] == i)) for i in range(n)] for end in (0, 1))
     nodes = spark.createDataFrame([(i, str(i), popu[i], 0.0, out[i], out[i] + deg[i]) for i in range(n)], "ord long, zone_id string, popu double, hosp double, out double, deg double")
     problem = partition.Problem(nodes, spark.createDataFrame(tree, "u long, v long"), spark.createDataFrame(flows, "o long, d long, f double"), sum(f for *_, f in flows), lim, (), n, len(flows))
-    for way in (True, False):
-        got = {int(x["zone_id"]): x["cluster"] for x in partition.solve(problem, way).collect()}
+    for made in (partition.solve(problem, True), partition.solve(problem, False), partition.solve_level(problem, 10)):
+        got = {int(x["zone_id"]): x["cluster"] for x in made.collect()}
         assert [got[i] for i in range(n)] == local.tolist()
 
 

@@ -5,10 +5,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from zonespark.functions.geometry import albers, centroid, polygon_area
+from zonespark.functions.geometry import albers, centroid, in_degrees, polygon_area
 from zonespark.operators.compact import compactness, dissolved
 from zonespark.operators.contiguity import contiguity, polygon_neighbours
-from zonespark.sources.regions import read_adjacency, read_flows, read_geojson, register_sources
+from zonespark.sources.regions import read_adjacency, read_flows, read_geojson, read_projection, read_shapefile, shapefile_bytes, shapes
 
 RINGS = "array<array<struct<x: double, y: double>>>"
 
@@ -61,6 +61,7 @@ def test_albers(spark):
     assert abs(row["o"]["x"]) < 1e-6 and abs(row["o"]["y"]) < 1e-6 and 109_000 < row["b"]["y"] - row["a"]["y"] < 113_000
     world = spark.createDataFrame([(0, [[(-90.0, 40.0), (-89.0, 40.0), (-89.0, 41.0), (-90.0, 41.0), (-90.0, 40.0)]])], f"cluster int, geometry {RINGS}")
     # a cell of one degree by its exact area on the sphere of equal area, about 9 395 square km
+    assert compactness(world, degrees=True).first() == compactness(world, crs="EPSG:4326").first()
     assert compactness(world, degrees=True).first()["area"] == pytest.approx(9.395e9, rel=0.01)
 
 
@@ -76,28 +77,36 @@ def test_delimited_and_geojson(spark, tmp_path):
     assert [len(x) for x in rows["a"]] == [4] and len(rows["b"]) == 2 and rows["b"][1][0]["x"] == 5.0
 
 
-def shapefile(path):
-    def record(i, rings):
-        points = [p for r in rings for p in r]
-        starts = [sum(len(r) for r in rings[:k]) for k in range(len(rings))]
-        body = struct.pack("<i4d", 5, 0, 0, 1, 1) + struct.pack(f"<ii{len(rings)}i", len(rings), len(points), *starts) + b"".join(struct.pack("<2d", *p) for p in points)
-        return struct.pack(">ii", i, len(body) // 2) + body
+def shapefile():
+    fields = [("ZoneID", "C", 6), ("POPU", "N", 8)]
+    return shapefile_bytes([("007", 12.5), ("b", 3), ("", "********")], fields, [[square(0.0, 0.0)], [square(0.0, 0.0, 4.0), square(1.0, 1.0)], None])
 
-    shp = b"\0" * 100 + record(1, [square(0.0, 0.0)]) + record(2, [square(0.0, 0.0, 4.0), square(1.0, 1.0)]) + struct.pack(">ii", 3, 2) + struct.pack("<i", 0)
-    fields = [(b"ZoneID", b"C", 6), (b"POPU", b"N", 8)]
-    rows = [b" " + z.ljust(6) + p.rjust(8) for z, p in ((b"007", b"12.5"), (b"b", b"3"), (b"", b"********"))]
-    head = struct.pack("<4BiHH", 3, 1, 1, 1, len(rows), 32 + 32 * len(fields) + 1, 15) + b"\0" * 20
-    dbf = head + b"".join(n.ljust(11, b"\0") + k + b"\0" * 4 + bytes([s]) + b"\0" * 15 for n, k, s in fields) + b"\r" + b"".join(rows)
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("zones.shp", shp)
-        z.writestr("zones.dbf", dbf)
+
+def check_shapes(df, times=1):
+    rows = sorted(df.collect(), key=lambda r: (r["ZoneID"] or "~"))
+    assert [(r["ZoneID"], r["POPU"]) for r in rows] == [x for x in (("007", 12.5), ("b", 3.0), (None, None)) for _ in range(times)]
+    assert len(rows[times]["geometry"]) == 2 and rows[-1]["geometry"] is None
+    assert sorted((r[0] or 0 for r in df.select(polygon_area(F.col("geometry"))).collect())) == [x for x in (0, 1.0, 15.0) for _ in range(times)]
 
 
 def test_shapefile(spark, tmp_path):
-    shapefile(tmp_path / "z.zip")
-    register_sources(spark)
-    df = spark.read.format("zone_shapefile").load(str(tmp_path / "z.zip"))
-    rows = df.collect()
-    assert [(r["ZoneID"], r["POPU"]) for r in rows] == [("007", 12.5), ("b", 3.0), (None, None)]
-    assert len(rows[1]["geometry"]) == 2 and rows[2]["geometry"] is None
-    assert [r[0] for r in df.select(polygon_area(F.col("geometry"))).collect()] == [1.0, 15.0, None]
+    shp, dbf = shapefile()
+    for name in ("z.zip", "y.zip"):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("in/zones.shp", shp)
+            z.writestr("in/zones.dbf", dbf)
+            if name == "z.zip":
+                z.writestr("in/zones.prj", 'GEOGCS["GCS_North_American_1983"]')
+    (tmp_path / "plain.shp").write_bytes(shp)
+    (tmp_path / "plain.dbf").write_bytes(dbf)
+    check_shapes(read_shapefile(spark, str(tmp_path / "z.zip")))
+    check_shapes(read_shapefile(spark, str(tmp_path / "plain.shp")))
+    check_shapes(read_shapefile(spark, f"{tmp_path / 'z.zip'};{tmp_path / 'plain.shp'}"), 2)
+    assert in_degrees(read_projection(spark, str(tmp_path / "z.zip"))) and read_projection(spark, str(tmp_path / "y.zip")) is None
+    assert read_projection(spark, str(tmp_path / "plain.shp")) is None
+    (tmp_path / "plain.prj").write_text('PROJCS["Albers"]')
+    assert not in_degrees(read_projection(spark, str(tmp_path / "plain.shp"))) and not in_degrees("EPSG:5070") and in_degrees("epsg:4326")
+    with pytest.raises(ValueError):
+        in_degrees("moon")
+    with pytest.raises(ValueError):
+        list(shapes(b"\0" * 100 + struct.pack(">ii", 1, 2) + struct.pack("<i", 3)))

@@ -110,3 +110,20 @@ def albers(lon: Column, lat: Column, p: dict[str, float] = ALBERS) -> Column:
 def reproject(geometry: Column) -> Column:
     """The rings of a geometry in degrees, in Albers metres."""
     return F.transform(geometry, lambda ring: F.transform(ring, lambda p: albers(p["x"], p["y"])))
+
+
+# Names of reference systems in degrees of longitude and latitude, and how a description of one begins.
+GEOGRAPHIC = ("EPSG:4326", "EPSG:4269", "OGC:CRS84")
+GEOGRAPHIC_TEXT, PROJECTED_TEXT = ("GEOGCS", "GEOGCRS", "GEODCRS"), ("PROJCS", "PROJCRS")
+
+
+def in_degrees(crs: str) -> bool:
+    """Whether a reference system, by name or well-known text, is in degrees; one that is projected is taken as it is."""
+    text = crs.strip().upper()
+    if text.startswith(PROJECTED_TEXT):
+        return False
+    if text in GEOGRAPHIC or text.startswith(GEOGRAPHIC_TEXT):
+        return True
+    if text.startswith("EPSG:"):
+        return False
+    raise ValueError(f"unknown reference system {crs!r}")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import polygon_area, reproject, segments, vertices
+from ..functions.geometry import in_degrees, polygon_area, reproject, segments, vertices
 
 
 def borders(zones: DataFrame, cluster: str = "cluster", geometry: str = "geometry") -> DataFrame:
@@ -68,12 +68,13 @@ def hull_areas(zones: DataFrame, cluster: str = "cluster", geometry: str = "geom
     return thinned.groupBy("cluster").applyInPandas(area, f"cluster {kind}, hull_area double").withColumnRenamed("cluster", cluster)
 
 
-def compactness(zones: DataFrame, cluster: str = "cluster", geometry: str = "geometry", degrees: bool = False) -> DataFrame:
+def compactness(zones: DataFrame, cluster: str = "cluster", geometry: str = "geometry", degrees: bool = False, crs: str | None = None) -> DataFrame:
     """``cluster, area, perimeter, reock, polsby_popper`` of each cluster.
 
     ``reock`` is area over convex-hull area, ``polsby_popper`` 4 pi area over squared perimeter; both are 0
-    where a cluster has no area, null where none of its zones has a geometry. ``degrees`` tells that coordinates
-    are longitudes and latitudes, to be projected to equal-area metres first."""
+    where a cluster has no area, null where none of its zones has a geometry. ``degrees``, or ``crs`` as the name or
+    text of a reference system, tells that coordinates are longitudes and latitudes, to be projected to equal-area metres first."""
+    degrees = degrees or (crs is not None and in_degrees(crs))
     zones = zones.select(cluster, F.col(geometry).alias("_g"))
     if degrees:
         zones = zones.withColumn("_g", reproject(F.col("_g")))

@@ -1,6 +1,6 @@
 """Connected components and the minimum spanning forest of an edge table.
 
-Both thin the edges first: each task keeps a spanning forest of its own edges, which loses neither
+Both thin the edges first: each task keeps spanning forests of blocks of its own edges, which loses neither
 components nor the minimum forest (an edge that closes a cycle as its dearest is in none). What
 is left is merged in one task once it is at most ``LOCAL_EDGES``; until then rounds run on all
 tasks: components by large-star and small-star, the forest by Boruvka contraction."""
@@ -19,41 +19,53 @@ from ..plans.runtime import materialize
 LOCAL_EDGES = 2_000_000
 
 
-class Union:
-    """Disjoint sets over labels."""
+#: Edges that a task holds at once while it thins its own.
+BLOCK_EDGES = 500_000
 
-    def __init__(self) -> None:
-        self.up: dict = {}
 
-    def root(self, x):
-        up = self.up
-        top = x
-        while (above := up.setdefault(top, top)) != top:
-            top = above
-        while up[x] != top:
-            up[x], x = top, up[x]
-        return top
+def joins(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, list[int]]:
+    """Which of the edges ``a, b`` between ``n`` numbers join what was apart, one after the other, and the least number
+    that each number is joined with."""
+    up = list(range(n))
+    took = np.zeros(len(a), bool)
 
-    def join(self, a, b) -> bool:
-        """Whether the two were apart; the lesser root stays."""
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        low, high = (a, b) if a < b else (b, a)
-        self.up[high] = low
-        return True
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
 
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            took[i] = True
+            if x < y:
+                up[y] = x
+            else:
+                up[x] = y
+    return took, [root(x) for x in range(n)]
 
-def _spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The edges of a task that join something, cheapest first where they have a cost."""
-    edges = [b for b in batches if len(b)]
-    if not edges:
-        return
-    frame = pd.concat(edges, ignore_index=True)
+
+def _forest(frame: pd.DataFrame, ends: tuple[str, str] = ("u", "v")) -> pd.DataFrame:
+    """The edges of a frame that join something, cheapest first where they have a cost."""
     if "w" in frame:
         frame = frame.sort_values(["w", "u", "v"], kind="stable", ignore_index=True)
-    sets = Union()
-    yield frame[np.fromiter((sets.join(a, b) for a, b in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True)), bool, len(frame))]
+    codes, names = pd.factorize(np.concatenate([frame[e].to_numpy() for e in ends]))
+    return frame[joins(*np.split(codes, 2), len(names))[0]]
+
+
+def _spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A spanning forest of each block of a task's edges. What is left of a block stays for the next one while it is
+    small beside it, so that a task holds a bounded number of edges whatever the size of its partition."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held += [b] if len(b) else []
+        if sum(map(len, held)) >= BLOCK_EDGES:
+            thin = _forest(pd.concat(held, ignore_index=True))
+            held = [thin] if len(thin) <= BLOCK_EDGES // 2 else []
+            if not held:
+                yield thin
+    if held:
+        yield _forest(pd.concat(held, ignore_index=True))
 
 
 def _thin(edges: DataFrame) -> DataFrame:
@@ -84,14 +96,13 @@ def components(edges: DataFrame, nodes: DataFrame, local_edges: int = LOCAL_EDGE
 
 
 def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sets = Union()
-    for b in batches:
-        for a, c in zip(b["u"].tolist(), b["v"].tolist(), strict=True):
-            sets.join(a, c)
-    nodes = list(sets.up)
-    if not nodes:
+    frames = [b for b in batches if len(b)]
+    if not frames:
         return
-    yield pd.DataFrame({"node": nodes, "component": [sets.root(n) for n in nodes]})
+    ends = pd.concat(frames, ignore_index=True)
+    # sorted, so that the least number is the least node
+    nodes, codes = np.unique(np.concatenate([ends["u"].to_numpy(), ends["v"].to_numpy()]), return_inverse=True)
+    yield pd.DataFrame({"node": nodes, "component": nodes[joins(*np.split(codes, 2), len(nodes))[1]]})
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -136,9 +147,6 @@ def spanning_forest(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFra
 
 
 def _kruskal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    frame = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({c: [] for c in ("a", "b", "u", "v", "w")})], ignore_index=True)
-    frame = frame.sort_values(["w", "u", "v"], kind="stable", ignore_index=True)
-    sets = Union()
-    keep = np.fromiter((sets.join(a, b) for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True)), bool, len(frame))
-    if keep.any():
-        yield frame.loc[keep, ["u", "v", "w"]]
+    frames = [b for b in batches if len(b)]
+    if frames:
+        yield _forest(pd.concat(frames, ignore_index=True), ("a", "b"))[["u", "v", "w"]]

@@ -78,3 +78,8 @@ def over_caps(zones: DataFrame, part: DataFrame, caps: dict[str, float]) -> Data
     sums = zones.select("zone_id", *value).join(part.select("zone_id", "cluster"), "zone_id").groupBy("cluster").agg(*[F.sum(f"v{i}").alias(c) for i, c in enumerate(caps)])
     above = [F.col(c) > F.lit(float(v)) for c, v in caps.items()]
     return sums.where(reduce(lambda a, b: a | b, above, F.lit(False)))
+
+
+def cluster_count(part: DataFrame) -> int:
+    """How many clusters there are; zones without one don't count."""
+    return part.agg(F.countDistinct("cluster")).first()[0]

@@ -12,8 +12,8 @@ pass over the flows and one over the zones.
 
 Two ways lead to the same clusters:
 
-* ``solve_level`` handles all open clusters at once, in rounds of Spark jobs. Flows stay distributed;
-  a task holds the zones of one cluster, never its flows.
+* ``solve_level`` handles all open clusters at once, in rounds of Spark jobs over tables of zones, flows and
+  clusters. Sums over subtrees are running sums along the trees' tours; no task holds a cluster.
 * ``solve_local`` runs the same functions on a whole problem in one task, for problems checked to
   have at most ``LOCAL_ZONES`` zones and ``LOCAL_FLOWS`` pairs with flow.
 
@@ -30,21 +30,23 @@ its first zone in row order. Clusters are numbered in the order in which they be
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import PartitionConfig, hospital_column
 from ..plans.runtime import materialize
-from .flow_graph import BROADCAST_ZONES, small
-from .forest import components, spanning_forest
+from .flow_graph import small
+from .forest import spanning_forest
 from .metrics import known_flows, node_flows, total_flow
 from .ordering import number_rows
 from .prepare import ORDER, as_double, in_row_order, keep_first
+from .tree import ONE_TASK_NODES, meets, rooted, running, subtree_sums
 
 LOCAL_ZONES = 200_000
 LOCAL_FLOWS = 3_000_000
@@ -377,188 +379,163 @@ def solve(problem: Problem, local: bool | None = None) -> DataFrame:
     return rows.unionByName(tree).unionByName(moves).groupBy(F.lit(0).alias("all")).applyInPandas(run, "zone_id string, cluster long")
 
 
+# --- all open clusters at once
+
 #: Stands after all pieces in the order of a level.
 _REST = 1 << 60
+#: What is summed over subtrees; missing values are summed as 0 and counted apart.
+_SUMS = ("popu", "hosp", "no_popu", "no_hosp", "out", "deg", "out_c", "in_c", "credit", "one")
+
+
+def _above(value: Column, bound: float) -> Column:
+    """Greater, where comparisons with NaN are false."""
+    return ~F.isnan(value) & (value > F.lit(float(bound)))
+
+
+def _over(limits: Limits) -> Column:
+    return reduce(lambda a, b: a | b, [_above(F.col(f"e{i}"), v) for i, v in limits.most], _above(F.col("popu"), limits.max_population))
+
+
+def _done(limits: Limits) -> Column:
+    over = reduce(lambda a, b: a | b, [_above(F.col(f"e{i}"), v) for i, v in limits.most], F.lit(False))
+    return (F.col("popu") <= F.lit(float(limits.max_population))) & ~over & (F.col("popu") < F.lit(2.0 * limits.min_population))
+
+
+def _again(limits: Limits) -> Column:
+    return _over(limits) | (~F.isnan("popu") & (F.col("popu") >= F.lit(2.0 * limits.min_population)))
+
+
+def peel(pieces_: DataFrame, limits: Limits, extras: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What becomes of a problem in several pieces, ``tree, n, popu, e..`` one row each: the largest piece is taken off
+    level by level, until it is the last, or what is left is final. Gives ``tree, cluster`` of all pieces, the clusters to
+    be looked at and those that are final."""
+    pieces_ = materialize(number_rows(pieces_.withColumn("_n", -F.col("n")), ["_n", "tree"], "at").drop("_n"), "pieces")
+    count = pieces_.count()
+    # sums over a piece and all after it; a missing population counts apart
+    missing = F.isnan("popu")
+    left = pieces_.select(F.lit(0).alias("all"), "at", (count - 1 - F.col("at")).alias("back"), F.when(missing, 0.0).otherwise(F.col("popu")).alias("popu"), F.when(missing, 1.0).otherwise(0.0).alias("none"), *extras)
+    left = running(left, ["all"], "back", ["popu", "none", *extras]).withColumn("popu", F.when(F.col("none") > 0, float("nan")).otherwise(F.col("popu")))
+    left = left.select("at", "popu", *extras)
+    ends = left.where(_done(limits)).agg(F.min("at")).first()[0]
+    # the first piece after which nothing is looked at again
+    quiet = left.where((F.col("at") > 0) & ~_again(limits)).agg(F.min("at") - 1).first()[0]
+    stop = min(x for x in (ends, quiet, count - 1) if x is not None)
+    whole = ends == stop
+    alone = (F.col("at") < stop) | ((F.col("at") == stop) & F.lit(not whole))
+    named = pieces_.withColumn("cluster", F.when(alone, F.concat(F.lit("p"), F.col("at").cast("string"), F.lit(":"))).otherwise("rest"))
+    last = F.lit(not whole) & (F.col("at") == count - 1)
+    looked = alone & (last | _again(limits))
+    level = F.col("at").cast("int")
+    waiting = named.where(looked).select("cluster", F.col("tree").alias("root"), "n", "popu", *extras, F.when(last, level).otherwise(level + 1).alias("level"), F.col("at").alias("place"), F.lit("").alias("sides"))
+    rest = F.lit(_REST).alias("place"), F.lit("").alias("sides")
+    final = named.where(alone & ~looked).select("cluster", level.alias("level"), *rest, F.lit(0).alias("side"))
+    over = named.where("cluster = 'rest'").select("cluster", F.lit(stop).cast("int").alias("level"), *rest, F.lit(0 if whole else 1).alias("side")).distinct()
+    return named.select("tree", "cluster"), waiting, final.unionByName(over)
+
+
+def candidates(active: DataFrame, flows: DataFrame, frontier: DataFrame, m: float, limits: Limits, extras: list[str]) -> DataFrame:
+    """All cuts of the open clusters, each a connected part of a tree: one row for each node but the topmost of its
+    cluster, whose subtree is cut off, with ``good`` (feasible), ``gain``, the sums of the subtree and ``root_below``, whether the
+    cluster's root is in it.
+
+    ``active`` has the nodes, ``flows`` (``o, d, f, meet``) what flows within clusters, ``frontier`` has ``cluster, root``."""
+    ends = F.explode(F.array(*[F.struct(F.col(at).alias("node"), *[F.when(F.lit(i == k), F.col("f")).otherwise(0.0).alias(n) for k, n in enumerate(("out_c", "in_c", "credit"))]) for i, at in enumerate(("o", "d", "meet"))]))
+    credits = flows.select(ends.alias("e")).select("e.*").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("out_c", "in_c", "credit")])
+    nodes = active.join(credits, "node", "left").na.fill(0.0, ["out_c", "in_c", "credit"]).withColumn("one", F.lit(1.0))
+    for c in ("popu", "hosp"):
+        nodes = nodes.withColumn(f"no_{c}", F.isnan(c).cast("double")).withColumn(c, F.nanvl(c, F.lit(0.0)))
+    nodes = materialize(nodes, "nodes")
+    values = [*_SUMS, *extras]
+    noise = sum((F.abs(F.col(c)) for c in ("in_c", "credit")), F.abs(F.col("out_c")))
+    rooted_ = nodes.join(frontier.select("cluster", "root"), "cluster")
+    whole = rooted_.groupBy("cluster").agg(*[F.sum(v).alias(f"all_{v}") for v in values], F.sum(noise).alias("noise"), F.min("tin").alias("top"), F.max(F.when(F.col("node") == F.col("root"), F.col("tin"))).alias("tin_root"))
+    each = subtree_sums(nodes, values).join(whole, "cluster").where("tin > top")
+    nan = F.lit(float("nan"))
 
+    def side(name: str, rest: bool) -> Column:
+        value = F.col(f"all_{name}") - F.col(name) if rest else F.col(name)
+        if name in ("popu", "hosp"):
+            value = F.when(side(f"no_{name}", rest) > 0.5, nan).otherwise(value)
+        return value
 
-def peel(stats: list[dict], limits: Limits, extra_names: list[str]) -> tuple[list[tuple], list[tuple]]:
-    """What becomes of a problem in several pieces, given the sums of each, the largest first: the largest is taken
-    off level by level. Gives (pieces from, to, level, place) of those to be cut and (from, to, key) of what is final."""
-    cut, final = [], []
-    if not stats:
-        return cut, final
-    popu = np.array([s["popu"] for s in stats], float)
-    extra = np.array([[s[e] for e in extra_names] for s in stats], float).reshape(len(stats), len(extra_names))
-    n = len(stats)
-    for level in range(n):
-        p, x = float(popu[level:].sum()), extra[level:].sum(axis=0)
-        if limits.done(p, x):
-            final.append((level, n, (level, _REST, (), 0)))
-            break
-        if level == n - 1:
-            cut.append((level, n, level, level))
-            break
-        if limits.again(float(popu[level]), extra[level]):
-            cut.append((level, level + 1, level + 1, level))
-        else:
-            final.append((level, level + 1, (level, _REST, (), 0)))
-        if not limits.again(float(popu[level + 1 :].sum()), extra[level + 1 :].sum(axis=0)):
-            final.append((level + 1, n, (level, _REST, (), 1)))
-            break
-    return cut, final
-
-
-def solve_level(problem: Problem) -> DataFrame:
-    """The same by rounds of Spark jobs, each of which looks at all open clusters.
-
-    The order in which clusters become final in the worklist is kept as a key: the level in which it is
-    looked at, the piece it comes from, and the sides of the cuts that led to it."""
+    # what the differences leave by rounding is no flow
+    quiet = lambda flow: F.when(F.abs(flow) <= 1e-12 * F.col("noise"), 0.0).otherwise(flow)
+    inner = quiet(F.col("credit")), quiet(F.col("all_credit") - F.col("out_c") - F.col("in_c") + F.col("credit"))
+    term = lambda inside, degree: inside / F.lit(m) - F.pow(degree / F.lit(2 * m), F.lit(2.0))
+    gain = term(inner[0], side("deg", False)) + term(inner[1], side("deg", True)) - term(F.col("all_credit"), F.col("all_deg"))
+    good = ~F.isnan(gain)
+    for rest in (False, True):
+        out = quiet(side("out", rest))
+        index = F.when(out > 0, inner[rest] / out).otherwise(0.0)
+        good &= ~(side("popu", rest) < limits.min_population) & ~(side("hosp", rest) < limits.min_hospitals) & ~(index < limits.min_local_index)
+        for i, least in limits.least:
+            good &= ~(side(f"e{i}", rest) < least)
+    root_below = (F.col("tin") <= F.col("tin_root")) & (F.col("tin_root") <= F.col("tout"))
+    return each.select("cluster", "node", "parent", "tin", "tout", good.alias("good"), gain.alias("gain"), root_below.alias("root_below"), F.col("one").cast("long").alias("n"), side("popu", False).alias("popu"), side("hosp", False).alias("hosp"))
+
+
+def set_up(problem: Problem, one_task: int = ONE_TASK_NODES) -> tuple[DataFrame, DataFrame]:
+    """The nodes of a problem in their rooted trees, and its flows within trees with the common ancestors of their ends."""
+    trees = rooted(problem.edges, problem.nodes.select(F.col("ord").alias("node")), one_task)
+    nodes = materialize(problem.nodes.withColumnRenamed("ord", "node").drop("zone_id").join(trees.drop("head"), "node"), "placed")
+    return nodes, materialize(meets(problem.flows, trees), "met")
+
+
+def solve_level(problem: Problem, one_task: int = ONE_TASK_NODES) -> DataFrame:
+    """The same by rounds of Spark jobs, each of which looks at all open clusters. Clusters are rows of tables too: the
+    driver sees how many there are, and no task holds one.
+
+    Trees stay rooted as they are at first. Which side of a cut is the lower one depends on the root of the
+    cluster, which is a column. The order in which clusters become final in the worklist is kept as a key: the
+    level in which a cluster is looked at, the piece it comes from, and the sides of the cuts that led to it."""
     spark = problem.nodes.sparkSession
-    limits, m, extras = problem.limits, problem.m, len(problem.extras)
-    extra_names = [f"e{i}" for i in range(extras)]
-    sums = [F.sum(c).alias(c) for c in ("popu", *extra_names)]
-    pieces_ = materialize(components(problem.edges, problem.nodes.select(F.col("ord").alias("node"))), "pieces")
-    # one row for each piece of the neighbourhood graph
-    of_piece = problem.nodes.join(pieces_, problem.nodes["ord"] == pieces_["node"]).groupBy("component").agg(F.count(F.lit(1)).alias("n"), *sums)
-    stats = sorted((r.asDict() for r in of_piece.collect()), key=lambda r: (-r["n"], r["component"]))
-    if not stats:
+    limits, m = problem.limits, problem.m
+    extras = [f"e{i}" for i in range(len(problem.extras))]
+    if not problem.n_nodes:
         return spark.createDataFrame([], "zone_id string, cluster long")
-    first_cuts, first_final = peel(stats, limits, extra_names)
-    final: list[tuple[int, tuple]] = []
-    waiting: list[tuple] = []  # cluster, root, sums, level, piece, sides
-    names: list[tuple[int, int]] = []
-    fresh = 0
-    for low, high, key in first_final:
-        names += [(s["component"], fresh) for s in stats[low:high]]
-        final.append((fresh, key))
-        fresh += 1
-    for low, _, level, place in first_cuts:
-        names.append((stats[low]["component"], fresh))
-        waiting.append((fresh, stats[low]["component"], stats[low], level, place, ()))
-        fresh += 1
-    start = spark.createDataFrame(names, "component long, cluster long")
-    state = materialize(pieces_.join(small(start, len(names)), "component").select(F.col("node").alias("ord"), "cluster"), "state")
-    while waiting:
-        opened = []
-        for one in waiting:
-            cluster, root, own, level, place, sides = one
-            x = np.array([own[e] for e in extra_names])
-            if limits.done(own["popu"], x) or own["n"] == 1:
-                final.append((cluster, (level, place, sides, 0)))
-            else:
-                opened.append((one, limits.over(own["popu"], x)))
-        if not opened:
-            break
-        frontier = spark.createDataFrame([(one[0], one[1], force) for one, force in opened], "cluster long, root long, force boolean")
-        decided = materialize(_split(problem, state, small(frontier, len(opened)), m, limits, extras), "decided")
-        parts_ = problem.nodes.join(decided, "ord").groupBy("cluster", "side").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"), F.max("start").alias("start"), *sums)
-        # one row for each part of an open cluster
-        parts = {(r["cluster"], r["side"]): r.asDict() for r in parts_.collect()}
-        renamed_, waiting = [], []
-        for (cluster, _, _, level, place, sides), _ in opened:
-            if (cluster, 1) not in parts:
-                final.append((cluster, (level, place, sides, 0)))
-                continue
-            for side in (0, 1):
-                part = parts[cluster, side]
-                renamed_.append((cluster, side, fresh))
-                if limits.again(part["popu"], np.array([part[e] for e in extra_names])):
-                    waiting.append((fresh, part["start"] if side == 0 else part["first"], part, level + 1, place, (*sides, side)))
-                else:
-                    final.append((fresh, (level, place, sides, side)))
-                fresh += 1
-        if renamed_:
-            renamed = spark.createDataFrame(renamed_, "cluster long, side int, renamed long")
-            moved = decided.join(small(renamed, len(renamed_)), ["cluster", "side"]).select("ord", "renamed")
-            state = materialize(state.join(moved, "ord", "left").select("ord", F.coalesce("renamed", "cluster").alias("cluster")), "state")
-    numbers = {cluster: i for i, (cluster, _) in enumerate(sorted(final, key=lambda x: x[1]))}
-    table = spark.createDataFrame(list(numbers.items()), "cluster long, number long")
-    return problem.nodes.select("ord", "zone_id").join(state, "ord").join(small(table, len(numbers)), "cluster").select("zone_id", F.col("number").alias("cluster"))
-
-
-def _split(problem: Problem, state: DataFrame, frontier: DataFrame, m: float, limits: Limits, extras: int) -> DataFrame:
-    """``ord, cluster, side, start`` of the zones of the open clusters, all of them connected: side 0 is the subtree
-    below the cut, whose root is ``start``. A cluster that is not cut has side 0 and start -1 throughout."""
-    zones = state.join(frontier, "cluster")
-    a, b = (zones.select(F.col("ord").alias(e), F.col("cluster").alias(f"c{e}")) for e in ("u", "v"))
-    tree = problem.edges.join(a, "u").join(b, "v").where("cu = cv").select(F.col("cu").alias("cluster"), "u", "v")
-    rows = zones.select("cluster", F.col("ord").alias("u"), F.lit(-1).cast("long").alias("v"), "root").unionByName(tree.withColumn("root", F.lit(-1).cast("long")))
-
-    def root(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame["v"].to_numpy() < 0
-        nodes = np.sort(frame["u"].to_numpy()[own])
-        edges = frame[~own].sort_values(["u", "v"])
-        u, v = (np.searchsorted(nodes, edges[c].to_numpy()) for c in ("u", "v"))
-        made = pd.DataFrame({"ord": nodes, "cluster": frame["cluster"].iloc[0]})
-        tree_ = hang(len(nodes), u, v, int(np.searchsorted(nodes, frame["root"].to_numpy()[own][0])))
-        return made.assign(parent=np.where(tree_.parent < 0, -1, nodes[tree_.parent]), depth=tree_.depth, head=nodes[tree_.head])
-
-    trees = materialize(rows.groupBy("cluster").applyInPandas(root, "ord long, cluster long, parent long, depth int, head long"), "hung")
-    placed = [trees.select(F.col("ord").alias(e), F.col("cluster").alias(f"c{e}"), F.col("depth").alias(f"depth_{e}"), F.col("head").alias(f"head_{e}")) for e in ("o", "d")]
-    inner = problem.flows.join(placed[0], "o").join(placed[1], "d").where("co = cd")
-    pairs = inner.select("o", "d", "f", F.col("o").alias("x"), F.col("d").alias("y"), F.col("depth_o").alias("dx"), F.col("depth_d").alias("dy"), F.col("head_o").alias("hx"), F.col("head_d").alias("hy"))
-    met = common_ancestors(pairs, trees)
-    ends = F.explode(F.array(*[F.struct(F.col(at).alias("ord"), *[F.when(F.lit(i == k), F.col("f")).otherwise(0.0).alias(n) for k, n in enumerate(("out_c", "in_c", "credit"))]) for i, at in enumerate(("o", "d", "meet"))]))
-    credits = met.select(ends.alias("e")).select("e.*").groupBy("ord").agg(*[F.sum(c).alias(c) for c in ("out_c", "in_c", "credit")])
-    scored = trees.join(problem.nodes, "ord").join(credits, "ord", "left").na.fill(0.0, ["out_c", "in_c", "credit"]).join(frontier.select("cluster", "force"), "cluster")
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord", ignore_index=True)
-        nodes, parent = frame["ord"].to_numpy(), frame["parent"].to_numpy()
-        up = np.where(parent < 0, -1, np.searchsorted(nodes, parent))
-        tree_ = Rooted(np.argsort(frame["depth"].to_numpy(), kind="stable"), up, frame["depth"].to_numpy(), nodes)
-        sums = [frame[c].to_numpy(float) for c in ("out", "deg", "out_c", "in_c", "credit")]
-        cut = best_cut(tree_, frame["popu"].to_numpy(float), frame["hosp"].to_numpy(float), _columns(frame, extras), *sums, m, limits)
-        made = pd.DataFrame({"ord": nodes, "cluster": frame["cluster"], "side": 0, "start": -1})
-        if cut is None or not (cut.gain > 0 or bool(frame["force"].iloc[0])):
-            return made
-        return made.assign(side=np.where(tree_.inside(cut.node), 0, 1), start=int(nodes[cut.node]))
-
-    return scored.groupBy("cluster").applyInPandas(choose, "ord long, cluster long, side int, start long")
-
-
-def common_ancestors(pairs: DataFrame, trees: DataFrame, broadcast_zones: int = BROADCAST_ZONES) -> DataFrame:
-    """``o, d, f, meet`` of pairs ``o, d, f`` at ``x, y`` with their depths and heads.
-
-    Up to ``broadcast_zones`` rows of ``trees`` go to all tasks, which let their pairs climb heavy paths. Beyond
-    that the pairs whose paths differ climb to the next path by a join, in rounds as many as paths on the way
-    (at most the log of the tree)."""
-    rows = trees.count()
-    if rows <= broadcast_zones:
-        known = trees.select("ord", "parent", "depth", "head").toPandas().sort_values("ord")
-        ords = known["ord"].to_numpy()
-        parent, head = (np.searchsorted(ords, known[c].to_numpy()) for c in ("parent", "head"))
-        depth = known["depth"].to_numpy()
-
-        def climb_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                o, d = (np.searchsorted(ords, b[c].to_numpy()) for c in ("o", "d"))
-                yield b.assign(meet=ords[ancestors(o, d, parent, depth, head)] if len(b) else b["o"])
-
-        return pairs.select("o", "d", "f").mapInPandas(climb_all, "o long, d long, f double, meet long")
-    steps = trees.select(F.col("ord").alias("h"), F.col("parent").alias("p"), F.col("depth").alias("hd"))
-    nodes = trees.select(F.col("ord").alias("p"), F.col("depth").alias("pd"), F.col("head").alias("ph"))
-    # each path's head, with the place where one lands above it
-    up = materialize(steps.where("p >= 0").join(nodes, "p"), "up")
-    done: list[DataFrame] = []
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("popu", *extras)]]
+    nodes, flows = set_up(problem, one_task)
+    names, waiting, finals = peel(nodes.groupBy("tree").agg(*sums), limits, extras)
+    names = materialize(names, "names")
+    active = materialize(nodes.join(small(names), "tree"), "active")
+    waiting, finals = materialize(waiting, "waiting"), [finals]
+    labels: list[DataFrame] = []
+    label = ["node", "cluster"]
     while True:
-        same = pairs.where("hx = hy")
-        done.append(same.select("o", "d", "f", F.when(F.col("dx") <= F.col("dy"), F.col("x")).otherwise(F.col("y")).alias("meet")))
-        rest = pairs.where("hx <> hy")
-        heads = steps.select("h", "hd")
-        rest = rest.join(small(heads.select(F.col("h").alias("hx"), F.col("hd").alias("tx")), rows), "hx").join(small(heads.select(F.col("h").alias("hy"), F.col("hd").alias("ty")), rows), "hy")
-        left = F.col("tx") >= F.col("ty")
-        climb = rest.withColumn("h", F.when(left, F.col("hx")).otherwise(F.col("hy"))).withColumn("left", left).join(small(up, rows), "h")
-        pairs = climb.select(
-            "o", "d", "f",
-            F.when(F.col("left"), F.col("p")).otherwise(F.col("x")).alias("x"), F.when(F.col("left"), F.col("y")).otherwise(F.col("p")).alias("y"),
-            F.when(F.col("left"), F.col("pd")).otherwise(F.col("dx")).alias("dx"), F.when(F.col("left"), F.col("dy")).otherwise(F.col("pd")).alias("dy"),
-            F.when(F.col("left"), F.col("ph")).otherwise(F.col("hx")).alias("hx"), F.when(F.col("left"), F.col("hy")).otherwise(F.col("ph")).alias("hy"),
-        )
-        pairs = materialize(pairs, "climbing")
-        if pairs.isEmpty():
+        closed = _done(limits) | (F.col("n") == 1)
+        finals.append(waiting.where(closed).select("cluster", "level", "place", "sides", F.lit(0).alias("side")))
+        frontier = materialize(waiting.where(~closed).withColumn("force", _over(limits)), "frontier")
+        n_open = frontier.count()
+        open_ = small(frontier.select("cluster"), n_open)
+        labels.append(active.join(open_, "cluster", "left_anti").select(label))
+        if not n_open:
             break
-    met = done[0]
-    for more in done[1:]:
-        met = met.unionByName(more)
-    return met
+        active = materialize(active.join(open_, "cluster", "left_semi"), "active")
+        here = {e: active.select(F.col("node").alias(e), F.col("cluster").alias(f"c_{e}")) for e in ("o", "d")}
+        n_active = active.count()
+        flows = materialize(flows.join(small(here["o"], n_active), "o").join(small(here["d"], n_active), "d").where("c_o = c_d").drop("c_o", "c_d"), "within")
+        cuts = candidates(active, flows, frontier, m, limits, extras).where("good")
+        lower = F.when(F.col("root_below"), F.col("parent")).otherwise(F.col("node"))
+        best = cuts.withColumn("lower", lower).groupBy("cluster").agg(F.max_by(F.struct("gain", "tin", "tout", "root_below", "lower"), F.struct("gain", -F.col("lower"))).alias("b")).select("cluster", "b.*")
+        chosen = best.join(frontier.select("cluster", "force", "level", "place", "sides"), "cluster").where("gain > 0 or force")
+        chosen = materialize(chosen.withColumnsRenamed({"tin": "low", "tout": "high"}).drop("gain", "force"), "chosen")
+        n_chosen = chosen.count()
+        finals.append(frontier.join(small(chosen.select("cluster"), n_chosen), "cluster", "left_anti").select("cluster", "level", "place", "sides", F.lit(0).alias("side")))
+        cut = small(chosen.select("cluster", "low", "high", "root_below"), n_chosen)
+        labels.append(active.join(cut, "cluster", "left_anti").select(label))
+        # the lower part is the one without the root
+        below = (F.col("tin") >= F.col("low")) & (F.col("tin") <= F.col("high"))
+        moved = active.join(cut, "cluster").withColumn("side", (below == F.col("root_below")).cast("int")).withColumnRenamed("cluster", "was").withColumn("cluster", F.concat("was", F.col("side").cast("string")))
+        moved = materialize(moved.drop("low", "high", "root_below"), "moved")
+        parts = moved.groupBy("was", "side", "cluster").agg(*sums, F.min("node").alias("first")).join(chosen.withColumnRenamed("cluster", "was"), "was")
+        parts = materialize(parts.withColumn("again", _again(limits)), "parts")
+        finals.append(parts.where("not again").select("cluster", "level", "place", "sides", "side"))
+        root = F.when(F.col("side") == 0, F.col("lower")).otherwise(F.col("first"))
+        waiting = materialize(parts.where("again").select("cluster", root.alias("root"), "n", "popu", *extras, (F.col("level") + 1).alias("level"), "place", F.concat("sides", F.col("side").cast("string")).alias("sides")), "waiting")
+        active = moved.drop("was", "side")
+        # plans stay short, however many levels there are
+        labels, finals = ([materialize(reduce(DataFrame.unionByName, x), "settled")] for x in (labels, finals))
+    numbers = number_rows(reduce(DataFrame.unionByName, finals), ["level", "place", "sides", "side"], "number").select("cluster", "number")
+    numbers = materialize(numbers, "numbers")
+    of_node = reduce(DataFrame.unionByName, labels).join(small(numbers), "cluster").select(F.col("node").alias("ord"), F.col("number").alias("cluster"))
+    return problem.nodes.select("ord", "zone_id").join(of_node, "ord").select("zone_id", "cluster")

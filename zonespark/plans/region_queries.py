@@ -9,8 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import partial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from ..functions.keys import is_number, norm_zone_key, zone_key
 from ..operators import compact, contiguity, diffuse, features, flow_graph, forest, metrics, partition, prepare, validate
 from ..sources.tables import table
 from .config import EmbeddingConfig, PartitionConfig
-from .regionalize import Partitioner, embed_zones, partition_zones_table
+from .regionalize import Partitioner, attach, embed_zones, partition_zones_table
 from .runtime import materialize
 
 
@@ -387,8 +385,8 @@ CAPS = {"POPU": 95.0, "acctbal": 430_000.0}
 def attach_cluster(spark: SparkSession, folder: str) -> DataFrame:
     """Every customer with the block of their zone."""
     w = world(spark, folder, F2)
-    c = table(spark, folder, "customer").select("c_custkey", (F.col("c_custkey") % F2.side**2).cast("string").alias("zone_id"))
-    return c.join(_blocks(w.zones), "zone_id", "left").select("c_custkey", "cluster")
+    c = table(spark, folder, "customer").select("c_custkey", (F.col("c_custkey") % F2.side**2).alias("zone"))
+    return attach(c, "zone", _blocks(w.zones).withColumnRenamed("zone_id", "_zone")).select("c_custkey", "cluster")
 
 
 # --- forest and cuts
@@ -455,42 +453,20 @@ def first_cuts(spark: SparkSession, folder: str) -> DataFrame:
     return _first_cuts(spark, folder, F2).select("u", "v", (r6("gain") + 0.0).alias("gain"))
 
 
-def _hung(tree: DataFrame, first: str) -> DataFrame:
-    """``node, parent`` of a tree ``u, v`` hung from a zone; a task holds one tree."""
-
-    def hang(frame: pd.DataFrame) -> pd.DataFrame:
-        names, ends = np.unique(frame[["u", "v"]].to_numpy().ravel(), return_inverse=True)
-        ends = ends.reshape(-1, 2)
-        made = partition.hang(len(names), ends[:, 0], ends[:, 1], int(np.searchsorted(names, first)))
-        below = made.parent >= 0
-        return pd.DataFrame({"node": names[below], "parent": names[made.parent[below]]})
-
-    return materialize(tree.groupBy(F.lit(0).alias("all")).applyInPandas(hang, "node string, parent string"), "hung")
+def _posed(w: World, **limits) -> partition.Problem:
+    """A world as a problem of the solver, its zones embedded where they lie."""
+    return partition.pose(w.zones, w.flows, w.adj, _places(w), PartitionConfig(population_column="POPU", hospital_column="hosp", **limits))
 
 
 def _first_cuts(spark: SparkSession, folder: str, grid: Grid) -> DataFrame:
-    """Every tree edge with the sums of its lower side, by the relational form: the ancestor closure of the rooted tree."""
-    w = world(spark, folder, grid)
-    pairs = materialize(_pairs(w), "pairs")
-    tree = materialize(forest.spanning_forest(partition.costed_edges(w.adj, w.zones, _places(w))).select("u", "v"), "tree")
-    edges = _hung(tree, w.zones.agg(F.min_by("zone_id", "row_ord")).first()[0])
-    # the ancestors of each node: those within twice as many steps, until there are none further up
-    jump = edges.select("node", F.col("parent").alias("above"))
-    under = w.zones.select(F.col("zone_id").alias("node"), F.col("zone_id").alias("above"))
-    while not jump.isEmpty():
-        further = under.join(jump.withColumnRenamed("above", "up"), under["above"] == jump["node"]).select(under["node"], F.col("up").alias("above"))
-        under = materialize(under.unionByName(further), "under")
-        jump = materialize(jump.join(jump.select(F.col("node").alias("above"), F.col("above").alias("up")), "above").select("node", F.col("up").alias("above")), "jump")
-    m = metrics.total_flow(pairs)
-    stats = w.zones.join(metrics.node_flows(pairs), "zone_id", "left").na.fill(0.0, ["out", "inn", "deg"])
-    sums = under.join(stats, under["node"] == stats["zone_id"]).groupBy("above").agg(F.count(F.lit(1)).alias("n"), F.sum("POPU").alias("popu"), F.sum("hosp").alias("hosp"), F.sum("out").alias("out"), F.sum("inn").alias("inn"), F.sum("deg").alias("deg"))
-    o, d = (under.select(F.col("node").alias(e), "above") for e in ("origin", "destin"))
-    inner = pairs.join(o, "origin").join(d, ["destin", "above"]).groupBy("above").agg(F.sum("flow").alias("inner"))
-    joined = edges.withColumnRenamed("node", "above").join(sums, "above").join(inner, "above", "left").na.fill(0.0, ["inner"])
-    crossing = F.col("out") + F.col("inn") - 2 * F.col("inner")
-    total = 2.0 * m
-    gain = -crossing / F.lit(m) + F.col("deg") * (F.lit(total) - F.col("deg")) / F.lit(2 * m * m)
-    return joined.select(F.least("above", "parent").alias("u"), F.greatest("above", "parent").alias("v"), "n", "popu", "hosp", gain.alias("gain"))
+    """The solver's candidates of its first level, by the names of the edges cut."""
+    problem = _posed(world(spark, folder, grid))
+    nodes, flows = partition.set_up(problem)
+    start = spark.createDataFrame([("all", 0)], "cluster string, root long")
+    cuts = partition.candidates(nodes.withColumn("cluster", F.lit("all")), flows, start, problem.m, problem.limits, [])
+    names = [problem.nodes.select(F.col("ord").alias(e), F.col("zone_id").alias(f"{e}_zone")) for e in ("node", "parent")]
+    named = cuts.join(names[0], "node").join(names[1], "parent")
+    return named.select(F.least("node_zone", "parent_zone").alias("u"), F.greatest("node_zone", "parent_zone").alias("v"), "n", "popu", "hosp", "gain")
 
 
 _SQL_SIDES = [
@@ -506,14 +482,16 @@ _SQL_SIDES = [
 
 
 def best_cut_level1(spark: SparkSession, folder: str) -> DataFrame:
-    """The cut that the solver takes first, by the sides' numbers of zones and residents and the gain."""
-    w = world(spark, folder, F1)
-    problem = partition.pose(w.zones, w.flows, w.adj, _places(w), PartitionConfig(min_population=FIRST_MIN, max_population=1e12, min_hospitals=1, min_local_index=FIRST_LI, population_column="POPU", hospital_column="hosp"))
-    frontier = spark.createDataFrame([(0, 0, False)], "cluster long, root long, force boolean")
-    state = problem.nodes.select("ord", F.lit(0).cast("long").alias("cluster"))
-    made = partition._split(problem, state, frontier, problem.m, problem.limits, 0)
-    sides = problem.nodes.join(made, "ord")
-    return sides.where("start >= 0").groupBy("side").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("popu")).alias("popu")).select(F.when(F.col("side") == 0, "lower").otherwise("upper").alias("part"), "n", "popu")
+    """The cut that the solver takes first, by the sides' numbers of zones and residents; the part with the first zone is the upper one."""
+    problem = _posed(world(spark, folder, F1), min_population=FIRST_MIN, max_population=1e12, min_hospitals=1, min_local_index=FIRST_LI)
+    nodes, flows = partition.set_up(problem)
+    start = spark.createDataFrame([("all", 0)], "cluster string, root long")
+    cuts = partition.candidates(nodes.withColumn("cluster", F.lit("all")), flows, start, problem.m, problem.limits, [])
+    top = cuts.where("good and gain > 0").agg(F.max_by(F.struct("n", "popu"), F.struct("gain", -F.col("node"))).alias("c")).select("c.*")
+    whole = nodes.agg(F.count(F.lit(1)).alias("all_n"), F.sum("popu").alias("all_popu"))
+    sides = F.array(F.struct(F.lit("lower").alias("part"), F.col("n"), F.col("popu")), F.struct(F.lit("upper").alias("part"), (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_popu") - F.col("popu")).alias("popu")))
+    # one row each
+    return top.where("n is not null").join(F.broadcast(whole), F.lit(True)).select(F.explode(sides).alias("s")).select("s.part", "s.n", r6("s.popu").alias("popu"))
 
 
 FIRST_MIN, FIRST_LI = 5.0, 0.1
@@ -525,12 +503,36 @@ good as (select s.k, s.n, s.popu, w.n - s.n as n_t, w.popu - s.popu as popu_t, g
 top as (select * from good where gain > 0 order by gain desc limit 1)"""
 
 
+#: Limits of the partitions over the grid worlds: (least, most residents, least hospitals, least local index). Without a cut
+#: forced by the cap, and with some; the last also where the cap can't be met.
+FREE, FORCED, WHOLE = (240.0, 900.0, 1, 0.3), (60.0, 300.0, 1, 0.1), (60.0, 400.0, 1, 0.3)
+
+
+def _config(limits: tuple) -> PartitionConfig:
+    return PartitionConfig(**dict(zip(("min_population", "max_population", "min_hospitals", "min_local_index"), limits, strict=True)), population_column="POPU", hospital_column="hosp")
+
+
+def _told(part: DataFrame) -> DataFrame:
+    return part.select("ZoneID", "Community_ID", *[r6(c).alias(c) for c in ("Comm_Pop", "Comm_Hosp", "Comm_LI")])
+
+
+def apart(adj: DataFrame) -> DataFrame:
+    """The adjacency of the small grid without the steps from its third column to its fourth, and without its last zone: three pieces."""
+    f, n = F.col("focal").cast("int"), F.col("neighbor").cast("int")
+    return adj.where(~((f % 5 == 2) & (n == f + 1)) & (n != 24))
+
+
+def partition_grid(spark: SparkSession, folder: str, grid: Grid, limits: tuple, local: bool, pieces: bool = False) -> DataFrame:
+    """Clusters of a grid world whose zones are embedded where they lie, by one of the two solvers."""
+    w = world(spark, folder, grid)
+    return _told(partition_zones_table(w.zones, w.flows, apart(w.adj) if pieces else w.adj, _places(w), _config(limits), local)[0])
+
+
 def partition_full(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters of the grid world under constraints: embedding, forest, cuts."""
     w = world(spark, folder, F2)
     emb = embed_zones(w.zones, w.flows, w.adj).select(F.col("ZoneID").alias("zone_id"), F.col("Emb_X").alias("emb_x"), F.col("Emb_Y").alias("emb_y"))
-    cfg = PartitionConfig(min_population=60, max_population=400, min_hospitals=1, min_local_index=0.3, population_column="POPU", hospital_column="hosp")
-    return partition_zones_table(w.zones, w.flows, w.adj, emb, cfg)[0].select("ZoneID", "Community_ID", r6("Comm_Pop").alias("Comm_Pop"), r6("Comm_Hosp").alias("Comm_Hosp"), r6("Comm_LI").alias("Comm_LI"))
+    return _told(partition_zones_table(w.zones, w.flows, w.adj, emb, _config(WHOLE))[0])
 
 
 def partition_result(spark: SparkSession, folder: str) -> DataFrame:
@@ -540,7 +542,84 @@ def partition_result(spark: SparkSession, folder: str) -> DataFrame:
     zones = _squares(w.zones, F2).join(emb.withColumnRenamed("ZoneID", "zone_id"), "zone_id")
     made = Partitioner(zones, w.flows.toDF("Origin", "Destin", "Flow"), "zone_id", w="rook", constraints=[("POPU", "min", 60), ("POPU", "max", 400), ("hosp", "min", 1)])
     result = made.partition().result
-    return result.select(*[c if c in ("cluster", "n_zones") else r6(c).alias(c) for c in result.columns if c != "geometry"], F.size("geometry").alias("n_rings"))
+    return result.select(*[c if c in ("cluster", "n_zones") else r6(c).alias(c) for c in result.columns if c != "geometry"])
+
+
+def _sql_worklist(n: int, least: float, most: float, hospitals: float, index: float) -> str:
+    """The worklist over ``zones``, ``flows`` and the tree ``mst``: clusters are strings of bits, one for each zone in row order, and
+    each round of the recursion looks at all open clusters of a level. ``placed`` has the clusters' numbers."""
+    has = lambda bits, at="i": f"get_bit({bits}, cast({at} as integer)) = 1"
+    return f"""
+zz as materialized (select zone_id, popu, hosp, cast(row_number() over (order by row_ord) - 1 as integer) as i from zones),
+mv as materialized (select a.i as o, b.i as d, flow from flows join zz a on origin = a.zone_id join zz b on destin = b.zone_id),
+mm as (select sum(flow) as m from mv),
+tree as materialized (select k, a.i as u, b.i as v from mst join zz a on mst.u = a.zone_id join zz b on mst.v = b.zone_id),
+adjacent as (select u as a, v as b, k from tree union all select v, u, k from tree),
+far(k, node) as (select k, v from tree union select f.k, a.b from far f join adjacent a on a.a = f.node and a.k <> f.k),
+halves as materialized (select k, bitstring_agg(node, 0, {n - 1}) as s from far group by k),
+joined(first, node) as (select i, i from zz union select j.first, a.b from joined j join adjacent a on a.a = j.node),
+parts as materialized (select first, bitstring_agg(node, 0, {n - 1}) as c, count(*) as size from joined where first in (select min(first) from joined group by node) group by first),
+work(c, root, level, path, at_level, at_path, at_side, final) as (
+  select (select bitstring_agg(i, 0, {n - 1}) from zz), 0, 0, '', 0, '', 0, false
+  union all
+  select * from (
+    with here as materialized (select c, root, level, path from work where not final),
+    sums as (select path, sum(popu) as popu, count(*) as n from here join zz on {has('c')} group by path),
+    state as (select here.*, popu > {most} as force, popu <= {most} and popu < 2 * {least} or n = 1 as done from here join sums using (path)),
+    pieces as (select path, count(*) as n from state join parts p on bit_count(p.c & state.c) > 0 where not done group by path),
+    biggest as (select path, first, p.c as a from state join pieces using (path) join parts p on bit_count(p.c & state.c) > 0 where pieces.n > 1 qualify row_number() over (partition by path order by size desc, first) = 1),
+    cuts as (select path, k, u, v, state.c & s as x, state.c & ~s as y, {has('s', 'root')} as root_in_x from state join pieces using (path) join tree on {has('state.c', 'u')} and {has('state.c', 'v')} join halves using (k) where pieces.n = 1),
+    sided as (select path, k, case when root_in_x then y else x end as a, case when root_in_x then x else y end as b, case when root_in_x then u else v end as lower from cuts),
+    people as (select path, k, sum(case when {has('a')} then popu else 0 end) as pa, sum(case when {has('b')} then popu else 0 end) as pb, sum(case when {has('a')} then hosp else 0 end) as ha, sum(case when {has('b')} then hosp else 0 end) as hb from sided, zz group by path, k),
+    moved as (select path, k, flow, {has('a', 'o')} as ao, {has('a', 'd')} as ad, {has('b', 'o')} as bo, {has('b', 'd')} as bd from sided, mv),
+    flowed as (select path, k, sum(case when ao and ad then flow else 0 end) as ia, sum(case when bo and bd then flow else 0 end) as ib, sum(case when ao then flow else 0 end) as oa, sum(case when bo then flow else 0 end) as ob,
+      sum((ao::int + ad::int) * flow) as da, sum((bo::int + bd::int) * flow) as db, sum(case when (ao or bo) and (ad or bd) then flow else 0 end) as ic from moved group by path, k),
+    scored as (select path, k, a, b, lower, ia / m - power(da / (2 * m), 2) + ib / m - power(db / (2 * m), 2) - (ic / m - power((da + db) / (2 * m), 2)) as gain from sided join people using (path, k) join flowed using (path, k), mm
+      where pa >= {least} and pb >= {least} and ha >= {hospitals} and hb >= {hospitals} and case when oa > 0 then ia / oa else 0 end >= {index} and case when ob > 0 then ib / ob else 0 end >= {index}),
+    best as (select scored.* from scored join state using (path) where gain > 0 or force qualify row_number() over (partition by path order by round(gain, 12) desc, lower) = 1),
+    made as (select path, a, state.c & ~a as b, first as lower from biggest join state using (path) union all select path, a, b, lower from best),
+    child as (select path, 0 as side, a as c, lower as root from made union all select path, 1, b, bit_position(bitstring('1', 1)::bit, b) - 1 from made),
+    grown as (select child.*, sum(popu) as popu from child join zz on {has('c')} group by all)
+    select c, root, level, path, level, path, 0, true from state where path not in (select path from made)
+    union all select g.c, g.root, state.level + 1, path || g.side, state.level, path, g.side, not (g.popu > {most} or g.popu >= 2 * {least}) from grown g join state using (path))
+),
+numbered as materialized (select c, cast(row_number() over (order by at_level, at_path, at_side) - 1 as integer) as cluster from work where final),
+placed as materialized (select zone_id, cluster, popu, hosp, i from numbered join zz on {has('c')}),
+inside as (select a.cluster, sum(case when a.cluster = b.cluster then flow else 0 end) as internal, sum(flow) as outf from mv join placed a on mv.o = a.i join placed b on mv.d = b.i group by a.cluster),
+told as (select cluster, count(*) as n_zones, round(sum(popu), 6) as Comm_Pop, round(sum(hosp), 6) as Comm_Hosp, round(case when any_value(outf) > 0 then any_value(internal) / any_value(outf) else 0 end, 6) as Comm_LI,
+  round(sum(popu), 6) as POPU_sum, round(min(popu), 6) as POPU_min, round(max(popu), 6) as POPU_max, round(sum(hosp), 6) as hosp_sum, round(min(hosp), 6) as hosp_min, round(max(hosp), 6) as hosp_max from placed left join inside using (cluster) group by cluster)"""
+
+
+_SQL_TOLD = "select zone_id as ZoneID, cluster as Community_ID, Comm_Pop, Comm_Hosp, Comm_LI from placed join told using (cluster)"
+_SQL_APART = "select focal, neighbor from adj where not (cast(focal as int) % 5 = 2 and cast(neighbor as int) = cast(focal as int) + 1) and neighbor <> '24'"
+_SQL_EMB_COSTS = "costs as (select focal as u, neighbor as v, sqrt((a.f0 - b.f0) * (a.f0 - b.f0) + (a.f1 - b.f1) * (a.f1 - b.f1)) as w from adj join h5 a on focal = a.zone_id join h5 b on neighbor = b.zone_id)"
+
+
+def _sql_partition(grid: Grid, limits: tuple, pieces: bool = False) -> str:
+    costs = _SQL_COSTS.replace("from adj", f"from ({_SQL_APART}) adj") if pieces else _SQL_COSTS
+    return _with(_sql_world(grid), costs, *_SQL_MST, _sql_worklist(grid.side**2, *limits), recursive=True) + _SQL_TOLD
+
+
+def _sql_embedded(grid: Grid, limits: tuple) -> str:
+    """The worklist over the tree of the embedding."""
+    return _with(_sql_world(grid), _SQL_NODES, _SQL_EDGES, _SQL_GRAPH, _SQL_H0, _sql_hops(5), _SQL_EMB_COSTS, *_SQL_MST, _sql_worklist(grid.side**2, *limits), recursive=True)
+
+
+def _sql_shapes(of: str, side: int) -> str:
+    """``shapes`` (area, perimeter, reock, polsby_popper) of the clusters of unit squares ``of`` (cluster, x, y). The hull of
+    points of a grid lies between the least concave line above the highest point of each column and the greatest
+    convex one below the lowest."""
+    return f"""
+sq as materialized (select cluster, cast(x as integer) as x, cast(y as integer) as y from {of}),
+seg as (select cluster, x as ax, y as ay, x + 1 as bx, y as by_ from sq union all select cluster, x, y + 1, x + 1, y + 1 from sq union all select cluster, x, y, x, y + 1 from sq union all select cluster, x + 1, y, x + 1, y + 1 from sq),
+border as (select cluster, count(*) as perimeter from (select cluster, ax, ay, bx, by_ from seg group by all having count(*) = 1) group by cluster),
+columns as materialized (select cluster, x, max(y) as high, min(y) as low from (select cluster, x + i as x, y + j as y from sq, (values (0), (1)) t(i), (values (0), (1)) u(j)) group by cluster, x),
+grid_x as (select distinct cluster, range as x from columns, range({side} + 1)),
+lines as (select a.cluster, a.x as xa, b.x as xb, a.high as ha, b.high as hb, a.low as la, b.low as lb from columns a join columns b on a.cluster = b.cluster and a.x <= b.x),
+hulled as (select g.cluster, g.x, max(case when xa = xb then ha else ha + (hb - ha) * (g.x - xa) * 1.0::double / (xb - xa) end) as high, min(case when xa = xb then la else la + (lb - la) * (g.x - xa) * 1.0::double / (xb - xa) end) as low from grid_x g join lines l on l.cluster = g.cluster and g.x between xa and xb group by g.cluster, g.x),
+hull as (select a.cluster, sum((a.high - a.low + b.high - b.low) / 2.0::double) as hull_area from hulled a join hulled b on a.cluster = b.cluster and b.x = a.x + 1 group by a.cluster),
+areas as (select cluster, count(*) as area from sq group by cluster),
+shapes as (select cluster, cast(area as double) as area, cast(perimeter as double) as perimeter, round(area / hull_area, 6) as reock, round(4 * pi() * area / (perimeter * perimeter), 6) as polsby_popper from areas join border using (cluster) join hull using (cluster))"""
 
 
 def partition_written(spark: SparkSession, folder: str) -> DataFrame:
@@ -586,28 +665,32 @@ def _sql_touching(mode: str) -> str:
     return _with(_sql_world(F2)) + f"select a.zone_id as focal, b.zone_id as neighbor from zones a join zones b on a.zone_id < b.zone_id and {test}"
 
 
+def ragged(zones: DataFrame) -> DataFrame:
+    """``zone_id, cluster`` of clusters with bays and holes: blocks of the grid, of whose zones every third goes to the block above."""
+    z = F.col("zone_id").cast("int")
+    x, y = z % F2.side, F.floor(z / F2.side).cast("int")
+    rows = F.when((3 * x + 7 * y) % 5 == 0, y + BLOCK).otherwise(y)
+    return zones.select("zone_id", (F.floor(rows / BLOCK) * (F2.side // BLOCK) + F.floor(x / BLOCK)).cast("long").alias("cluster"))
+
+
+_SQL_RAGGED = f"select cast(floor((case when (3 * x + 7 * y) % 5 = 0 then y + {BLOCK} else y end) / {BLOCK}.0) * {F2.side // BLOCK} + floor(x / {BLOCK}.0) as bigint) as cluster, x, y from (select cast(row_ord % {F2.side} as integer) as x, cast(floor(row_ord / {F2.side}.0) as integer) as y from zones)"
+
+
 def compactness(spark: SparkSession, folder: str) -> DataFrame:
-    """Area, border and compactness of the blocks' dissolved squares."""
+    """Area, border and compactness of the dissolved squares of clusters with bays and holes."""
     w = world(spark, folder, F2)
-    made = compact.compactness(_squares(w.zones, F2).join(_blocks(w.zones), "zone_id"))
+    made = compact.compactness(_squares(w.zones, F2).join(ragged(w.zones), "zone_id"))
     return made.select("cluster", *[r6(c).alias(c) for c in ("area", "perimeter", "reock", "polsby_popper")])
 
 
-_SQL_COMPACT = (
-    _with(
-        _sql_world(F2), _SQL_PART,
-        f"sq as (select cluster, row_ord % {F2.side} as x, floor(row_ord / {F2.side}.0) as y from zones join part using (zone_id))",
-        "seg as (select cluster, x as ax, y as ay, x + 1 as bx, y as by_ from sq union all select cluster, x, y + 1, x + 1, y + 1 from sq union all select cluster, x, y, x, y + 1 from sq union all select cluster, x + 1, y, x + 1, y + 1 from sq)",
-        "border as (select cluster, count(*) as perimeter from (select cluster, ax, ay, bx, by_ from seg group by all having count(*) = 1) group by cluster)",
-        "areas as (select cluster, count(*) as area from sq group by cluster)",
-    )
-    + "select cluster, cast(area as double) as area, cast(perimeter as double) as perimeter, round(4 * pi() * area / (perimeter * perimeter), 6) as polsby_popper from areas join border using (cluster)"
-)
+def compact_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Area, border and roundness of the blocks of the grid."""
+    w = world(spark, folder, F2)
+    made = compact.compactness(_squares(w.zones, F2).join(_blocks(w.zones), "zone_id"))
+    return made.select("cluster", *[r6(c).alias(c) for c in ("area", "perimeter", "polsby_popper")])
 
 
-def compact_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``compactness`` without the hull, which SQL can't make."""
-    return compactness(spark, folder).select("cluster", "area", "perimeter", "polsby_popper")
+_BLOCK_SQUARES = f"(select cluster, row_ord % {F2.side} as x, floor(row_ord / {F2.side}.0) as y from zones join part using (zone_id))"
 
 
 def of_written(spark: SparkSession, folder: str, query, **given) -> DataFrame:
@@ -618,6 +701,8 @@ def of_written(spark: SparkSession, folder: str, query, **given) -> DataFrame:
 _GRAPH = _with(_sql_world(F2), _SQL_NODES, _SQL_EDGES, _SQL_GRAPH)
 _TERMS = _with(_sql_world(F2), _SQL_PART, _SQL_TERMS)
 
+PARTITIONS = [("free", F1, FREE, False), ("forced", F1, FORCED, False), ("pieces", F1, FORCED, True), ("large", F2, WHOLE, False)]
+
 QUERIES = {
     "norm_keys": norm_keys,
     "zones_first": zones_first,
@@ -652,6 +737,7 @@ QUERIES = {
     "subtree_stats": subtree_stats,
     "first_cuts": first_cuts,
     "best_cut_level1": best_cut_level1,
+    **{f"partition_{name}_{'local' if local else 'level'}": partial(partition_grid, grid=grid, limits=limits, local=local, pieces=pieces) for name, grid, limits, pieces in PARTITIONS for local in (True, False)},
     "partition_full": partition_full,
     "partition_result": partition_result,
     "partition_written": partition_written,
@@ -699,8 +785,13 @@ SQL = {
     "subtree_stats": _with(_sql_world(F1), _SQL_COSTS, *_SQL_MST, *_SQL_SIDES, recursive=True) + "select u, v, n, round(popu, 6) as popu, round(hosp, 6) as hosp from mst join sums using (k)",
     "first_cuts": _with(_sql_world(F2), _SQL_COSTS, *_SQL_MST, *_SQL_SIDES, recursive=True) + "select u, v, round(gain, 6) + 0.0::double as gain from mst join gains using (k)",
     "best_cut_level1": _with(_sql_world(F1), _SQL_COSTS, *_SQL_MST, *_SQL_SIDES, _SQL_FIRST, recursive=True) + "select 'lower' as part, n, round(popu, 6) as popu from top union all select 'upper', n_t, round(popu_t, 6) from top",
+    **{f"partition_{name}_{way}": _sql_partition(grid, limits, pieces) for name, grid, limits, pieces in PARTITIONS for way in ("local", "level")},
+    "partition_full": _sql_embedded(F2, WHOLE) + _SQL_TOLD,
+    "partition_result": _sql_embedded(F2, WHOLE) + "," + _sql_shapes(f"(select cluster, i % {F2.side} as x, floor(i / {F2.side}.0) as y from (select cluster, cast(zone_id as integer) as i from placed))", F2.side)
+    + "\nselect told.* exclude (Comm_LI, Comm_Pop, Comm_Hosp), Comm_LI, Comm_Pop, Comm_Hosp, reock, polsby_popper from told join shapes using (cluster)",
     "rook_edges": _sql_touching("rook"),
     "queen_edges": _sql_touching("queen"),
     "touching_written": TOUCHING_WRITTEN_SQL,
-    "area_perimeter": _SQL_COMPACT,
+    "area_perimeter": _with(_sql_world(F2), _SQL_PART, _sql_shapes(_BLOCK_SQUARES, F2.side)) + "select cluster, area, perimeter, polsby_popper from shapes",
+    "compactness": _with(_sql_world(F2), _sql_shapes(f"({_SQL_RAGGED})", F2.side)) + "select cluster, area, perimeter, reock, polsby_popper from shapes",
 }

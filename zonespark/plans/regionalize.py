@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import in_degrees
 from ..operators import diffuse, flow_graph, partition
 from ..operators.compact import compactness, dissolved
 from ..operators.contiguity import contiguity
@@ -122,14 +123,14 @@ class Partitioner:
 
     def __init__(
         self, coords: DataFrame, flows: DataFrame, id_column: str | None = None, emb: tuple[str, str] = ("Emb_X", "Emb_Y"), w: DataFrame | str = "queen", constraints: Sequence[Constraint] = (), min_local_index: float = 0.3,
-        population_column: str | None = None, hospital_column: str | None = None, origin: str | None = None, destin: str | None = None, flow: str | None = None, cluster_column: str = "cluster", degrees: bool = False,
+        population_column: str | None = None, hospital_column: str | None = None, origin: str | None = None, destin: str | None = None, flow: str | None = None, cluster_column: str = "cluster", degrees: bool = False, crs: str | None = None,
     ):
         constraints = list(constraints or [])
         missing = [c for c in emb if c not in coords.columns]
         if missing:
             raise KeyError(f"no column {', '.join(missing)}")
         check_constraints(constraints, coords)
-        self.coords, self.id_column, self.cluster_column, self.degrees = in_row_order(coords), id_column, cluster_column, degrees
+        self.coords, self.id_column, self.cluster_column, self.degrees = in_row_order(coords), id_column, cluster_column, degrees or (crs is not None and in_degrees(crs))
         self.zones = materialize(partition_zones(self.coords, id_column), "zones")
         self.flows = flows_of(flows, origin, destin, flow)
         check_flows(self.flows, self.zones)
@@ -147,20 +148,24 @@ class Partitioner:
         label = part.select(F.col("ZoneID").alias("zone_id"), F.col("Community_ID").alias("cluster"))
         q = total_modularity(known_flows(self.flows, self.zones), label, m)
         cluster = attach(self.coords, self.id_column, label.select(F.col("zone_id").alias("_zone"), F.col("cluster").alias(self.cluster_column)))
-        return PartitionResult(cluster, self._per_cluster(part, label), q, part)
-
-    def _per_cluster(self, part: DataFrame, label: DataFrame) -> DataFrame:
         wanted = {c for c, _, _ in self.constraints} | {self.config.population_column, self.config.hospital_column}
-        columns = sorted(c for c in wanted if c and c in self.zones.columns)
-        each = part.groupBy(F.col("Community_ID").alias("cluster")).agg(*[F.first(c).alias(c) for c in ("Comm_LI", "Comm_Pop", "Comm_Hosp")])
-        result = cluster_attributes(self.zones, label, columns).join(each, "cluster")
-        ordered = ["cluster", "n_zones", "Comm_LI", "Comm_Pop", "Comm_Hosp", *[f"{c}_{a}" for c in columns for a in ("sum", "min", "max")]]
-        nan = F.lit(float("nan"))
-        if "geometry" not in self.zones.columns:
-            return result.select(*ordered, nan.alias("reock"), nan.alias("polsby_popper")).orderBy("cluster")
-        shapes = self.zones.select("zone_id", "geometry").join(label, "zone_id")
-        measures = compactness(shapes, degrees=self.degrees).select("cluster", "reock", "polsby_popper")
-        return result.join(measures, "cluster", "left").join(dissolved(shapes), "cluster", "left").select(*ordered, F.coalesce("reock", nan).alias("reock"), F.coalesce("polsby_popper", nan).alias("polsby_popper"), "geometry").orderBy("cluster")
+        return PartitionResult(cluster, per_cluster(self.zones, part, [c for c in wanted if c], self.degrees), q, part)
+
+
+def per_cluster(zones: DataFrame, part: DataFrame, columns: Sequence[str], degrees: bool = False) -> DataFrame:
+    """One row per cluster of ``part`` (``ZoneID, Community_ID, Comm_..``), in order: number of zones, the cluster's own values,
+    sum, least and greatest of each of ``columns`` that ``zones`` has, by name, compactness, and the dissolved shape if there are shapes."""
+    columns = sorted(set(columns) & set(zones.columns))
+    label = part.select(F.col("ZoneID").alias("zone_id"), F.col("Community_ID").alias("cluster"))
+    each = part.groupBy(F.col("Community_ID").alias("cluster")).agg(*[F.first(c).alias(c) for c in ("Comm_LI", "Comm_Pop", "Comm_Hosp")])
+    result = cluster_attributes(zones, label, columns).join(each, "cluster")
+    ordered = ["cluster", "n_zones", "Comm_LI", "Comm_Pop", "Comm_Hosp", *[f"{c}_{a}" for c in columns for a in ("sum", "min", "max")]]
+    nan = F.lit(float("nan"))
+    if "geometry" not in zones.columns:
+        return result.select(*ordered, nan.alias("reock"), nan.alias("polsby_popper")).orderBy("cluster")
+    shapes = zones.select("zone_id", "geometry").join(label, "zone_id")
+    measures = compactness(shapes, degrees=degrees).select("cluster", "reock", "polsby_popper")
+    return result.join(measures, "cluster", "left").join(dissolved(shapes), "cluster", "left").select(*ordered, F.coalesce("reock", nan).alias("reock"), F.coalesce("polsby_popper", nan).alias("polsby_popper"), "geometry").orderBy("cluster")
 
 
 @dataclass(frozen=True)

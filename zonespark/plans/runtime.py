@@ -60,6 +60,17 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".parquet") -> li
     return sorted(n for n in names if n.endswith(suffix) and not n.startswith(("_", ".")))
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, from the driver into any storage that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def write_bucketed(df: DataFrame, folder: str, buckets: int, key: str) -> dict[int, list[str]]:
     """Write ``df`` into files of one bucket of ``key`` each, as Spark's own bucketed tables have them; gives the
     names of each bucket's files. The catalog forgets the table at once, its files stay."""
