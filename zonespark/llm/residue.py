@@ -382,13 +382,24 @@ AFTER_FIELD = r"(?:instead of|literally|as (?:a )?(?:placeholder|syntax)|syntax|
 MAKERS = r"(?:template|mail|page|output|log|report|print\w*|header|export|program|script|function|app|vorlage|ausgabe|seite|modèle|sortie|page|plantilla|salida|página|modelo|saída)s?"
 
 
-def _phrase(text: str) -> str:
-    """A phrase as pattern: any closing mark, and blanks that also take marks between parts."""
-    return r"\s".join(re.escape(w) for w in text.split())
+def _any(phrases: list[str]) -> str:
+    """One pattern for all phrases, the longest that fits first: what they begin with is told once, so that a text is
+    read along one branch whatever the number of phrases."""
+    root: dict = {}
+    for phrase in phrases:
+        node = root
+        for c in phrase:
+            node = node.setdefault(c, {})
+        node[""] = {}
 
+    def pattern(node: dict) -> str:
+        ways = [("\\s" if c == " " else re.escape(c)) + pattern(below) for c, below in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        told = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})"
+        return f"{told}?" if "" in node else told
 
-def _any(phrases: list[str]) -> str:
-    return "|".join(_phrase(p) for p in sorted(set(phrases), key=lambda p: (-len(p), p)))
+    return f"(?:{pattern(root)})"
 
 
 _DEMAND = rf"(?:{_any(DEMANDS)})\s(?:{_any(SCRIPTS)})(?:\s(?:{_any(ENDINGS)}))*"
@@ -396,9 +407,14 @@ _ALL_LATIN = rf"(?:{_any([*LATIN, *LATIN_BESIDE])})"
 _LATIN = rf"(?:(?:{_any(LATIN_BESIDE)})[,;]?\s)*(?:{_any(LATIN)})(?:[,;]?\s{_ALL_LATIN})*|{_ALL_LATIN}(?:[,;]?\s{_ALL_LATIN}){{3,}}"
 #: Furniture that names the board it stands on.
 POWERED = r"powered by\s[\w-]+(?:\s(?:board|forum|forums|software))?"
-_STRONG = rf"{_DEMAND}|{_any(UNSUPPORTED)}|{_any(ERRORS)}|{_any(FILLER)}|{_LATIN}"
+_STRONG = rf"{_DEMAND}|{_any([*UNSUPPORTED, *ERRORS, *FILLER])}|{_LATIN}"
 _PHRASES = re.compile(rf"(?<![\w'])(?:(?P<strong>{_STRONG})|(?:{POWERED}|{_any(FURNITURE)}))(?![\w'])")
 _FIELDS = re.compile(rf"(?=[{{%$#<&\[(X~@*_])(?:{'|'.join(FIELD_FORMS)})", re.IGNORECASE)
+#: What each form holds somewhere: a text without any of it has no field. All begin with a mark or letter of their own.
+_SIGNS = re.compile(
+    r"\{[{%$A-Za-z0-9]|%[(sA-Z]|\$[{A-Z]|#\{|<[%<]|<[A-Z][A-Z_]|<(?i:your|ihre?|votre|su|seu|sua|tu|vos) |&lt;[A-Za-z]|\[\[|\[[A-Z][A-Z]"
+    r"|\[(?i:your|ihre?|votre|su|seu|sua|insert|enter|add|hier|insérer|insertar|inserir)\s|:[ ]?(?i:tbd|tba|todo)\]|XX[A-Z]|~~[A-Z]|@@[A-Z]|\*\|[A-Z]|__[A-Z]"
+)
 #: Forms that keep their case: %NAME%, [NAME] and the like are matched again without IGNORECASE.
 _FIELDS_CASED = [re.compile(f, re.IGNORECASE if re.search(r"your|ihr|insert|hier|goes here|tbd", f) else 0) for f in FIELD_FORMS]
 #: The field is marked by a NUL while the talk around it is looked for.
@@ -413,6 +429,8 @@ _BARE = re.compile(r"[;{]\s*$|^\s*[}\])]+;?\s*$|^\s*(?:def|class|from|import|for
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
+_BULLETS = re.compile(r"(?m)^\s*(?:[-*•+#>=_]+\s+)+")
+_BLANKS, _DIGITS = re.compile(r"[\s|]{2,}|[^\S ]|\|"), re.compile(r"\d+")
 _UNITS = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Evidence for a line of page furniture: threads of a host it recurs in, and the share of page-like posts or of threads on another subject.
 MIN_POSTS, MIN_SHARE = 5, 0.9
@@ -441,12 +459,17 @@ def _carried(line: str) -> bool:
     return len(re.findall(r"[^\W\d_]{2,}", plain)) >= 2 and not re.search(r"[=;{}<>_\"]|\(\S*\)|--", plain)
 
 
+def _may_hold(text: str) -> bool:
+    """Whether a text has a sign that any field has."""
+    return _SIGNS.search(text) is not None or "goes here" in text.lower()
+
+
 def unfilled_fields(text: str) -> list[str]:
     """The unfilled template fields of a text's own prose."""
-    if all(m[0].lower() in NO_FIELDS for m in _FIELDS.finditer(text)):
+    if not _may_hold(text) or all(m[0].lower() in NO_FIELDS for m in _FIELDS.finditer(text)):
         return []
     found = []
-    for sentence in _SENTENCE.split(own_prose(text)):
+    for sentence in filter(_may_hold, _SENTENCE.split(own_prose(text))):
         for form in _FIELDS_CASED:
             for m in form.finditer(sentence):
                 if m[0].lower() not in NO_FIELDS and not _TALK.search(f"{sentence[: m.start()]}\0{sentence[m.end() :]}"):
@@ -456,14 +479,19 @@ def unfilled_fields(text: str) -> list[str]:
 
 def normalized(text: str) -> str:
     """A body as its words say it: tags, entities, case, blanks and bullets evened out, numbers as 9. Lines stay apart."""
-    text = html.unescape(_TAGS.sub("\n", text))
-    text = re.sub(r"(?m)^\s*(?:[-*•+#>=_]+\s+)+", "", text)
-    text = re.sub(r"[\s|]+", lambda m: "\n" if "\n" in m[0] else " ", text.replace("’", "'").replace("…", "...")).strip().lower()
-    return re.sub(r"\d+", "9", text)
+    if "<" in text:
+        text = _TAGS.sub("\n", text)
+    if "&" in text:
+        text = html.unescape(text)
+    text = _BULLETS.sub("", text.replace("’", "'").replace("…", "..."))
+    return _DIGITS.sub("9", _BLANKS.sub(lambda m: "\n" if "\n" in m[0] else " ", text).strip().lower())
 
 
 def is_mash(text: str) -> bool:
     """Whether a whole body is one mark or word over and over, or keys of the keyboard's middle row in a row."""
+    begins = text[:64].lower().split()
+    if len(begins) > 2 and begins[0] != begins[1] and set(begins[0]) - set(MIDDLE_ROW) and len(set(begins[0] + begins[1])) > 1:
+        return False
     words = text.lower().split()
     joined = "".join(words)
     if len(joined) < 6:
