@@ -58,4 +58,4 @@ def percentiles(parts: DataFrame, ranks: Sequence[float] = RANKS) -> DataFrame:
     """The sketches' percentiles in place of the sketch, one column each."""
     values = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(float(r)) for r in ranks]))
     found = parts.withColumn("_values", values)
-    return found.select(*[F.col(f"`{c}`") for c in parts.columns if c != "sketch"], *[F.col("_values")[i].alias(name_of(r)) for i, r in enumerate(ranks)])
+    return found.select(*[F.col(f"`{c}`") for c in parts.columns if c != "sketch"], *[(F.col("_values")[i] + F.lit(0.0)).alias(name_of(r)) for i, r in enumerate(ranks)])

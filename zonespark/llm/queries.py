@@ -39,6 +39,24 @@ def p1_day_unions(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("rank_error", F.when(F.col("n_values") > quantiles.K, quantiles.rank_error()).otherwise(0.0))
 
 
+def p1_outside(spark: SparkSession, folder: str) -> DataFrame:
+    """For each percentile the groups of ``p1_percentiles`` whose answer is off by more than the stated error (or one
+    value, whatever is more), by the exact ranks of all values: none, or one in a hundred of the groups above K values at most."""
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    flows = _flows(spark, folder).where("destin is not null and flow is not null and not isnan(flow)").select("destin", "service", month, "flow")
+    keys = ["destin", "service", "month"]
+    # values that repeat are counted before they meet their group's answers
+    values = flows.groupBy(*keys, "flow").agg(F.count(F.lit(1)).alias("c"))
+    found = materialize(p1_percentiles(spark, folder), "percentiles")
+    same = [values[k].eqNullSafe(found[k]) for k in keys]
+    names = {r: quantiles.name_of(r) for r in quantiles.RANKS}
+    ranks = [F.sum(F.when(test(F.col(n)), F.col("c")).otherwise(0)).alias(f"{side}_{n}") for n in names.values() for side, test in (("below", lambda v: F.col("flow") < v), ("upto", lambda v: F.col("flow") <= v))]
+    met = values.join(found, same).groupBy(*[found[k] for k in keys]).agg(F.max("n_values").alias("n"), F.max("rank_error").alias("e"), *ranks)
+    off = F.greatest(F.col("e"), 1 / F.col("n"))
+    outside = [F.struct(F.lit(r).alias("share"), ((F.col(f"below_{n}") / F.col("n") - off > r) | (F.col(f"upto_{n}") / F.col("n") + off < r)).cast("bigint").alias("out")) for r, n in names.items()]
+    return met.select(F.explode(F.array(*outside)).alias("o")).groupBy("o.share").agg(F.sum("o.out").alias("n_outside"))
+
+
 # --- p3: duplicates hidden by formatting differences
 
 
@@ -143,6 +161,7 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_day_unions": p1_day_unions,
+    "p1_outside": p1_outside,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
     "p7_packing": p7_packing,

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -506,7 +507,7 @@ def page_parts(text: str) -> tuple[bool, list[str]]:
     body = normalized(text)
     strong, left, at = False, [], 0
     for m in chain(_PHRASES.finditer(body), [None]):
-        part = _EDGES.sub("", body[at : m.start()] if m else body[at:])
+        part = _trimmed(body[at : m.start()] if m else body[at:])
         if part:
             left.append(part)
         if m:
@@ -518,10 +519,20 @@ def page_parts(text: str) -> tuple[bool, list[str]]:
 def page_units(text: str) -> tuple[bool, list[str]]:
     """Whether a body has a strong phrase of a page, and the lines and sentences left when all phrases are taken out, once each."""
     strong, left = page_parts(text)
-    return strong, list(dict.fromkeys(u for part in left for u in (_EDGES.sub("", x) for x in _UNITS.split(part)) if u))
+    return strong, list(dict.fromkeys(u for part in left for u in map(_trimmed, _UNITS.split(part)) if u))
 
 
-_SCHEMA = "doc_id bigint, n_fields int, strong boolean, code boolean, left array<string>"
+def _trimmed(text: str) -> str:
+    """A text without marks around it."""
+    return text if text and text[0].isalnum() and text[-1].isalnum() else _EDGES.sub("", text)
+
+
+def unit_number(unit: str) -> int:
+    """The number under which a line is counted."""
+    return xxhash.xxh3_64_intdigest(unit) - (1 << 63)
+
+
+_SCHEMA = "doc_id bigint, n_fields int, strong boolean, code boolean, units array<bigint>"
 
 
 def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,9 +543,16 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fields.append(len(unfilled_fields(text)))
             strong.append(s)
             code.append(bool(_CODE_BLOCKS.search(text) or _INLINE.search(text)))
-            left.append(own)
-        columns = [batch.column(0), pa.array(fields, pa.int32()), pa.array(strong, pa.bool_()), pa.array(code, pa.bool_()), pa.array(left, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_fields", "strong", "code", "left"])
+            left.append([unit_number(u) for u in own])
+        columns = [batch.column(0), pa.array(fields, pa.int32()), pa.array(strong, pa.bool_()), pa.array(code, pa.bool_()), pa.array(left, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_fields", "strong", "code", "units"])
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``unit, text`` of the lines of texts."""
+    for batch in batches:
+        units = [u for text in batch.column(0).to_pylist() for u in page_units(text)[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([unit_number(u) for u in units], pa.int64()), pa.array(units, pa.string())], ["unit", "text"])
 
 
 def residue(docs: DataFrame, min_posts: int = MIN_POSTS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -549,19 +567,19 @@ def residue(docs: DataFrame, min_posts: int = MIN_POSTS, min_share: float = MIN_
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("thread_id").cast("bigint").alias("thread_id"), "title", "source", lang.alias("lang"), "text")
     texts = docs.select("doc_id", "text").where("text is not null")
     # the units of all posts are made here once, so that a line of a page is the same line wherever it stands
-    seen = materialize(texts.mapInArrow(_examine, _SCHEMA).where("n_fields > 0 or strong or size(left) > 0").withColumn("units", F.transform("left", lambda x: F.xxhash64(x))), "residue")
+    seen = materialize(texts.mapInArrow(_examine, _SCHEMA).where("n_fields > 0 or strong or size(units) > 0"), "residue")
     fields = seen.where("n_fields > 0").select("doc_id", F.lit("field").alias("reason"))
-    pages = seen.where("n_fields = 0 and strong and size(left) = 0").select("doc_id", F.lit("page").alias("reason"))
+    pages = seen.where("n_fields = 0 and strong and size(units) = 0").select("doc_id", F.lit("page").alias("reason"))
     flagged = fields.unionByName(pages)
 
     each = seen.select("doc_id", F.explode("units").alias("unit"))
     recurring = each.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_posts)
     hosted = docs.where("source is not null").select("doc_id", "thread_id", "source", "lang")
     placed = materialize(each.join(recurring, "unit", "left_semi").join(hosted, "doc_id"), "placed")
-    furniture = materialize(host_furniture(placed, hosted, seen, docs, min_posts, min_share), "furniture")
+    furniture = materialize(host_furniture(placed, hosted, docs, min_posts, min_share), "furniture")
     if furniture.isEmpty():
         return flagged
-    open_posts = seen.where("n_fields = 0 and not code and size(left) > 0").select("doc_id", "strong", F.size("left").alias("n_left"))
+    open_posts = seen.where("n_fields = 0 and not code and size(units) > 0").select("doc_id", "strong", F.size("units").alias("n_left"))
     known = placed.join(furniture, ["unit", "source"], "left_semi")
     page_like = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_known")).join(open_posts, "doc_id").where("n_known = n_left").select("doc_id", "strong")
     lines = known.join(page_like, "doc_id", "left").groupBy("unit", "source").agg(F.count("strong").alias("paged"), F.count(F.lit(1)).alias("posts")).where(F.col("paged") >= min_share * F.col("posts"))
@@ -570,7 +588,7 @@ def residue(docs: DataFrame, min_posts: int = MIN_POSTS, min_share: float = MIN_
     return flagged.unionByName(found.select("doc_id", F.lit("evidence").alias("reason")))
 
 
-def host_furniture(placed: DataFrame, hosted: DataFrame, seen: DataFrame, docs: DataFrame, min_posts: int, min_share: float) -> DataFrame:
+def host_furniture(placed: DataFrame, hosted: DataFrame, docs: DataFrame, min_posts: int, min_share: float) -> DataFrame:
     """``unit, source`` of the lines that are furniture of a host.
 
     ``placed`` has the posts of recurring units (``unit, doc_id, thread_id, source, lang``). A unit is furniture of
@@ -597,7 +615,12 @@ def host_furniture(placed: DataFrame, hosted: DataFrame, seen: DataFrame, docs:
     own = hosts.join(everywhere, "unit").join(expected, ["unit", "source"]).where((q * (1 - p) >= MIN_ODDS * (1 - q) * p) & (p < 1) & (F.col("n") * (q * F.log(q / p) + rest) >= need))
     own = materialize(own.select("unit", "source", "here"), "own")
 
-    words = seen.select(F.explode("left").alias("text")).withColumn("unit", F.xxhash64("text")).join(own.select("unit").distinct(), "unit", "left_semi")
+    if own.isEmpty():
+        return own.select("unit", "source")
+    # what the lines say is read again, of the posts that have them
+    chosen = own.select("unit").distinct()
+    holders = placed.join(chosen, "unit", "left_semi").select("doc_id").distinct()
+    words = docs.where("text is not null").join(holders, "doc_id", "left_semi").select("text").mapInArrow(_spelled, "unit bigint, text string").join(chosen, "unit", "left_semi")
     words = words.groupBy("unit").agg(F.first("text").alias("text")).select("unit", F.array_distinct(_terms(F.col("text"))).alias("words"))
     titles = docs.where("title is not null and doc_id = thread_id").select("thread_id", F.array_distinct(_terms(F.col("title"))).alias("title_words"))
     shared = (

@@ -16,3 +16,19 @@ P3_SQL = _P3 + "select tbl, first_id as row_a, row_id as row_b from g where row_
 P3_COUNTS_SQL = _P3 + "select tbl, first_id as row_id, count(*) as n_copies from g group by tbl, first_id"
 
 SQL = {"p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL}
+
+
+def _percentiles(of: str, keys: str) -> str:
+    """Exact percentiles of ``v`` per ``keys``, as sketches give them of groups that they hold whole: the least value that a share of all doesn't exceed."""
+    picked = ", ".join(f"s[greatest(1, cast(ceil(round({r} * len(s), 7)) as integer))] as p{int(r * 100):02d}" for r in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
+    return f"select {keys}, len(s) as n_values, {picked}, 0.0::double as rank_error from (select {keys}, list_sort(list(v)) as s from {of} group by {keys})"
+
+
+_P1 = f"""
+with f as (select {_KEY.format('Destin')} as destin, Service as service, FlowDate as day, strftime(FlowDate, '%Y-%m') as month, Flow + 0.0 as v from df_flow where Flow is not null and not isnan(Flow)),
+named as (select * from f where destin is not null),
+unions as (select destin, service, unnest([year(day) || 'Q' || quarter(day), strftime(day, '%a')]) as days, v from named where day is not null)
+"""
+SQL["p1_percentiles"] = _P1 + _percentiles("named", "destin, service, month")
+SQL["p1_day_unions"] = _P1 + _percentiles("unions", "destin, service, days")
+SQL["p1_outside"] = "select * from (values " + ", ".join(f"({r}::double, 0::bigint)" for r in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + ") t(share, n_outside)"
