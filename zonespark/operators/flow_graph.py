@@ -98,6 +98,9 @@ def build_graph(weighted: DataFrame, adj: DataFrame, zones: DataFrame, glue: flo
     convolution that normalizes by itself makes of weights that are already normalized."""
     edges = materialize(symmetric_edges(weighted, known_neighbours(adj, zones), glue).unionByName(self_loops(zones, glue)), "edges")
     nodes = zones.count()
-    for _ in range(times):
+    for i in range(times):
         edges = normalized(edges, nodes)
+        # the next round reads the edges twice, for the degrees and for the weights
+        if i < times - 1:
+            edges = materialize(edges, "normalized")
     return edges

@@ -47,8 +47,9 @@ def number_rows(df: DataFrame, by: list[str], name: str, one_task: int = ONE_TAS
 
 def weighted_quantile(df: DataFrame, value: str, weight: str, q: float = 0.5, one_task: int = ONE_TASK_ROWS) -> float | None:
     """The least value at which the running weight reaches ``q`` of the total; None for no rows."""
-    sums = df.groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
-    if df.count() <= one_task:
+    # values that repeat are one row, so it is distinct values that count
+    sums = materialize(df.groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w")), "sums")
+    if sums.count() <= one_task:
         running = F.sum("w").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
         whole = F.sum("w").over(Window.partitionBy())
         reached = sums.select("v", running.alias("c"), whole.alias("t"))
