@@ -131,6 +131,24 @@ def test_pages_without_any_listed_phrase(spark):
     assert {r["doc_id"]: r["reason"] for r in residue.residue(docs).collect()} == {i: "evidence" for i in range(30)}
 
 
+def test_lines_of_questions_and_answers_alike(spark):
+    gone, rest = "The shelf you asked for is closed.", "Come back at noon\n\nArchive of the rook"
+    made = [(i, i, f"Merge rows by column {i}", "mirror", gone if i % 2 else f"{gone}\n{rest}") for i in range(1, 5)]
+    made += [(10 + i, 2000 + i, None, "board", rest if i % 2 else gone) for i in range(6)]
+    # poor answers, and sentences that questions share, stand in one kind alone; a greeting and thanks in both
+    made += [(100 + i, 3000 + i, None, "board", "See the other answer.") for i in range(9)]
+    made += [(200 + i, 200 + i, f"Keys clash in case {i}", "board", f"Hi all\n\nWhy do the keys of my table clash?\n\nIt is case {'abcdefghi'[i]} of many.\n\nThanks") for i in range(9)]
+    made += [(300 + i, 200 + i, None, "board", "Thanks") for i in range(9)]
+    # a short question about its title, and the answer that repeats it
+    made += [(400 + i, 400 + i, "Why is the shelf empty?", "board", "The shelf is empty.") for i in range(4)] + [(450 + i, 400 + i, None, "board", "The shelf is empty.") for i in range(4)]
+    # the page shown as code
+    made += [(500, 500, "What is this", "board", f"`{gone}`\n\n{gone}"), (501, None, None, None, ""), (502, None, None, None, None)]
+    docs = spark.createDataFrame(made, "doc_id long, thread_id long, title string, source string, text string").withColumn("unit", F.lit("clash"))
+    found = {r["doc_id"]: r["reason"] for r in residue.residue(docs).collect()}
+    assert found == {i: "evidence" for i in [*range(1, 5), *range(10, 16)]}
+    assert residue.residue(docs.where("false")).count() == 0
+
+
 UNTALKED = [
     "Hi {{ first_name }},\nplease use the new form instead of the old one.", "Dear [Your Name], use the second column instead of the first.", "Hallo [HIER NAMEN EINFÜGEN], nimm die zweite Spalte statt der ersten.",
     "Bonjour {{ nom }}, prenez la clé au lieu de la date.", "Hi {{ name }}, the syntax of the file is plain.", "Thanks %CUSTOMER%, escape the comma and it works.", "Dear {{ name }}, the old driver was replaced by a new one.",

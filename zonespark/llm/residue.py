@@ -10,8 +10,9 @@ Two kinds of evidence flag a post:
   numbers) and all known phrases are taken out; nothing may be left over, and at least one of
   the phrases must be more than furniture.
 
-Pages that carry phrases not in the lists are caught by combined evidence over the whole table:
-what is left of a body is cut into lines, and a left-over line counts as furniture of a host
+Pages that carry phrases not in the lists are caught by combined evidence over the whole table. What
+is left of a body is cut into lines. Lines that make up whole questions, off the subject of their
+titles, as well as whole answers are a page's: see ``asked_and_answered``. And by host: and a line counts as furniture of a host
 (``source``) if it recurs in several threads of the host, far oftener than on other hosts among posts
 of the same language (answers of a few words recur everywhere alike), and its words are not the
 subject of those threads' titles. A body whose left-over lines are all of that kind is page-like. It is
@@ -439,6 +440,10 @@ MIN_POSTS, MIN_SHARE = 5, 0.9
 MIN_ODDS, MAX_CHANCE = 20, 1000
 #: A word links a line to a subject if it is this many times commoner in the titles of the line's threads than in other titles.
 MIN_LIFT = 3
+#: Questions, and threads with answers, in which a line of a page recurs at least; the share of its questions that are nothing but such lines.
+MIN_EACH, MIN_WHOLE = 2, 0.2
+#: Lines (of 16 bytes) that are broadcast at most.
+BROADCAST_LINES = 2_000_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -532,20 +537,28 @@ def unit_number(unit: str) -> int:
     return xxhash.xxh3_64_intdigest(unit) - (1 << 63)
 
 
-_SCHEMA = "doc_id bigint, n_fields int, strong boolean, code boolean, units array<bigint>"
+_SCHEMA = "doc_id bigint, thread_id bigint, n_fields int, strong boolean, shown boolean, on_title boolean, units array<bigint>"
+_TERMS = re.compile(r"[^\W\d_]{4,}")
+
+
+def _takes_up(title: str | None, text: str) -> bool:
+    """Whether a text has a word of its title."""
+    words = set(_TERMS.findall(title.lower())) if title else set()
+    return bool(words) and not words.isdisjoint(_TERMS.findall(text.lower()))
 
 
 def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fields, strong, code, left = [], [], [], []
-        for text in batch.column(1).to_pylist():
+        fields, strong, shown, on_title, left = [], [], [], [], []
+        for text, title in zip(batch.column("text").to_pylist(), batch.column("title").to_pylist(), strict=True):
             s, own = page_units(text)
             fields.append(len(unfilled_fields(text)))
             strong.append(s)
-            code.append(bool(_CODE_BLOCKS.search(text) or _INLINE.search(text)))
+            shown.append(bool(_CODE_BLOCKS.search(text) or _INLINE.search(text) or _QUOTED.search(text)))
+            on_title.append(_takes_up(title, text))
             left.append([unit_number(u) for u in own])
-        columns = [batch.column(0), pa.array(fields, pa.int32()), pa.array(strong, pa.bool_()), pa.array(code, pa.bool_()), pa.array(left, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_fields", "strong", "code", "units"])
+        made = [pa.array(fields, pa.int32()), pa.array(strong, pa.bool_()), pa.array(shown, pa.bool_()), pa.array(on_title, pa.bool_()), pa.array(left, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("thread_id"), *made], ["doc_id", "thread_id", "n_fields", "strong", "shown", "on_title", "units"])
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -565,13 +578,16 @@ def residue(docs: DataFrame, min_posts: int = MIN_POSTS, min_share: float = MIN_
     """
     lang = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("thread_id").cast("bigint").alias("thread_id"), "title", "source", lang.alias("lang"), "text")
-    texts = docs.select("doc_id", "text").where("text is not null")
+    texts = docs.select("doc_id", "thread_id", "title", "text").where("text is not null")
     # the units of all posts are made here once, so that a line of a page is the same line wherever it stands
     seen = materialize(texts.mapInArrow(_examine, _SCHEMA).where("n_fields > 0 or strong or size(units) > 0"), "residue")
     fields = seen.where("n_fields > 0").select("doc_id", F.lit("field").alias("reason"))
     pages = seen.where("n_fields = 0 and strong and size(units) = 0").select("doc_id", F.lit("page").alias("reason"))
     flagged = fields.unionByName(pages)
 
+    alike = asked_and_answered(seen.where("n_fields = 0"))
+    flagged = flagged.unionByName(alike.select("doc_id", F.lit("evidence").alias("reason")))
+
     each = seen.select("doc_id", F.explode("units").alias("unit"))
     recurring = each.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_posts)
     hosted = docs.where("source is not null").select("doc_id", "thread_id", "source", "lang")
@@ -579,7 +595,7 @@ def residue(docs: DataFrame, min_posts: int = MIN_POSTS, min_share: float = MIN_
     furniture = materialize(host_furniture(placed, hosted, docs, min_posts, min_share), "furniture")
     if furniture.isEmpty():
         return flagged
-    open_posts = seen.where("n_fields = 0 and not code and size(units) > 0").select("doc_id", "strong", F.size("units").alias("n_left"))
+    open_posts = seen.where("n_fields = 0 and not shown and size(units) > 0").join(alike, "doc_id", "left_anti").select("doc_id", "strong", F.size("units").alias("n_left"))
     known = placed.join(furniture, ["unit", "source"], "left_semi")
     page_like = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_known")).join(open_posts, "doc_id").where("n_known = n_left").select("doc_id", "strong")
     lines = known.join(page_like, "doc_id", "left").groupBy("unit", "source").agg(F.count("strong").alias("paged"), F.count(F.lit(1)).alias("posts")).where(F.col("paged") >= min_share * F.col("posts"))
@@ -588,6 +604,33 @@ def residue(docs: DataFrame, min_posts: int = MIN_POSTS, min_share: float = MIN_
     return flagged.unionByName(found.select("doc_id", F.lit("evidence").alias("reason")))
 
 
+def asked_and_answered(seen: DataFrame, min_threads: int = MIN_EACH, min_whole: float = MIN_WHOLE) -> DataFrame:
+    """``doc_id`` of the bodies that are nothing but lines which stand for questions and for answers alike.
+
+    A question's lines recur in other questions, and a poor answer's in other answers; what is sent in place of a
+    post stands under any title and in either. A line is such if it recurs in ``min_threads`` questions and in answers
+    of ``min_threads`` threads, and if at least ``min_threads`` of the questions and a share ``min_whole`` of them are nothing
+    but such lines, show none of it as code or quoted, and take up no word of their titles. That is found by taking away
+    lines that fail, and bodies that have one, until nothing changes."""
+    each = seen.where("size(units) > 0").select("doc_id", "thread_id", (F.col("doc_id") == F.col("thread_id")).alias("asked"), F.col("shown"), (~F.col("shown") & ~F.col("on_title")).alias("fine"), F.size("units").alias("n"), F.explode("units").alias("unit"))
+    threads = each.select("unit", "thread_id", F.coalesce("asked", F.lit(False)).cast("int").alias("asked")).distinct().groupBy("unit").agg(F.sum("asked").alias("questions"), F.sum(1 - F.col("asked")).alias("answers"))
+    known = materialize(threads.where((F.col("questions") >= min_threads) & (F.col("answers") >= min_threads)).select("unit", "questions"), "known")
+    known = F.broadcast(known) if known.count() <= BROADCAST_LINES else known
+    # a row for each body that is all of such lines, with its own lines
+    bodies = each.join(known, "unit").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("asked").alias("asked"), F.first("shown").alias("shown"), F.first("fine").alias("fine"), F.collect_list(F.struct("unit", "questions")).alias("lines"))
+    bodies = materialize(bodies.where(F.size("lines") == F.col("n")), "bodies")
+    left = bodies.count()
+    while left:
+        lines = bodies.select("doc_id", (F.col("asked") & F.col("fine")).cast("int").alias("whole"), F.explode("lines").alias("l")).select("doc_id", "whole", "l.*")
+        good = lines.groupBy("unit", "questions").agg(F.sum("whole").alias("whole")).where((F.col("whole") >= min_threads) & (F.col("whole") >= min_whole * F.col("questions"))).select("unit")
+        kept = lines.join(good, "unit").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
+        bodies = materialize(bodies.join(kept, "doc_id").where("k = n").drop("k"), "bodies")
+        before, left = left, bodies.count()
+        if left == before:
+            break
+    return bodies.where("not shown").select("doc_id")
+
+
 def host_furniture(placed: DataFrame, hosted: DataFrame, docs: DataFrame, min_posts: int, min_share: float) -> DataFrame:
     """``unit, source`` of the lines that are furniture of a host.
 
