@@ -36,12 +36,12 @@ def test_not_unfilled(text):
 
 @pytest.mark.parametrize("text", PAGES)
 def test_page(text):
-    assert residue.page_parts(text) == (True, [])
+    assert residue.page_units(text) == (True, [])
 
 
 @pytest.mark.parametrize("text", NO_PAGES)
 def test_no_page(text):
-    strong, left = residue.page_parts(text)
+    strong, left = residue.page_units(text)
     assert not strong or left
 
 
@@ -66,9 +66,9 @@ def test_residue(spark):
 
 def test_long_texts():
     filler = "Lorem ipsum dolor sit amet. " * 20_000
-    assert residue.page_parts(filler) == (True, []) and not residue.unfilled_fields(filler)
+    assert residue.page_units(filler) == (True, []) and not residue.unfilled_fields(filler)
     real = "The second column is sorted by key and then by date. " * 20_000
-    assert residue.page_parts(real)[0] is False
+    assert residue.page_units(real)[0] is False
     assert residue.unfilled_fields(real + "Kind regards, [Your Name]") == ["[Your Name]"]
 
 
@@ -78,10 +78,10 @@ pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui offi
 
 
 def test_whole_standard_filler():
-    assert residue.page_parts(LATIN) == (True, [])
-    assert residue.page_parts("Vivamus sagittis lacus vel augue laoreet rutrum faucibus.") == (True, [])
+    assert residue.page_units(LATIN) == (True, [])
+    assert residue.page_units("Vivamus sagittis lacus vel augue laoreet rutrum faucibus.") == (True, [])
     for text in ("Non.", "Integer.", "In, do.", "Est-ce que non?"):
-        assert residue.page_parts(text)[1]
+        assert residue.page_units(text)[1]
 
 
 def test_pages_in_a_long_shell(spark):

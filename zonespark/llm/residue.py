@@ -411,6 +411,9 @@ _LATIN = rf"(?:(?:{_any(LATIN_BESIDE)})[,;]?\s)*(?:{_any(LATIN)})(?:[,;]?\s{_ALL
 POWERED = r"powered by\s[\w-]+(?:\s(?:board|forum|forums|software))?"
 _STRONG = rf"{_DEMAND}|{_any([*UNSUPPORTED, *ERRORS, *FILLER])}|{_LATIN}"
 _PHRASES = re.compile(rf"(?<![\w'])(?:(?P<strong>{_STRONG})|(?:{POWERED}|{_any(FURNITURE)}))(?![\w'])")
+_WORDS = re.compile(r"[^\W_]+")
+#: The words that phrases are made of.
+VOCABULARY = frozenset(w for phrases in (FURNITURE, ERRORS, FILLER, LATIN, LATIN_BESIDE, DEMANDS, SCRIPTS, ENDINGS, UNSUPPORTED, ["powered by board forum forums software"]) for phrase in phrases for w in _WORDS.findall(phrase))
 _FIELDS = re.compile(rf"(?=[{{%$#<&\[(X~@*_])(?:{'|'.join(FIELD_FORMS)})", re.IGNORECASE)
 #: What each form holds somewhere: a text without any of it has no field. All begin with a mark or letter of their own.
 _SIGNS = re.compile(
@@ -505,14 +508,16 @@ def is_mash(text: str) -> bool:
     return len(set(joined)) == 1 or (len(words) >= 4 and len(set(words)) == 1) or (len(words) >= 2 and not set(joined) - set(MIDDLE_ROW))
 
 
-def page_parts(text: str) -> tuple[bool, list[str]]:
-    """Whether a body has a strong phrase of a page, and what is left when all phrases are taken out, as parts."""
-    if is_mash(text):
-        return True, []
-    body = normalized(text)
+def unit_parts(unit: str) -> tuple[bool, list[str]]:
+    """Whether a line or sentence has a strong phrase of a page, and what is left of it when all phrases are taken out.
+
+    Where less than half of the words are words of phrases it is left as it is: no page, and soon told."""
+    words = _WORDS.findall(unit)
+    if 2 * sum(map(VOCABULARY.__contains__, words)) < len(words):
+        return False, [unit]
     strong, left, at = False, [], 0
-    for m in chain(_PHRASES.finditer(body), [None]):
-        part = _trimmed(body[at : m.start()] if m else body[at:])
+    for m in chain(_PHRASES.finditer(unit), [None]):
+        part = _trimmed(unit[at : m.start()] if m else unit[at:])
         if part:
             left.append(part)
         if m:
@@ -522,9 +527,15 @@ def page_parts(text: str) -> tuple[bool, list[str]]:
 
 
 def page_units(text: str) -> tuple[bool, list[str]]:
-    """Whether a body has a strong phrase of a page, and the lines and sentences left when all phrases are taken out, once each."""
-    strong, left = page_parts(text)
-    return strong, list(dict.fromkeys(u for part in left for u in map(_trimmed, _UNITS.split(part)) if u))
+    """Whether a body has a strong phrase of a page, and what is left of its lines and sentences when all phrases are taken out, once each."""
+    if is_mash(text):
+        return True, []
+    strong, left = False, {}
+    for unit in _UNITS.split(normalized(text)):
+        s, own = unit_parts(unit)
+        strong |= s
+        left.update(dict.fromkeys(u for u in map(_trimmed, own) if u))
+    return strong, list(left)
 
 
 def _trimmed(text: str) -> str:
@@ -585,13 +596,17 @@ def residue(docs: DataFrame, min_posts: int = MIN_POSTS, min_share: float = MIN_
     pages = seen.where("n_fields = 0 and strong and size(units) = 0").select("doc_id", F.lit("page").alias("reason"))
     flagged = fields.unionByName(pages)
 
-    alike = asked_and_answered(seen.where("n_fields = 0"))
+    each = seen.where("size(units) > 0").select("doc_id", "thread_id", F.coalesce(F.col("doc_id") == F.col("thread_id"), F.lit(False)).alias("asked"), F.explode("units").alias("unit"))
+    # the lines of all posts are counted once, by threads; what recurs in fewer than any evidence asks for is left out
+    threads = each.select("unit", "thread_id", F.col("asked").cast("int").alias("asked")).distinct().groupBy("unit").agg(F.sum("asked").alias("questions"), F.sum(1 - F.col("asked")).alias("answers"))
+    threads = materialize(threads.where(F.col("questions") + F.col("answers") >= min(min_posts, 2 * MIN_EACH)), "lines")
+    few = threads.count() <= BROADCAST_LINES
+    each = materialize(each.join(F.broadcast(threads) if few else threads, "unit"), "recurring")
+    alike = materialize(asked_and_answered(seen.where("n_fields = 0"), each), "alike")
     flagged = flagged.unionByName(alike.select("doc_id", F.lit("evidence").alias("reason")))
 
-    each = seen.select("doc_id", F.explode("units").alias("unit"))
-    recurring = each.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_posts)
     hosted = docs.where("source is not null").select("doc_id", "thread_id", "source", "lang")
-    placed = materialize(each.join(recurring, "unit", "left_semi").join(hosted, "doc_id"), "placed")
+    placed = materialize(each.where(F.col("questions") + F.col("answers") >= min_posts).select("unit", "doc_id").join(hosted, "doc_id"), "placed")
     furniture = materialize(host_furniture(placed, hosted, docs, min_posts, min_share), "furniture")
     if furniture.isEmpty():
         return flagged
@@ -604,21 +619,21 @@ def residue(docs: DataFrame, min_posts: int = MIN_POSTS, min_share: float = MIN_
     return flagged.unionByName(found.select("doc_id", F.lit("evidence").alias("reason")))
 
 
-def asked_and_answered(seen: DataFrame, min_threads: int = MIN_EACH, min_whole: float = MIN_WHOLE) -> DataFrame:
+def asked_and_answered(seen: DataFrame, each: DataFrame, min_threads: int = MIN_EACH, min_whole: float = MIN_WHOLE) -> DataFrame:
     """``doc_id`` of the bodies that are nothing but lines which stand for questions and for answers alike.
 
     A question's lines recur in other questions, and a poor answer's in other answers; what is sent in place of a
     post stands under any title and in either. A line is such if it recurs in ``min_threads`` questions and in answers
     of ``min_threads`` threads, and if at least ``min_threads`` of the questions and a share ``min_whole`` of them are nothing
     but such lines, show none of it as code or quoted, and take up no word of their titles. That is found by taking away
-    lines that fail, and bodies that have one, until nothing changes."""
-    each = seen.where("size(units) > 0").select("doc_id", "thread_id", (F.col("doc_id") == F.col("thread_id")).alias("asked"), F.col("shown"), (~F.col("shown") & ~F.col("on_title")).alias("fine"), F.size("units").alias("n"), F.explode("units").alias("unit"))
-    threads = each.select("unit", "thread_id", F.coalesce("asked", F.lit(False)).cast("int").alias("asked")).distinct().groupBy("unit").agg(F.sum("asked").alias("questions"), F.sum(1 - F.col("asked")).alias("answers"))
-    known = materialize(threads.where((F.col("questions") >= min_threads) & (F.col("answers") >= min_threads)).select("unit", "questions"), "known")
-    known = F.broadcast(known) if known.count() <= BROADCAST_LINES else known
+    lines that fail, and bodies that have one, until nothing changes.
+
+    ``seen`` has the bodies, ``each`` their recurring lines with the number of ``questions`` and of threads with ``answers``."""
+    known = each.where((F.col("questions") >= min_threads) & (F.col("answers") >= min_threads))
     # a row for each body that is all of such lines, with its own lines
-    bodies = each.join(known, "unit").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("asked").alias("asked"), F.first("shown").alias("shown"), F.first("fine").alias("fine"), F.collect_list(F.struct("unit", "questions")).alias("lines"))
-    bodies = materialize(bodies.where(F.size("lines") == F.col("n")), "bodies")
+    lines = known.groupBy("doc_id").agg(F.first("asked").alias("asked"), F.collect_list(F.struct("unit", "questions")).alias("lines"))
+    posts = seen.select("doc_id", "shown", (~F.col("shown") & ~F.col("on_title")).alias("fine"), F.size("units").alias("n"))
+    bodies = materialize(lines.join(posts, "doc_id").where(F.size("lines") == F.col("n")), "bodies")
     left = bodies.count()
     while left:
         lines = bodies.select("doc_id", (F.col("asked") & F.col("fine")).cast("int").alias("whole"), F.explode("lines").alias("l")).select("doc_id", "whole", "l.*")
