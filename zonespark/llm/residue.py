@@ -605,12 +605,17 @@ def residue(docs: DataFrame, min_posts: int = MIN_POSTS, min_share: float = MIN_
     alike = materialize(asked_and_answered(seen.where("n_fields = 0"), each), "alike")
     flagged = flagged.unionByName(alike.select("doc_id", F.lit("evidence").alias("reason")))
 
+    # by host: of the bodies that nothing has flagged, those all of whose lines recur, and the posts with any of these lines
+    often = each.where(F.col("questions") + F.col("answers") >= min_posts).select("doc_id", "unit")
+    open_posts = seen.where("n_fields = 0 and not shown and size(units) > 0").join(alike, "doc_id", "left_anti").select("doc_id", "strong", F.size("units").alias("n_left"))
+    whole = often.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).join(open_posts, "doc_id").where("k = n_left").select("doc_id")
+    tried = materialize(often.join(whole, "doc_id", "left_semi").select("unit").distinct(), "tried")
     hosted = docs.where("source is not null").select("doc_id", "thread_id", "source", "lang")
-    placed = materialize(each.where(F.col("questions") + F.col("answers") >= min_posts).select("unit", "doc_id").join(hosted, "doc_id"), "placed")
+    placed = often.join(F.broadcast(tried) if tried.count() <= BROADCAST_LINES else tried, "unit", "left_semi")
+    placed = materialize(placed.join(hosted, "doc_id"), "placed")
     furniture = materialize(host_furniture(placed, hosted, docs, min_posts, min_share), "furniture")
     if furniture.isEmpty():
         return flagged
-    open_posts = seen.where("n_fields = 0 and not shown and size(units) > 0").join(alike, "doc_id", "left_anti").select("doc_id", "strong", F.size("units").alias("n_left"))
     known = placed.join(furniture, ["unit", "source"], "left_semi")
     page_like = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_known")).join(open_posts, "doc_id").where("n_known = n_left").select("doc_id", "strong")
     lines = known.join(page_like, "doc_id", "left").groupBy("unit", "source").agg(F.count("strong").alias("paged"), F.count(F.lit(1)).alias("posts")).where(F.col("paged") >= min_share * F.col("posts"))
