@@ -252,6 +252,13 @@ def feature_matrix(spark: SparkSession, folder: str, mode: str, w: World | None
     return values.select("zone_id", *[r6(n).alias(n) for n in names])
 
 
+_SQL_LOCATED = "located as (select zone_id, x, y, case when popu is null or isnan(popu) then 0 else popu end as popu, case when hosp is null or isnan(hosp) then 0 else hosp end as hosp from nodes)"
+
+
+def _sql_features_written(mode: str) -> str:
+    return _sql_features(mode).replace(_with(_sql_world(F2)).rstrip(), _with(_SQL_WRITTEN, _SQL_NODES, _SQL_LOCATED).rstrip()).replace("from flows join zones on destin = zone_id where", "from flows join located on destin = zone_id where origin is not null and flow > 0 and").replace("from zones left join inflows", "from located left join inflows")
+
+
 def _sql_features(mode: str) -> str:
     raw = ["x", "y"] + ["ln(1 + greatest(popu, 0))"] * ("pop" in mode) + ["ln(1 + greatest(coalesce(inflow, 0), 0))"] * ("hosp" in mode)
     made = ", ".join(f"round((v{i} - avg(v{i}) over ()) / stddev_pop(v{i}) over (), 6) as f{i}" for i in range(len(raw)))
@@ -308,7 +315,7 @@ def gcn_embedding(spark: SparkSession, folder: str, w: World | None = None) -> D
 GCN_LAYERS = [([[0.5, -0.25], [0.75, 1.0], [-1.0, 0.5]], [0.1, -0.2, 0.05]), ([[1.0, -0.5, 0.25], [0.3, 0.6, -0.9]], [0.0, 0.5])]
 
 
-def _sql_gcn() -> str:
+def _sql_gcn(world_: str | None = None) -> str:
     steps, source, width = [], "h0", 2
     for k, (weight, bias) in enumerate(GCN_LAYERS):
         mixed = ", ".join(f"{' + '.join(f'({v}) * f{i}' for i, v in enumerate(row))} as f{j}" for j, row in enumerate(weight))
@@ -317,7 +324,7 @@ def _sql_gcn() -> str:
         outs = ", ".join(cut.format(f"sum(w * f{j}) + ({bias[j]})") + f" as f{j}" for j in range(width))
         steps += [f"m{k} as materialized (select zone_id, {mixed} from {source})", f"g{k} as materialized (select dst as zone_id, {outs} from n2 join m{k} on src = zone_id group by dst)"]
         source = f"g{k}"
-    return _with(_sql_world(F2), _SQL_NODES, _SQL_EDGES, _SQL_GRAPH, _SQL_H0, *steps) + f"select zone_id as ZoneID, round(f0, 6) as Emb_X, round(f1, 6) as Emb_Y from {source}"
+    return _with(world_ or _sql_world(F2), _SQL_NODES, _SQL_EDGES, _SQL_GRAPH, _SQL_H0, *steps) + f"select zone_id as ZoneID, round(f0, 6) as Emb_X, round(f1, 6) as Emb_Y from {source}"
 
 
 # --- cluster metrics of a given assignment: blocks of the grid
@@ -443,6 +450,11 @@ def written_forest(spark: SparkSession, folder: str) -> DataFrame:
     return forest.spanning_forest(edges).select("u", "v", r6("w").alias("w"))
 
 
+_SQL_WRITTEN_COSTS = """
+spots as (select zone_id, case when x is null or isnan(x) or y is null or isnan(y) then 0.0::double else x end as x, case when x is null or isnan(x) or y is null or isnan(y) then 0.0::double else y end as y from zones),
+costs as (select distinct least(focal, neighbor) as u, greatest(focal, neighbor) as v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as w from adj join spots a on focal = a.zone_id join spots b on neighbor = b.zone_id where focal <> neighbor)"""
+
+
 def subtree_stats(spark: SparkSession, folder: str) -> DataFrame:
     """For each edge of the grid's spanning tree: residents, hospitals and zones on the side away from the first zone."""
     return _first_cuts(spark, folder, F1).select("u", "v", "n", r6("popu").alias("popu"), r6("hosp").alias("hosp"))
@@ -772,6 +784,10 @@ SQL = {
     "embedding_features": _SQL_EMB_F,
     "embedding_written": _with(_SQL_WRITTEN, _SQL_NODES, _SQL_EDGES, _SQL_GRAPH, _SQL_H0, _sql_hops(5)) + "select zone_id as ZoneID, round(f0, 6) as Emb_X, round(f1, 6) as Emb_Y from h5",
     "gcn_embedding": _sql_gcn(),
+    **{f"features_{m}_written": _sql_features_written(m) for m in ("coords", "coords_pop", "coords_hosp_inflow", "coords_pop_hosp_inflow")},
+    **{f"diffuse_k{k}_written": _with(_SQL_WRITTEN, _SQL_NODES, _SQL_EDGES, _SQL_GRAPH, _SQL_H0, _sql_hops(k)) + f"select zone_id, round(f0, 6) as f0, round(f1, 6) as f1 from h{k}" for k in range(1, 6)},
+    "gcn_embedding_written": _sql_gcn(_SQL_WRITTEN),
+    "written_forest": _with(_SQL_WRITTEN, _SQL_WRITTEN_COSTS, *_SQL_MST, recursive=True) + "select u, v, round(w, 6) as w from mst",
     "out_in_degree": _with(_SQL_WRITTEN, "moves as (select origin, destin, flow from flows join zones a on origin = a.zone_id join zones b on destin = b.zone_id)") + "select zone_id, round(sum(o), 3) as out, round(sum(i), 3) as inn, round(sum(o + i), 3) as deg from (select origin as zone_id, flow as o, 0.0::double as i from moves union all select destin, 0.0::double, flow from moves) group by zone_id",
     "modularity_terms": _TERMS + "select cluster, round(internal, 6) as internal, round(outf, 6) as out, round(deg, 6) as deg, round(internal / m - power(deg / (2 * m), 2), 6) as term from terms, tot",
     "li_by_cluster": _TERMS + "select cluster, round(case when outf > 0 then internal / outf else 0 end, 6) as li from terms",
