@@ -252,7 +252,7 @@ def feature_matrix(spark: SparkSession, folder: str, mode: str, w: World | None
     return values.select("zone_id", *[r6(n).alias(n) for n in names])
 
 
-_SQL_LOCATED = "located as (select zone_id, x, y, case when popu is null or isnan(popu) then 0 else popu end as popu, case when hosp is null or isnan(hosp) then 0 else hosp end as hosp from nodes)"
+_SQL_LOCATED = "located as (select zone_id, row_ord, x, y, case when popu is null or isnan(popu) then 0 else popu end as popu, case when hosp is null or isnan(hosp) then 0 else hosp end as hosp from nodes)"
 
 
 def _sql_features_written(mode: str) -> str:
@@ -557,13 +557,13 @@ def partition_result(spark: SparkSession, folder: str) -> DataFrame:
     return result.select(*[c if c in ("cluster", "n_zones") else r6(c).alias(c) for c in result.columns if c != "geometry"])
 
 
-def _sql_worklist(n: int, least: float, most: float, hospitals: float, index: float) -> str:
-    """The worklist over ``zones``, ``flows`` and the tree ``mst``: clusters are strings of bits, one for each zone in row order, and
+def _sql_worklist(n: int, least: float, most: float, hospitals: float, index: float, zones: str = "zones", flows: str = "flows") -> str:
+    """The worklist over zones (at most ``n``), flows and the tree ``mst``: clusters are strings of bits, one for each zone in row order, and
     each round of the recursion looks at all open clusters of a level. ``placed`` has the clusters' numbers."""
     has = lambda bits, at="i": f"get_bit({bits}, cast({at} as integer)) = 1"
     return f"""
-zz as materialized (select zone_id, popu, hosp, cast(row_number() over (order by row_ord) - 1 as integer) as i from zones),
-mv as materialized (select a.i as o, b.i as d, flow from flows join zz a on origin = a.zone_id join zz b on destin = b.zone_id),
+zz as materialized (select zone_id, popu, hosp, cast(row_number() over (order by row_ord) - 1 as integer) as i from {zones}),
+mv as materialized (select a.i as o, b.i as d, flow from {flows} join zz a on origin = a.zone_id join zz b on destin = b.zone_id),
 mm as (select sum(flow) as m from mv),
 tree as materialized (select k, a.i as u, b.i as v from mst join zz a on mst.u = a.zone_id join zz b on mst.v = b.zone_id),
 adjacent as (select u as a, v as b, k from tree union all select v, u, k from tree),
@@ -617,6 +617,16 @@ def _sql_embedded(grid: Grid, limits: tuple) -> str:
     return _with(_sql_world(grid), _SQL_NODES, _SQL_EDGES, _SQL_GRAPH, _SQL_H0, _sql_hops(5), _SQL_EMB_COSTS, *_SQL_MST, _sql_worklist(grid.side**2, *limits), recursive=True)
 
 
+#: Zones of the written tables at the scale at which queries are compared, at most.
+MOST_BITS = 4096
+_SQL_PARTITION_WRITTEN = _with(
+    _SQL_WRITTEN, _SQL_NODES, _SQL_LOCATED, _SQL_EDGES, _SQL_GRAPH, _SQL_H0, _sql_hops(5),
+    "moves as (select * from flows where origin is not null and destin is not null and flow > 0)",
+    "costs as (select distinct least(focal, neighbor) as u, greatest(focal, neighbor) as v, sqrt((a.f0 - b.f0) * (a.f0 - b.f0) + (a.f1 - b.f1) * (a.f1 - b.f1)) as w from adj join h5 a on focal = a.zone_id join h5 b on neighbor = b.zone_id where focal <> neighbor)",
+    *_SQL_MST, _sql_worklist(MOST_BITS, 10_000.0, 500_000.0, 1, 0.3, "located", "moves"), recursive=True,
+)
+
+
 def _sql_shapes(of: str, side: int) -> str:
     """``shapes`` (area, perimeter, reock, polsby_popper) of the clusters of unit squares ``of`` (cluster, x, y). The hull of
     points of a grid lies between the least concave line above the highest point of each column and the greatest
@@ -640,7 +650,7 @@ def partition_written(spark: SparkSession, folder: str) -> DataFrame:
     zones, flows = w.zones, w.flows
     emb = embed_zones(zones, flows, w.adj).select(F.col("ZoneID").alias("zone_id"), F.col("Emb_X").alias("emb_x"), F.col("Emb_Y").alias("emb_y"))
     cfg = PartitionConfig(min_population=10_000, max_population=500_000, population_column="POPU", hospital_column="hosp")
-    return partition_zones_table(zones, flows, w.adj, emb, cfg)[0]
+    return _told(partition_zones_table(zones, flows, w.adj, emb, cfg)[0])
 
 
 # --- polygons
@@ -802,6 +812,7 @@ SQL = {
     "first_cuts": _with(_sql_world(F2), _SQL_COSTS, *_SQL_MST, *_SQL_SIDES, recursive=True) + "select u, v, round(gain, 6) + 0.0::double as gain from mst join gains using (k)",
     "best_cut_level1": _with(_sql_world(F1), _SQL_COSTS, *_SQL_MST, *_SQL_SIDES, _SQL_FIRST, recursive=True) + "select 'lower' as part, n, round(popu, 6) as popu from top union all select 'upper', n_t, round(popu_t, 6) from top",
     **{f"partition_{name}_{way}": _sql_partition(grid, limits, pieces) for name, grid, limits, pieces in PARTITIONS for way in ("local", "level")},
+    "partition_written": _SQL_PARTITION_WRITTEN + _SQL_TOLD,
     "partition_full": _sql_embedded(F2, WHOLE) + _SQL_TOLD,
     "partition_result": _sql_embedded(F2, WHOLE) + "," + _sql_shapes(f"(select cluster, i % {F2.side} as x, floor(i / {F2.side}.0) as y from (select cluster, cast(zone_id as integer) as i from placed))", F2.side)
     + "\nselect told.* exclude (Comm_LI, Comm_Pop, Comm_Hosp), Comm_LI, Comm_Pop, Comm_Hosp, reock, polsby_popper from told join shapes using (cluster)",
