@@ -1,6 +1,7 @@
 import math
 import struct
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from zonespark.functions.geometry import albers, centroid, in_degrees, polygon_area
 from zonespark.operators.compact import compactness, dissolved
 from zonespark.operators.contiguity import contiguity, polygon_neighbours
+from zonespark.plans.api_queries import csv_adjacency, csv_flows
 from zonespark.sources.regions import read_adjacency, read_flows, read_geojson, read_projection, read_shapefile, shapefile_bytes, shapes
 
 RINGS = "array<array<struct<x: double, y: double>>>"
@@ -110,3 +112,15 @@ def test_shapefile(spark, tmp_path):
         in_degrees("moon")
     with pytest.raises(ValueError):
         list(shapes(b"\0" * 100 + struct.pack(">ii", 1, 2) + struct.pack("<i", 3)))
+
+
+def test_written_values_come_back(spark, tmp_path):
+    nan = float("nan")
+    texts = [None, "", " ", "\\N", "\\", '"', '\\"', ",", "\r", "a\r\nb", " x\t", "NaN", "null", "#x"]
+    numbers = [None, nan, math.inf, -math.inf, -0.0, 5e-324, 1 / 3]
+    rows = [(a, b, numbers[(i * 3 + j) % len(numbers)]) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    spark.createDataFrame(rows, "Origin string, Destin string, Flow double").write.parquet(f"{tmp_path}/df_flow.parquet")
+    spark.createDataFrame(rows, "focal string, neighbor string, BorderKm double").write.parquet(f"{tmp_path}/df_adj.parquet")
+    assert Counter(map(repr, (tuple(r) for r in csv_flows(spark, str(tmp_path)).collect()))) == Counter(map(repr, rows))
+    kept = [(a.strip(), b.strip()) for a, b, _ in rows if a and b and a.strip() and b.strip()]
+    assert Counter(tuple(r) for r in csv_adjacency(spark, str(tmp_path)).collect()) == Counter(kept)

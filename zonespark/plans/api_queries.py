@@ -5,6 +5,7 @@ They run over the written tables, whole, or over the grid worlds of ``region_que
 from __future__ import annotations
 
 import math
+import uuid
 from functools import partial
 from itertools import product
 
@@ -28,7 +29,8 @@ _with = R._with
 # --- readers: the tables written in a format and read again
 
 
-CSV = {"header": True, "quoteAll": True, "escape": '"', "nullValue": "\\N", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+#: What stands for null is new in every process, since any fixed text can be a value itself.
+CSV = {"header": True, "quoteAll": True, "escape": '"', "nullValue": uuid.uuid4().hex, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
 #: Written values hold line breaks.
 READ = {**{k: v for k, v in CSV.items() if k not in ("header", "quoteAll")}, "multiLine": True}
 
